@@ -87,6 +87,7 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
             self.doc, self.hash = np.zeros(0, np.int64), np.zeros(0, U)
             self.first = np.zeros(self.n_docs + 1, np.int64)
+            self.sums, self.down = np.zeros(1, U), np.ones(1, U)
             return
         inside = table[data]
         before = np.empty(n, bool)
@@ -100,9 +101,14 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
         up, down = powers(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        self.sums, self.down = np.zeros(n + 1, U), down
+        np.cumsum((data.astype(U) + U(1)) * up[:n], out=self.sums[1:])
+        self.hash = self.prefixes(n)
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """The hash of each word's first ``size`` bytes."""
+        end = np.minimum(self.end, self.start + size)
+        return mix((self.sums[end] - self.sums[self.start]) * self.down[self.start] + (end - self.start).astype(U))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of n words within one row."""
