@@ -1,0 +1 @@
+"""Operators on question, answer, feature and evaluation tables."""

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = []
+MODULES = ["curation", "answering", "training", "evaluating"]
 
 
 def _gather(what: str) -> dict:

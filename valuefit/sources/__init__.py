@@ -1,0 +1 @@
+"""Readers and writers of question, answer, feature, metric and ledger tables."""

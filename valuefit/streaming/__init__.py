@@ -1,0 +1 @@
+"""Cumulative heads over update batches."""
