@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", rou
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (u, v) that connect what a matrix of links between two lists of ids connects: the links themselves while
+    they are few, else an edge from each id to the least of its component, so that their number is that of the ids."""
+    a, b = np.nonzero(linked)
+    if len(a) <= len(left) + len(right):
+        return left[a], right[b]
+    most = np.iinfo(np.int64).max
+    x, y = left.copy(), right.copy()
+    while True:
+        low = np.minimum(x, np.where(linked, y[None], most).min(1, initial=most))
+        up = np.minimum(y, np.where(linked, low[:, None], most).min(0, initial=most))
+        if (low == x).all() and (up == y).all():
+            break
+        x, y = low, up
+    u, v = np.concatenate([left, right]), np.concatenate([x, y])
+    return u[u != v], v[u != v]

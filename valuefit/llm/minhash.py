@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, maybe_broadcast, read_table
-from .graph import components
+from .graph import components, forest
 from .kernels import NOT_SPACE, U, Words, chunks, mix
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
@@ -117,9 +117,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_
     the component of its exact copies, or has none and is kept.
 
     Equal sets are one class from the start, represented by their smallest id, so copies never meet in pairs.  In each
-    bucket of a band all classes are compared with the one that shares most buckets; those not linked to it are then
-    compared with all others of the bucket that are not in their component by then.  So buckets of alike documents cost
-    a comparison a member, and no link between different components is passed over within a bucket.
+    bucket of a band all classes are compared with its leader, the one that shares most buckets.  Classes that are not
+    linked to it are then compared, in blocks, with all others of the leader's buckets, so no link within a bucket is
+    passed over, while those near a leader cost one comparison each and no pairs are emitted but those found.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -147,28 +147,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_
     fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent  # what any link needs
     led = scratch.keep(led.select("bucket", "rep", "n", "members", "leader", fits.alias("fits")), "led")
     star = led.where("fits").select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")).distinct()
-    star = scratch.keep(star, "star")
-    links = scratch.keep(verify(docs, star, percent, scratch, "star", broadcast_rows), "links")
-    rest = led.join(
-        links.select(F.col("u").alias("rep"), F.col("v").alias("leader")).unionByName(links.select(F.col("v").alias("rep"), F.col("u").alias("leader"))),
-        ["rep", "leader"], "left_anti",
-    ).where("members > 2").select("bucket", "rep", "n")
-    rest = scratch.keep(rest, "rest")
-    if rest.limit(1).count():
-        found = components(links, scratch, "first")
-        of = scratch.keep(found, "of")
-        others = members.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"))
-        fits = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-        pairs = (
-            rest.join(others, "bucket").where("rep <> other").where(fits)
-            .select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
-            .join(star, ["u", "v"], "left_anti")
-            .join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-            .join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-            .where("not (cu <=> cv) or cu is null").select("u", "v")
-        )
-        pairs = scratch.keep(pairs, "pairs")
-        links = links.unionByName(verify(docs, pairs, percent, scratch, "rest", broadcast_rows))
+    ids = scratch.keep(led.select(F.explode(F.array("rep", "leader")).alias("doc_id")).distinct(), "ids")
+    sets = scratch.keep(
+        texts.join(maybe_broadcast(ids, ids.count(), broadcast_rows), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets"
+    )
+    links = scratch.keep(verify(star, sets, percent), "links")
+    joined = links.select(F.col("u").alias("rep"), F.col("v").alias("leader")).unionByName(links.select(F.col("v").alias("rep"), F.col("u").alias("leader")))
+    family = led.groupBy("leader", "rep").agg(F.max("n").alias("n"), F.max("members").alias("members"))
+    family = scratch.keep(
+        family.join(joined.withColumn("near", F.lit(True)), ["leader", "rep"], "left").withColumn("near", F.coalesce("near", F.lit(False))), "family"
+    )
+    links = links.unionByName(scratch.keep(compare_rest(family, sets, percent, broadcast_rows), "rest"))
     found = scratch.keep(components(links, scratch), "components")
     named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component")
@@ -182,13 +171,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_
     )
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str, broadcast_rows: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets meet the threshold; only the texts of these documents are read again."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        maybe_broadcast(ids, ids.count(), broadcast_rows), "doc_id", "left_semi"
-    )
-    sets = scratch.keep(texts.mapInArrow(_sets, "id long, shingles array<long>"), f"{name}-sets")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets meet the threshold."""
     both = (
         pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
         .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
@@ -198,6 +182,69 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, na
     return both.where(F.col("meet") * 100 >= union * percent).select("u", "v")
 
 
+def _meeting(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right ones, as products of 0/1 matrices of the shingles
+    that more than one set holds."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values, codes, n = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    place = np.full(len(values), -1)
+    place[n > 1] = np.arange((n > 1).sum())
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    at = place[codes]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int((n > 1).sum()), width):
+        a, b = np.searchsorted(at, [low, low + width])
+        m = np.zeros((len(left) + len(right), width), np.float32)
+        m[owner[a:b], at[a:b] - low] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _compare(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("first").to_numpy().astype(bool)
+        ids = table.column("rep").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        if len(right) == 0:
+            right = left
+        sizes = np.array([len(x) for x in sets])
+        meet = _meeting([sets[i] for i in left], [sets[i] for i in right])
+        union = sizes[left][:, None] + sizes[right][None] - meet
+        linked = (meet * 100 >= union * percent) & (ids[left][:, None] != ids[right][None])
+        u, v = forest(linked, ids[left], ids[right])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def compare_rest(family: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int, block: int = 400_000, most: int = 512) -> DataFrame:
+    """Links (u, v) between members of a leader's family that are not linked to it and all other members.
+
+    Members are dealt into blocks of about ``block`` shingles or ``most`` sets, those near the leader apart from the
+    rest; each block of the rest meets each other block in a task of its own, which gives a tree of the links it found.
+    """
+    sizes = family.groupBy("leader").agg(*(
+        F.ceil(F.greatest(F.sum(F.when(of, F.col("n")).otherwise(0)) / block, F.sum(F.when(of, 1).otherwise(0)) / most)).cast("int").alias(name)
+        for name, of in (("far_blocks", ~F.col("near")), ("near_blocks", F.col("near")))
+    ), F.max("members").alias("largest")).where("far_blocks > 0 and largest > 2").drop("largest")
+    dealt = family.select("leader", "rep", "near").join(maybe_broadcast(sizes, sizes.count(), broadcast_rows), "leader")
+    lot = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
+    k, m = F.col("far_blocks"), F.col("near_blocks")
+    dealt = dealt.withColumn("own", F.when(F.col("near"), k + lot(m)).otherwise(lot(k)))
+    task = lambda i, j, first: F.struct(i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
+    nothing = F.array().cast("array<struct<i:int,j:int,first:boolean>>")
+    as_first = F.transform(F.sequence(F.col("own"), k + m - 1), lambda j: task(F.col("own"), j, True))
+    as_second = F.transform(F.sequence(F.lit(0), F.least(F.col("own"), k) - 1), lambda i: task(i, F.col("own"), False))
+    tasks = F.concat(F.when(F.col("near"), nothing).otherwise(as_first), F.when(F.col("own") > 0, as_second).otherwise(nothing))
+    dealt = dealt.select("leader", "rep", F.explode(tasks).alias("t")).select("leader", "rep", "t.i", "t.j", "t.first")
+    # a task without second members compares its first block with itself, which is right only where i = j
+    full = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("leader", "i", "j")
+    return full.applyInArrow(_compare(percent), "u long, v long").distinct()
+
+
 def dedup_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, maybe_broadcast, read_table
-from .graph import components
+from .graph import components, forest
 
 SLACK = 1e-9
 
@@ -120,20 +120,7 @@ def _compare(width: int, least: float):
         linked = (x[probe] @ x[~probe].T >= least) & (p[:, None] != m[None])
         n = linked @ times[~probe]
         own = n > 0
-        a, b = np.nonzero(linked)
-        if len(a) > len(p) + len(m):  # dense: a tree for each component in place of all links
-            big = np.iinfo(np.int64).max
-            lp, lm = p.copy(), m.copy()
-            while True:
-                low = np.minimum(lp, np.where(linked, lm[None], big).min(1, initial=big))
-                up = np.minimum(lm, np.where(linked, low[:, None], big).min(0, initial=big))
-                if (low == lp).all() and (up == lm).all():
-                    break
-                lp, lm = low, up
-            u, v = np.concatenate([p, m]), np.concatenate([lp, lm])
-            u, v = u[u != v], v[u != v]
-        else:
-            u, v = p[a], m[b]
+        u, v = forest(linked, p, m)
         return pa.table(
             [pa.array(np.concatenate([p[own], u])), pa.array(np.concatenate([p[own], v])), pa.array([*n[own].tolist(), *[None] * len(u)], pa.int64())],
             schema=schema,
