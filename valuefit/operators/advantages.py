@@ -30,7 +30,10 @@ def whiten(df: DataFrame, by: list[str], column: str = "advantage", out: str = "
     """(A - mean) / sqrt(sample variance + 1e-8) over a batch; the two numbers a batch are joined back."""
     stats = df.groupBy(*by).agg(F.avg(column).alias("_m"), F.var_samp(column).alias("_v"))
     scale = F.sqrt(F.coalesce("_v", F.lit(0.0)) + 1e-8)
-    joined = df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))
+    if not by:
+        m, v = stats.first()
+        return df.withColumn(out, (F.col(column) - F.lit(m)) / F.sqrt(F.lit(v or 0.0) + 1e-8))
+    joined = df.join(stats, by)
     return joined.withColumn(out, (F.col(column) - F.col("_m")) / scale).drop("_m", "_v")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from valuefit.functions.text import boxed_parts, parse_number
 
+# The longest answer that is graded, and statuses.
 LONGEST = 32000
 #: statuses that score 0 by default
 ZERO = ("incorrect", "parse_failure", "unsupported_parse", "parse_timeout", "verify_timeout")

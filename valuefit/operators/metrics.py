@@ -58,8 +58,9 @@ def prediction_metrics(df: DataFrame, by: list[str] | None = None, value: str =
 
 def constant_baseline(train: DataFrame, test: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The training mean, by budget where ``by`` says so, scored on the test rows like a predictor."""
-    prior = train.groupBy(*(by or [])).agg(F.avg(F.col("y").cast("double")).alias("value"))
-    return prediction_metrics(test.crossJoin(F.broadcast(prior)), by)  # one row a budget
+    prior = train.groupBy(*(by or [])).agg(F.avg(F.col("y").cast("double")).alias("value")).collect()  # one row a budget
+    rows = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in [*(by or []), "value"])) for r in prior))
+    return prediction_metrics(test.select("*", F.inline(rows)), by)
 
 
 def majority(df: DataFrame, by: list[str]) -> DataFrame:
@@ -76,7 +77,8 @@ def method_table(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seed", "accuracy"))).alias("by_seed"),
     )
     if base is not None:
-        out = out.crossJoin(F.broadcast(base.agg(F.avg("score").alias("base")))).withColumn("gain_pp", 100 * (F.col("accuracy") - F.col("base")))
+        start = base.agg(F.avg("score")).first()[0]
+        out = out.withColumn("base", F.lit(start)).withColumn("gain_pp", 100 * (F.col("accuracy") - F.col("base")))
     return out
 
 

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 def pairing_problems(runs: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
     """(by, id, problem): expected (id, ground_truth) that a run lacks, and rows of a run that nobody expects."""
-    grid = runs.select(*by).distinct().crossJoin(expected.select("id", "ground_truth"))
+    names = runs.select(*by).distinct().collect()  # a row a run
+    if not names:
+        return runs.select(*by, "id", F.lit(None).cast("string").alias("problem")).limit(0)
+    each = F.array(*(F.struct(*(F.lit(r[c]).cast(runs.schema[c].dataType).alias(c) for c in by)) for r in names))
+    grid = expected.select("id", "ground_truth", F.inline(each))
     have = runs.select(*by, "id", "ground_truth").withColumn("have", F.lit(True))
     both = grid.withColumn("want", F.lit(True)).join(have, [*by, "id", "ground_truth"], "full_outer")
     return both.where("have is null or want is null").select(*by, "id", F.when(F.col("have").isNull(), "missing").otherwise("unexpected").alias("problem"))

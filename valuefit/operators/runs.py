@@ -16,7 +16,8 @@ def _finite(c: str) -> Column:
 
 def audit_health(df: DataFrame, steps: int, world: int, by: list[str] | None = None) -> DataFrame:
     """Gates over (rank, update) rows of a run, all in two aggregations."""
-    by = by or []
+    if not by:
+        return audit_health(df.withColumn("_run", F.lit(0)), steps, world, ["_run"]).drop("_run")
     ok = _finite(AUDIT[0])
     for c in AUDIT[1:]:
         ok = ok & _finite(c)
@@ -34,8 +35,7 @@ def audit_health(df: DataFrame, steps: int, world: int, by: list[str] | None = N
     seconds = df.where(F.col("update").between(1, steps)).groupBy(*by, "update").agg(F.max(F.coalesce("audit_seconds", F.lit(0.0))).alias("s"))
     seconds = seconds.groupBy(*by).agg(F.sum("s").alias("extra_seconds"))
     passed = F.col("complete") & F.col("finite") & F.col("zero_initial_values") & F.col("nonzero_updates") & F.col("targets_fit_better")
-    joined = gates.join(seconds, by, "left") if by else gates.crossJoin(seconds)  # one row each
-    return joined.withColumn("passed", passed)
+    return gates.join(seconds, by, "left").withColumn("passed", passed)
 
 
 def run_summary(df: DataFrame) -> DataFrame:
@@ -123,17 +123,23 @@ def select_profile(df: DataFrame) -> DataFrame:
     return out
 
 
+def _arms(arms: DataFrame) -> tuple[Column, int]:
+    """The few arms of a study as an array of (arm, pos)."""
+    rows = arms.select("arm", "pos").collect()
+    return F.array(*(F.struct(F.lit(r["arm"]).alias("arm"), F.lit(r["pos"]).alias("pos")) for r in rows)), len(rows)
+
+
 def run_order(seeds: DataFrame, arms: DataFrame) -> DataFrame:
     """(seed, arm, place): arms rotated by the seed's position (seeds: seed, seed_pos; arms: arm, pos)."""
-    n = arms.count()
-    return seeds.crossJoin(F.broadcast(arms)).select("seed", "arm", F.pmod(F.col("pos") - F.col("seed_pos"), F.lit(n)).alias("place"))
+    rows, n = _arms(arms)
+    return seeds.select("*", F.inline(rows)).select("seed", "arm", F.pmod(F.col("pos") - F.col("seed_pos"), F.lit(n)).alias("place"))
 
 
 def alternating_order(seeds: DataFrame, arms: DataFrame) -> DataFrame:
     """Arms forwards for even seeds and backwards for odd ones."""
-    n = arms.count()
+    rows, n = _arms(arms)
     place = F.when(F.col("seed") % 2 == 0, F.col("pos")).otherwise(n - 1 - F.col("pos"))
-    return seeds.crossJoin(F.broadcast(arms)).select("seed", "arm", place.alias("place"))
+    return seeds.select("*", F.inline(rows)).select("seed", "arm", place.alias("place"))
 
 
 def top_pilot(df: DataFrame) -> DataFrame:
