@@ -16,7 +16,7 @@ def one(df):
 
 
 def test_gae(spark):
-    rows = [("a", i, r, x) for i, (r, x) in enumerate(zip([0.0, 0, 1], [0.2, 0.3, 0.1]))] + [("b", i, r, x) for i, (r, x) in enumerate(zip([0.0, 1], [0.4, 0.2]))]
+    rows = [("a", i, r, x) for i, (r, x) in enumerate(zip([0.0, 0.0, 1.0], [0.2, 0.3, 0.1]))] + [("b", i, r, x) for i, (r, x) in enumerate(zip([0.0, 1.0], [0.4, 0.2]))]
     df = spark.createDataFrame(rows, "answer string, position int, reward double, value double")
     got = {(r["answer"], r["position"]): r["returns"] for r in advantages.gae(df, 0.9, 0.8, ["answer"]).collect()}
     assert np.allclose([got["a", i] for i in range(3)], [0.58536, 0.738, 1]) and np.allclose([got["b", i] for i in range(2)], [0.756, 1])
