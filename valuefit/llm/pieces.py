@@ -82,12 +82,12 @@ class Machine:
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next(i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN)
         self.text = [p for p, _, _ in pieces]
-        self.longest = max(map(len, self.id), default=1)
-        self.worst = max(self.rank.values(), default=0.0) + 10
+        self.worst = 0.0 if self.bpe else max(self.rank.values(), default=0.0) + 10
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         if self.bpe:  # pieces that merging can't reach are on no path
             self.id = {p: i for p, i in self.id.items() if len(p) == 1 or self.merged(p) == [p]}
+        self.compile()
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
                for p, _, k in pieces]
         self.raw, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
@@ -99,25 +99,30 @@ class Machine:
         else:
             self.cut = re.compile(r"[\s\S]+")
 
+    def compile(self) -> None:
+        """The arcs that leave a place, by the text that they read: (piece, weight), or -1 where a piece only goes on."""
+        self.arcs = {p[:n]: (-1, 0.0) for p in self.id for n in range(1, len(p))}
+        self.arcs |= {p: (i, 0.0 if self.bpe else self.rank[p]) for p, i in self.id.items()}
+
     def merged(self, text: str) -> list[str]:
         """A text's pieces by the definition of BPE: the best-ranked pair is merged first, the leftmost of equals."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == np.inf:
-                break
+        parts, rank = list(text), self.rank.get
+        while True:
+            best, at = np.inf, -1
+            for i in range(len(parts) - 1):
+                found = rank(parts[i] + parts[i + 1])
+                if found is not None and found < best:
+                    best, at = found, i
+            if at < 0:
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
 
     def _meet(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces have a finite weight."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= CACHE * 4:
-                self.pairs.clear()
-            a, b = self.text[left], self.text[right]
-            found = self.pairs[key] = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= CACHE * 2:
+            self.pairs.clear()
+        a, b = self.text[left], self.text[right]
+        found = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return found
 
     def _fallback(self, char: str) -> list[int]:
@@ -126,25 +131,29 @@ class Machine:
 
     def path(self, word: str) -> list[int]:
         """The shortest path's ids."""
-        n, ids = len(word), self.id
-        cost = [np.inf] * (n + 1)
-        cost[0] = 0.0
-        last: list = [None] * (n + 1)
-        back = [0] * (n + 1)
+        n, arcs, pairs, bpe = len(word), self.arcs.get, self.pairs.get, self.bpe
+        cost = [0.0] + [np.inf] * n
+        last, back = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            if cost[i] == np.inf:
+            here, before, known = cost[i], last[i], False
+            if here == np.inf:
                 continue
-            before, known = last[i], False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = ids.get(word[i:j])
-                if piece is None:
+            for j in range(i + 1, n + 1):
+                arc = arcs(word[i:j])
+                if arc is None:  # no piece goes on like this
+                    break
+                piece, weight = arc
+                if piece < 0:
                     continue
                 known = known or j == i + 1
-                weight = cost[i] if self.bpe else cost[i] + self.rank[word[i:j]]
-                if weight < cost[j] and (not self.bpe or before is None or before < 0 or self._meet(before, piece)):
-                    cost[j], last[j], back[j] = weight, piece, i
-            if not known and cost[i] + self.worst < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = cost[i] + (0 if self.bpe else self.worst), -1, i
+                if here + weight < cost[j]:
+                    if bpe and before >= 0:
+                        meets = pairs(before << 32 | piece)
+                        if not (self._meet(before, piece) if meets is None else meets):
+                            continue
+                    cost[j], last[j], back[j] = here + weight, piece, i
+            if not known and here + self.worst < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = here + self.worst, -1, i
         if cost[n] == np.inf:
             raise ValueError(f"no path for {word!r}")
         out: list[int] = []
