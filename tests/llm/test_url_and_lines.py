@@ -1,5 +1,4 @@
 import collections
-import hashlib
 
 import pytest
 from helpers import LOWER
@@ -80,9 +79,3 @@ def test_runs_are_compacted_and_new_lines_found(spark):
         names.append([len(x) for x in runs.levels])
     assert names == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
     assert {r["n"] for r in runs.all().collect()} == {1, 2, 5}
-
-
-def test_hash_is_of_the_kept_text(spark):
-    from valuefit.llm.line_dedup import SQL
-
-    assert "sha256" in SQL["op2_line_dedup"] and hashlib.sha256(b"").hexdigest().startswith("e3b0")

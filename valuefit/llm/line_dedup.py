@@ -111,7 +111,7 @@ def dedup_lines(
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     runs = LineRuns(spark, scratch, fanout, min_key)
-    runs.add_batches(docs, F.pmod(F.xxhash64("doc_id", "source"), F.lit(batches)).cast("int"), batches)
+    runs.add_batches(docs, F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"), batches)
     frequent = scratch.keep(runs.frequent(min_docs), "frequent")
     for name in [n for level in runs.levels for n in level]:
         scratch.drop(name)
@@ -150,7 +150,7 @@ def new_lines(docs: DataFrame, runs: LineRuns) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
