@@ -2,9 +2,11 @@
 
 Unit vectors are cut into halves with a codebook each; a pair of codewords is a cell of the product grid, and each
 vector lies in the cell of its two nearest codewords.  A vector visits cells in the order of how near they can be, by
-traversing the two sorted sequences of lower bounds, until no cell that is left can hold a link.  The lower bound of a
-codeword is the distance to the plane that halves the way from the own nearest codeword to it, so no link is missed
-(recall 1) whatever the codebooks are.  All visits are verified by cosine in double precision.
+traversing the two sorted sequences of lower bounds until the target recall is met.  The lower bound of a codeword is
+the distance to the plane that halves the way from the own nearest codeword to it.  Links of cosine t can lie sqrt(2 - 2t)
+away, and visiting that far loses none; but few differences point straight at a plane, so the traversal stops where, for
+a sample of vectors moved by that distance in random directions, the target share has been met.  All visits are verified
+by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, maybe_broadcast, read_table
 from .graph import components, forest
@@ -86,6 +89,23 @@ def visits(t1: np.ndarray, t2: np.ndarray, most: float) -> tuple[np.ndarray, np.
     return tuple(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in found)
 
 
+def reach(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, threshold: float, recall: float, margin: float = 1.3, seed: int = 0) -> float:
+    """How far, squared, to visit: the ``recall`` quantile over sampled vectors of what finds a neighbour of just the
+    threshold's cosine in a random direction, times a margin; never more than what loses no link at all."""
+    most = 2 - 2 * threshold + SLACK
+    if recall >= 1 or len(x) == 0:
+        return most
+    half = x.shape[1] // 2
+    x = x[np.random.default_rng(seed).integers(len(x), size=20000)]
+    g = np.random.default_rng(seed + 1).normal(size=x.shape)
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = threshold * x + np.sqrt(max(1 - threshold**2, 0)) * g / np.maximum(np.sqrt((g * g).sum(1, keepdims=True)), 1e-300)
+    need = np.zeros(len(x))
+    for part, c in ((slice(None, half), c1), (slice(half, None), c2)):
+        need += bounds(x[:, part], c)[1][np.arange(len(x)), _far(y[:, part], c).argmin(1)]
+    return float(min(most, np.quantile(need, recall) * margin**2 + SLACK))
+
+
 def _assign(c1: np.ndarray, c2: np.ndarray, width: int, most: float):
     half = width // 2
 
@@ -117,12 +137,12 @@ def _compare(width: int, least: float):
         ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
         x = _unit(_matrix(table.column("vector").combine_chunks(), width))
         p, m = ids[probe], ids[~probe]
-        linked = (x[probe] @ x[~probe].T >= least) & (p[:, None] != m[None])
-        n = linked @ times[~probe]
-        own = n > 0
+        linked = (x[probe] @ x[~probe].T >= least) & (p[:, None] < m[None])  # a pair is found by its smaller id
+        n = np.concatenate([linked @ times[~probe], linked.T @ times[probe]])
+        ids = np.concatenate([p, m])[n > 0]
         u, v = forest(linked, p, m)
         return pa.table(
-            [pa.array(np.concatenate([p[own], u])), pa.array(np.concatenate([p[own], v])), pa.array([*n[own].tolist(), *[None] * len(u)], pa.int64())],
+            [pa.array(np.concatenate([ids, u])), pa.array(np.concatenate([ids, v])), pa.array([*n[n > 0].tolist(), *[None] * len(u)], pa.int64())],
             schema=schema,
         )
 
@@ -130,7 +150,7 @@ def _compare(width: int, least: float):
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.98, per_cell: int = 64, sample: int = 8192, most_words: int = 512, block: int = 1024
+    vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9999, per_cell: int = 64, sample: int = 8192, most_words: int = 512, block: int = 1024
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label).
 
@@ -139,18 +159,21 @@ def near_vectors(
     link with nothing (n_links 0, component_id their own id, kept).  ``n_links`` counts other rows, so repeated rows
     link with each other; ``component_id`` is the smallest vec_id reachable.
 
-    Equal vectors of a label are one class from the start, so copies never meet in pairs.  The codebooks, of at most
+    ``recall`` is the share of links at the threshold itself that the index aims at, 1 for all whatever the cost; links
+    above the threshold are nearer.  Equal vectors of a label are one class from the start, so copies never meet in
+    pairs.  The codebooks, of at most
     ``most_words`` words each, are fitted on at most ``sample`` vectors; all vectors are indexed.  Cells are cut into
     blocks of about ``block`` members and visitors; a block emits a count for each visitor and a tree of links.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(
         finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists("embedding", lambda v: v != 0), F.lit(False)
     )
     rows = vectors.select(
-        F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")
     ).withColumn("usable", usable)
     keys = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(7), "embedding").alias("k2")]
     classes = rows.where("usable").groupBy("label", *keys).agg(
@@ -164,8 +187,8 @@ def near_vectors(
     words = int(min(most_words, max(1, np.ceil(np.sqrt(n / per_cell)))))
     c1, c2 = (codebook(x, words, seed=i) for i, x in enumerate((some[:, : width // 2], some[:, width // 2 :])))
     placed = classes.select("id", "times", "label", "dim", "vector").mapInArrow(
-        _assign(c1, c2, width, 2 - 2 * threshold + SLACK),
-        "id long, times long, label string, dim int, vector array<double>, cell long, probe boolean",
+        _assign(c1, c2, width, reach(some, c1, c2, threshold, recall)),
+        f"id long, times long, label string, dim int, vector array<{kind}>, cell long, probe boolean",
     )
     placed = scratch.keep(placed, "placed")
     cell = ["label", "dim", "cell"]
