@@ -78,9 +78,10 @@ def scan_licenses(
     seen = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), _literal(vocabulary))).alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in scratch.keep(seen, "frequencies").collect()}
     total = docs.count()
-    posts = []
+    posts, rarest = [], set()
     for label, notice, key, k in split:
         weight = {w: _idf(total, counts.get(w, 0)) for w in notice}
+        rarest.add(max(key, key=lambda w: (weight[w], w)))
         chosen = set(sorted(weight, key=lambda w: (-weight[w], w))[:rare])
         start = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
         within = range(start, start + len(key))
@@ -90,13 +91,12 @@ def scan_licenses(
     names = ("word", "at", "template", "label", "weight", "key", "n_key")
     postings = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, names))) for p in posts))))
     indexed = sorted({p[0] for p in posts})
-    lookup = sorted({p[0] for p in posts if p[0] in {w for _, _, key, _ in split for w in key}})
     base = [places(F.col("words"), p.split()) for p in phrases]
     labels = F.array_compact(F.array(*(F.when(F.size(b) > 0, F.lit(v)) for b, v in zip(base, phrases.values()))))
     starts = F.concat(*base)
-    # only texts that hold a word of a key phrase look up their indexed words
+    # a text without the rarest word of a key phrase cannot hold the phrase; the others look up their indexed words
     open_ = F.when(
-        F.arrays_overlap("words", _literal(lookup)),
+        F.arrays_overlap("words", _literal(sorted(rarest))),
         F.filter(F.transform("words", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull()),
     )
     rows = docs.select(
