@@ -8,6 +8,7 @@ import pytest
 from helpers import groups
 
 from valuefit.llm import multi_index, pieces, pii, quality, toxicity
+from valuefit.llm.kernels import ALNUM, Words
 
 INF, NAN = float("inf"), float("nan")
 
@@ -289,3 +290,28 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
 def _written(df, path):
     df.write.parquet(str(path))
     return str(path)
+
+
+def test_words_that_share_low_bits_of_their_hash_are_counted_apart(spark):
+    """A toxic word tells as much whichever ordinary word it would meet in a table of fixed size."""
+    texts = [f"q{i}" for i in range(20000)]
+    data = " ".join(texts).encode()
+    low = (Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM).hash & np.uint64((1 << 21) - 1)).tolist()
+    seen, met = {}, []
+    for word, slot in zip(texts, low):
+        if slot in seen:
+            met.append((seen.pop(slot), word))
+        else:
+            seen[slot] = word
+    bad, good = zip(*met[:8])
+    rng, docs, labels = random.Random(4), [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        ws = [f"z{rng.randrange(100000)}" for _ in range(30)]
+        for k in rng.sample(range(30), 6):
+            ws[k] = rng.choice(bad if toxic else good)
+        docs.append((i, " ".join(ws)))
+        labels.append((i, int(toxic)))
+    out = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    test = [r for r in out if r["held_out"]]
+    assert len(test) > 60 and np.mean([r["predicted"] == dict(labels)[r["doc_id"]] for r in test]) > 0.95

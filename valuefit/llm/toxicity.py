@@ -6,14 +6,14 @@ For a class c (ordinary or toxic), a word w after a word v, with discount D and
     P(c | v w)  = (max(n_c(v w) - D, 0) + B * P(c | w)) / (sum over classes of max(n_c(v w) - D, 0) + B)
     P(c | w)    = (max(k_c(w) - D, 0) + A * P(c | s)) / (sum over classes of max(k_c(w) - D, 0) + A)
     P(c | s)    = the same for the word's stem s, its first bytes, with P(c) below it
-    P(w)        = (k(w) + 1) / (k + slots)
+    P(w)        = (k(w) + 1) / (k + distinct words)
 
 n are token counts; k are continuation counts: distinct left neighbours, counted in each document so that documents add
 up.  This is the interpolated model in the form of Bayes' rule: the two classes share the backoff P(w), counted over all
 documents, labelled or not, and rare expressions fall back on their words, stems and at last on the shared counts, so a
-word of few documents tells little.  Words, stems and pairs are hashed into a fixed number of slots, so the model has the
-same size whatever it is fitted on, and what shares a slot only draws its ratio towards that of the classes.  B grows with
-the mean load of a pair's slot, so that a full table falls back on words.
+word of few documents tells little.  Words, stems and pairs are keyed by hashes of 64 bits in a table that grows with the
+corpus, as partial sums of lots of documents added by key.  Each lot then asks for its own distinct keys, so that a common
+word is one row a lot, and gets their counts back.
 
 A document is judged by its length-normalised toxic and ordinary log-likelihoods, over the whole text, over windows and
 over its most telling words.
@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, maybe_broadcast, read_table
 from .kernels import ALNUM, U, Words, chunks, mix
 
-WORD_SLOTS, PAIR_SLOTS, BLOCK = 1 << 21, 1 << 21, 1 << 15
-D, A, B, LOAD, STEM = 0.75, 12.0, 300.0, 30.0, 6
-#: continuation of words over all documents, and of words, of stems and pairs by class
-TABLES = {"k0": WORD_SLOTS, "k1": WORD_SLOTS, "k2": WORD_SLOTS, "s1": WORD_SLOTS, "s2": WORD_SLOTS, "b1": PAIR_SLOTS, "b2": PAIR_SLOTS}
-NAMES = list(TABLES)
+D, A, B, STEM = 0.75, 12.0, 300.0, 6
+#: bytes of text of a lot
+LOT = 1 << 24
+WORD, STEMS, PAIR = range(3)
 START = U(0x2545F4914F6CDD1D)
 WINDOWS = (8, 24)
 FEATURES = 2 + len(WINDOWS)
 
 
-def slots(x: np.ndarray, n: int = WORD_SLOTS) -> np.ndarray:
-    return (x & U(n - 1)).astype(np.int64)
+def keys(kind: int, x: np.ndarray) -> np.ndarray:
+    """Hashes of one kind (words, stems or pairs) as keys that differ from those of the other kinds."""
+    return mix(x + U((kind + 1) * 0x9FB21C651E98DF25 & (2**64 - 1))).astype(np.int64)
 
 
 def pairs(words: Words) -> np.ndarray:
@@ -55,104 +55,117 @@ def pairs(words: Words) -> np.ndarray:
     return mix(words.hash * U(3) + before * U(0x9E3779B97F4A7C15))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition, as sparse blocks (lot, tab, block, at, n)."""
-    total = {k: np.zeros(n, np.int32) for k, n in TABLES.items()}
+ROWS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("kind", pa.int32()), ("y", pa.int32()), ("text", pa.string())])
+LOTS = "lot long, docs binary"
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in lots of about ``LOT`` bytes of text, each packed as one value."""
+    part, n, size, rows = TaskContext.get().partitionId(), 0, 0, []
 
-    def add(name: str, at: np.ndarray) -> None:
-        at, n = np.unique(at, return_counts=True)
-        total[name][at] += n.astype(np.int32)
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in rows:
+                out.write_batch(r)
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lot", "docs"])
 
     for batch in batches:
-        kinds = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in chunks(batch.column(1)):
-            words = Words(data, offsets, ALNUM)
-            if len(words.hash) == 0:
-                continue
-            pair, word, stem = pairs(words), slots(words.hash), slots(words.prefixes(STEM))
-            kind = kinds[a:b][words.doc]
-            once = np.unique(mix(pair + words.doc.astype(U) * U(0xD6E8FEB86659FD93)), return_index=True)[1]
-            add("k0", word[once])
-            for c in (1, 2):
-                mine = once[kind[once] == c]
-                add(f"k{c}", word[mine])
-                add(f"s{c}", stem[mine])
-                add(f"b{c}", slots(pair[kind == c], PAIR_SLOTS))
-    lot = TaskContext.get().partitionId()
-    for name, counts in total.items():
-        for block, part in enumerate(counts.reshape(-1, BLOCK)):
-            if len(at := np.flatnonzero(part)):
-                yield _block(lot, NAMES.index(name), block, at, part[at])
-
-
-def _block(lot: int, tab: int, block: int, at: np.ndarray, n: np.ndarray, cls=pa.RecordBatch):
-    return cls.from_arrays(
-        [pa.array([lot], pa.int32()), pa.array([tab], pa.int32()), pa.array([block], pa.int32()),
-         pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.astype(np.uint32).tobytes()], pa.binary())],
-        ["lot", "tab", "block", "at", "n"],
-    )
-
-
-BLOCKS = "lot int, tab int, block int, at binary, n binary"
-
-
-def _add(table: pa.Table) -> pa.Table:
-    """The sum of some blocks of one place."""
-    total = np.zeros(BLOCK, np.int64)
-    for at, n in zip(table.column("at"), table.column("n")):
-        total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
-    at = np.flatnonzero(total)
-    lot, tab, block = (table.column(c)[0].as_py() for c in ("lot", "tab", "block"))
-    return _block(lot, tab, block, at, np.minimum(total[at], 2**32 - 1), pa.Table)
-
-
-def count_blocks(docs: DataFrame, scratch: Scratch, fan: int = 32) -> DataFrame:
-    """Sums over all partitions, ``fan`` at a time; no task meets more than ``fan`` blocks of one place."""
-    blocks = scratch.keep(docs.mapInArrow(_count, BLOCKS), "counts-0")
-    lots, level = (blocks.agg(F.max("lot")).first()[0] or 0) + 1, 0
-    while True:
-        summed = blocks.withColumn("lot", F.floor(F.col("lot") / fan).cast("int")).groupBy("lot", "tab", "block").applyInArrow(_add, BLOCKS)
-        level += 1
-        blocks = scratch.keep(summed, f"counts-{level}")
-        scratch.drop(f"counts-{level - 1}")
-        lots = -(-lots // fan)
-        if lots <= 1:
-            return blocks
-
-
-def tables(blocks: DataFrame) -> dict[str, np.ndarray]:
-    """The counts as arrays of a fixed size."""
-    out = {k: np.zeros(n, np.float32) for k, n in TABLES.items()}
-    for batch in blocks.toArrow().to_batches(max_chunksize=64):
-        for row in batch.to_pylist():
-            part = out[NAMES[row["tab"]]][row["block"] * BLOCK : (row["block"] + 1) * BLOCK]
-            part[np.frombuffer(row["at"], np.uint16)] = np.frombuffer(row["n"], np.uint32)
-    return out
+        batch = pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in ROWS], schema=ROWS)
+        for a, b, data, _ in chunks(batch.column("text")):
+            if rows and size + len(data) > LOT:
+                yield packed()
+                n, size, rows = n + 1, 0, []
+            rows.append(batch.slice(a, b - a))
+            size += len(data)
+    if rows:
+        yield packed()
+
 
+def _unpacked(docs: bytes) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for batch in pa.ipc.open_stream(docs):
+        for a, b, data, offsets in chunks(batch.column("text")):
+            yield batch.slice(a, b - a), Words(data, offsets, ALNUM)
 
-def model(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """``p``: log P(w); ``base``: P(toxic); ``s``: P(toxic | stem); ``k``, ``m`` and ``b``, ``n``: discounted toxic and all
-    counts of words and of pairs; ``B``: the strength of the pairs' backoff."""
-    k1, k2, s1, s2, b1, b2 = (np.maximum(counts.pop(x) - np.float32(D), 0) for x in ("k1", "k2", "s1", "s2", "b1", "b2"))
-    total = float(k1.sum(dtype=np.float64) + k2.sum(dtype=np.float64))
-    base = (float(k2.sum(dtype=np.float64)) + 1) / (total + 2)
-    return {
-        "p": np.log((counts["k0"] + 1) / np.float32(counts["k0"].sum(dtype=np.float64) + WORD_SLOTS)), "base": np.array(base),
-        "k": k2, "m": k1 + k2, "s": (s2 + np.float32(A * base)) / (s1 + s2 + np.float32(A)), "b": b2, "n": b1 + b2,
-        "B": np.array(B + LOAD * float(b1.sum(dtype=np.float64) + b2.sum(dtype=np.float64)) / PAIR_SLOTS),
-    }
 
+COUNTS = "tab int, key long, n0 long, n1 long, n2 long"
 
-def features(words: Words, m: dict[str, np.ndarray]) -> np.ndarray:
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of each lot: of words over all documents (n0) and by class, of stems and pairs by class."""
+    for batch in batches:
+        for docs in batch.column("docs"):
+            found = {tab: [] for tab in (WORD, STEMS, PAIR)}
+            for rows, words in _unpacked(docs.as_py()):
+                if len(words.hash) == 0:
+                    continue
+                pair = pairs(words)
+                kind = rows.column("kind").to_numpy(zero_copy_only=False)[words.doc]
+                once = np.unique(mix(pair + words.doc.astype(U) * U(0xD6E8FEB86659FD93)), return_index=True)[1]
+                mine = once[kind[once] > 0]
+                found[WORD].append((keys(WORD, words.hash[once]), kind[once]))
+                found[STEMS].append((keys(STEMS, words.prefixes(STEM)[mine]), kind[mine]))
+                found[PAIR].append((keys(PAIR, pair[kind > 0]), kind[kind > 0]))
+            for tab, parts in found.items():
+                if not parts:
+                    continue
+                key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                kind = np.concatenate([c for _, c in parts])
+                n = [np.bincount(at if c is None else at[kind == c], minlength=len(key)).astype(np.int64) for c in (None, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), tab, np.int32)), pa.array(key), *map(pa.array, n)], ["tab", "key", "n0", "n1", "n2"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each lot."""
+    for batch in batches:
+        for lot, docs in zip(batch.column("lot"), batch.column("docs")):
+            found = {tab: [np.zeros(0, np.int64)] for tab in (WORD, STEMS, PAIR)}
+            for _, words in _unpacked(docs.as_py()):
+                if len(words.hash):
+                    for tab, x in ((WORD, words.hash), (STEMS, words.prefixes(STEM)), (PAIR, pairs(words))):
+                        found[tab].append(np.unique(keys(tab, x)))
+            for parts in found.values():
+                key = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lot.as_py(), np.int64)), pa.array(key)], ["lot", "key"])
+
+
+def totals(counts: DataFrame) -> dict[str, float]:
+    """``base``: P(toxic); ``all``: continuation counts and distinct words over all documents."""
+    less = [F.sum(F.greatest(F.col(c) - D, F.lit(0.0))) for c in ("n1", "n2")]
+    r = counts.where(F.col("tab") == WORD).agg(F.sum("n0"), F.count(F.lit(1)), *less).first()
+    n0, distinct, n1, n2 = (float(v or 0) for v in r)
+    return {"base": (n2 + 1) / (n1 + n2 + 2), "all": n0 + distinct}
+
+
+class Model:
+    """The counts of some keys, and the totals of all."""
+
+    def __init__(self, total: dict[str, float], key: np.ndarray, n0: np.ndarray, n1: np.ndarray, n2: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.n0, self.total = key[order], n0[order], total
+        self.n1, self.n2 = (np.maximum(n[order] - D, 0) for n in (n1, n2))
+
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shared counts, discounted toxic and discounted counts of both classes; 0 for keys without any."""
+        if len(self.key) == 0:
+            return np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = self.key[at] == key
+        return np.where(there, self.n0[at], 0), np.where(there, self.n2[at], 0), np.where(there, self.n1[at] + self.n2[at], 0)
+
+
+def features(words: Words, m: Model) -> np.ndarray:
     """For each text: ratio of the length-normalised likelihoods, of its best windows and words, and the two likelihoods."""
     out = np.zeros((words.n_docs, FEATURES + 2))
     if len(words.hash) == 0:
         return out
-    word, pair = slots(words.hash), slots(pairs(words), PAIR_SLOTS)
-    by_word = (m["k"][word] + A * m["s"][slots(words.prefixes(STEM))]) / (m["m"][word] + A)
-    strength = float(m["B"])
-    toxic = np.clip((m["b"][pair] + strength * by_word) / (m["n"][pair] + strength), 1e-6, 1 - 1e-6).astype(np.float64)
-    shared, base = m["p"][word].astype(np.float64), float(m["base"])
+    base = m.total["base"]
+    k0, k, both = m.of(keys(WORD, words.hash))
+    _, s, stems = m.of(keys(STEMS, words.prefixes(STEM)))
+    _, b, n = m.of(keys(PAIR, pairs(words)))
+    by_word = (k + A * (s + A * base) / (stems + A)) / (both + A)
+    toxic = np.clip((b + B * by_word) / (n + B), 1e-6, 1 - 1e-6)
+    shared = np.log((k0 + 1) / m.total["all"])
     logs = shared + np.log(toxic / base), shared + np.log((1 - toxic) / (1 - base))
     ratio = logs[0] - logs[1]
     size = np.diff(words.first)
@@ -204,26 +217,34 @@ def probability(x: np.ndarray, fit: dict[str, np.ndarray]) -> np.ndarray:
     return fit["flip"][0] + (1 - fit["flip"].sum()) / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features(model_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_of.value
-        for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
-                x = features(Words(data, offsets, ALNUM), m)[:, :FEATURES]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["y", "x"])
+FEATURED = "doc_id long, held_out boolean, y int, x array<double>, toxic_ll double, ordinary_ll double"
+
+
+def _features(total: dict[str, float]):
+    def run(lots: pa.Table, counts: pa.Table) -> pa.Table:
+        m = Model(total, *(counts.column(c).to_numpy() for c in ("key", "n0", "n1", "n2")))
+        out = []
+        for docs in lots.column("docs"):
+            for rows, words in _unpacked(docs.as_py()):
+                x = features(words, m)
+                some = np.ascontiguousarray(x[:, :FEATURES])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(some.reshape(-1)))
+                columns = [*(rows.column(c) for c in ("doc_id", "held_out", "y")), lists, *(pa.array(x[:, FEATURES + k].copy()) for k in (0, 1))]
+                out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "y", "x", "toxic_ll", "ordinary_ll"]))
+        if out:
+            return pa.Table.from_batches(out)
+        empty = [pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array([], t) for t in empty], ["doc_id", "held_out", "y", "x", "toxic_ll", "ordinary_ll"])
 
     return run
 
 
-def _score(model_of, fit):
+def _score(fit: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_of.value
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(2)):
-                x = features(Words(data, offsets, ALNUM), m)
-                columns = [pa.array(c) for c in (probability(x[:, :FEATURES], fit), x[:, FEATURES].copy(), x[:, FEATURES + 1].copy())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *columns], ["doc_id", "held_out", "score", "toxic_ll", "ordinary_ll"])
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+            names = ["doc_id", "held_out", "toxic_ll", "ordinary_ll"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:2]), pa.array(probability(x, fit)), *(batch.column(c) for c in names[2:])], ["doc_id", "held_out", "score", *names[2:]])
 
     return run
 
@@ -251,21 +272,26 @@ def score_toxicity(
     marks = scratch.keep(marks.where(fold(F.col("doc_id")) != 2).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")), "labels")
     n_marks = marks.count()
     marks = maybe_broadcast(marks, n_marks, broadcast_rows)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    kind = F.when(fold(F.col("doc_id")) == 3, 0).otherwise(F.coalesce(F.col("toxic") + 1, F.lit(0)))
-    blocks = count_blocks(rows.join(marks, "doc_id", "left").select(kind.cast("int").alias("kind"), "text"), scratch)
-    m = spark.sparkContext.broadcast(model(tables(blocks)))
-    some = marks.where(fold(F.col("doc_id")) == 3)
     share = min(1.0, calibration / max(1, n_marks // 3))
-    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    drawn = rows.join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(_features(m), "y int, x array<double>")
-    drawn = drawn.toArrow()
+    drawn = (fold(F.col("doc_id")) == 3) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    kind = F.when(fold(F.col("doc_id")) == 3, 0).otherwise(F.coalesce(F.col("toxic") + 1, F.lit(0)))
+    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id", "left")
+    rows = rows.select("doc_id", held.alias("held_out"), kind.cast("int").alias("kind"), F.when(drawn, F.col("toxic")).alias("y"), "text")
+    lots = scratch.keep(rows.mapInArrow(_lots, LOTS), "lots")
+    counts = lots.mapInArrow(_count, COUNTS).groupBy("tab", "key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n2")))
+    counts = scratch.keep(counts, "counts")
+    answers = lots.mapInArrow(_asked, "lot long, key long").join(counts, "key").select("lot", "key", "n0", "n1", "n2")
+    featured = lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(_features(totals(counts)), FEATURED)
+    featured = scratch.keep(featured, "features")
+    scratch.drop("lots")
+    scratch.drop("counts")
+    drawn = featured.where("y is not null").select("y", "x").toArrow()
     x = drawn.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if drawn.num_rows else np.zeros((0, FEATURES))
     y = drawn.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which rows come
     fit = fit_logistic(x[order], y[order])
-    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    scored = rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(_score(m, fit), "doc_id long, held_out boolean, score double, toxic_ll double, ordinary_ll double")
+    scored = featured.mapInArrow(_score(fit), "doc_id long, held_out boolean, score double, toxic_ll double, ordinary_ll double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "toxic_ll", "ordinary_ll")
 
 
