@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from helpers import groups, shingles, words
 
-from valuefit.llm import minhash
+from valuefit.llm import license_scan, minhash
 from valuefit.llm.decontaminate import decontaminate, find_contamination
 from valuefit.llm.kernels import ALNUM, NOT_SPACE, Words
 from valuefit.llm.license_scan import PHRASES, scan_licenses
@@ -158,3 +158,23 @@ def test_licenses(spark):
     assert by[9]["labels"] == "gpl,gpl-3.0" and by[10]["labels"] == "cc-by,cc-by-nc-4.0"
     assert all(0 <= r["score"] <= 1 for r in got)
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_every_notice_form(spark):
+    """The notices that occur in the documents, short references and whole texts."""
+    forms = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "All rights reserved.": "all-rights-reserved,reserved", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Under a BSD license": "bsd", "BSD-3-Clause": "bsd",
+        "Mozilla Public License, version 2.0": "mpl-2.0", "MPL 1.1": "mpl-1.1", "CC BY-SA 3.0": "cc-by,cc-by-sa-3.0", "https://creativecommons.org/licenses/by-nc-nd/2.5/": "cc-by-nc-nd-2.5",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0", "Released into the public domain": "public-domain", "GPLv2 or later": "gpl-2.0", "CC0": "cc0-1.0",
+        "the mit students asked for a licence": "", "Mozilla Public License 3.0": "", "cc by 9": "cc-by",
+    }
+    folder = license_scan.Path(license_scan.__file__).parent / "licenses"
+    whole = [((folder / f"{file}.txt").read_text(), label) for file, (label, _) in license_scan.TEXTS.items()]
+    rows = [(i, f"some words before {t} and after") for i, t in enumerate(forms)] + [(1000 + i, "x " * i + t) for i, (t, _) in enumerate(whole)] + [(5000 + i, f"plain text {i}") for i in range(60)]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i]["labels"] for i, t in enumerate(forms)} == forms
+    assert all((got[i]["score"] > 0) == bool(w) for i, w in enumerate(forms.values()))
+    assert all(label in got[1000 + i]["labels"].split(",") for i, (_, label) in enumerate(whole))
+    cut = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(whole)], "doc_id long, text string"), templates=[x for x in license_scan.all_templates() if len(x[1].split()) > 100]).collect()
+    assert all(whole[r["doc_id"]][1] in r["labels"].split(",") for r in cut)

@@ -9,7 +9,9 @@ holds if its key phrase stands in place and enough of the indexed weight does.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,33 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
 ]
+#: label and the names by which short notices refer to a license; each is its own key phrase
+NAMES = {
+    "mit": "mit license,mit licence,spdx license identifier mit", "isc": "isc license,isc licence", "unlicense": "the unlicense",
+    "bsd": "bsd license,bsd licence,bsd style license,bsd 2 clause,bsd 3 clause,2 clause bsd,3 clause bsd",
+    "apache-2.0": "apache license version 2 0,apache license 2 0,apache license v2 0,apache licence version 2 0,apache 2 0",
+    "gpl-2.0": "gpl version 2,gpl v2,gplv2,gpl 2 0,gnu general public license v2", "gpl-3.0": "gpl version 3,gpl v3,gplv3,gpl 3 0,gnu general public license v3",
+    "lgpl": "gnu lesser general public license,gnu library general public license,lgpl", "agpl": "gnu affero general public license,agpl",
+    "mpl-1.1": "mozilla public license 1 1,mozilla public license version 1 1,mozilla public license v 1 1,mpl 1 1",
+    "mpl-2.0": "mozilla public license 2 0,mozilla public license version 2 0,mozilla public license v2 0,mpl 2 0",
+    "epl": "eclipse public license", "cc0-1.0": "cc0", "public-domain": "released into the public domain,in the public domain,public domain dedication,dedicated to the public domain",
+}
+#: short names of the Creative Commons licenses and their written-out forms
+COMMONS = {
+    "by": ["attribution"], "by-sa": ["attribution sharealike", "attribution share alike"], "by-nd": ["attribution noderivatives", "attribution noderivs", "attribution no derivatives"],
+    "by-nc": ["attribution noncommercial", "attribution non commercial"],
+    "by-nc-sa": ["attribution noncommercial sharealike", "attribution noncommercial share alike", "attribution non commercial share alike"],
+    "by-nc-nd": ["attribution noncommercial noderivatives", "attribution noncommercial noderivs", "attribution non commercial no derivatives"],
+}
+VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: label and key phrase of the whole texts beside this file
+TEXTS = {
+    "Apache-2.0": ("apache-2.0", "terms and conditions for use reproduction and distribution"), "BSD": ("bsd", "redistributions in binary form must reproduce"),
+    "CC0-1.0": ("cc0-1.0", "jurisdictions throughout the world automatically confer exclusive copyright"), "GPL-2": ("gpl-2.0", "public license applies to most of the free software foundation"),
+    "GPL-3": ("gpl-3.0", "general public license is a free copyleft license"), "LGPL-2.1": ("lgpl", "first released version of the lesser gpl"),
+    "LGPL-3": ("lgpl", "lesser general public license incorporates the terms"), "MIT": ("mit", "permission notice shall be included in all copies or substantial portions"),
+    "MPL-1.1": ("mpl-1.1", "contributor version means the combination of the original code"), "MPL-2.0": ("mpl-2.0", "contributes to the creation of or owns covered software"),
+}
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,6 +71,21 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def all_templates() -> list[tuple[str, str, str]]:
+    """Notices, short references and whole texts."""
+    names = [(label, n) for label, some in NAMES.items() for n in some.split(",")]
+    for kind, written in COMMONS.items():
+        for version in VERSIONS:
+            short, number = kind.replace("-", " "), version.replace(".", " ")
+            forms = [f"cc {short} {number}", f"licenses {short} {number}", *(f"{w} {number}" for w in written)]
+            names += [(f"cc-{kind}-{version}", f) for f in forms]
+    known = {(label, notice) for label, notice, _ in TEMPLATES}
+    short = [(label, n, n) for label, n in names if (label, n) not in known]
+    folder = Path(__file__).parent / "licenses"
+    whole = [(label, " ".join(re.sub(GAP, " ", (folder / f"{file}.txt").read_text().lower()).split()), key) for file, (label, key) in TEXTS.items()]
+    return TEMPLATES + short + whole
+
+
 def places(words: Column, phrase: list[str]) -> Column:
     """Where the phrase's words stand consecutively."""
     there = reduce(lambda a, b: a & b, (F.array_contains(words, w) for w in phrase)) & (F.size(words) >= len(phrase))
@@ -57,7 +101,7 @@ def _literal(values: list[str]) -> Column:
 
 
 def scan_licenses(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, rare: int = 6, coverage: float = 0.6
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=None, rare: int = 6, coverage: float = 0.6
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
@@ -68,14 +112,14 @@ def scan_licenses(
 
     A null or empty text has no words and no labels.  Repeated rows come back as often as they came, an id may be null,
     and other columns of ``docs`` are not read.  An alignment may start before the text's first word, so a notice may
-    be cut off, but its key phrase has to be whole.
+    be cut off, but its key phrase has to be whole.  Without ``templates``, those of ``all_templates`` are taken.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
-    split = [(label, notice.split(), key.split(), k) for k, (label, notice, key) in enumerate(templates)]
+    split = [(label, notice.split(), key.split(), k) for k, (label, notice, key) in enumerate(all_templates() if templates is None else templates)]
     vocabulary = sorted({w for _, notice, _, _ in split for w in notice})
     # document frequencies over all documents: a few rows, one for each word of the templates
-    seen = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), _literal(vocabulary))).alias("word")).groupBy("word").count()
+    seen = docs.select(F.explode(F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w.isin(vocabulary)))).alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in scratch.keep(seen, "frequencies").collect()}
     total = docs.count()
     posts, rarest = [], set()
@@ -88,8 +132,8 @@ def scan_licenses(
         own = [(w, i) for i, w in enumerate(notice) if w in chosen or i in within]
         sum_ = sum(weight[w] for w, _ in own)
         posts += [(w, i, k, label, weight[w] / sum_, i in within, len(key)) for w, i in own]
-    names = ("word", "at", "template", "label", "weight", "key", "n_key")
-    postings = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, names))) for p in posts))))
+    types = "word string, at int, template int, label string, weight double, key boolean, n_key int"
+    postings = spark.createDataFrame(posts, types)
     indexed = sorted({p[0] for p in posts})
     base = [places(F.col("words"), p.split()) for p in phrases]
     labels = F.array_compact(F.array(*(F.when(F.size(b) > 0, F.lit(v)) for b, v in zip(base, phrases.values()))))
