@@ -76,6 +76,10 @@ def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
         first = last
 
 
+#: bytes whose words are hashed at a time, so that a very long text needs no more memory for it than a short one
+BLOCK = 1 << 20
+
+
 class Words:
     """The words of a chunk of texts: ``start`` and ``end`` (bytes), ``doc`` (row), ``hash``, ``first`` (of each row)."""
 
@@ -87,7 +91,6 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
             self.doc, self.hash = np.zeros(0, np.int64), np.zeros(0, U)
             self.first = np.zeros(self.n_docs + 1, np.int64)
-            self.sums, self.down = np.zeros(1, U), np.ones(1, U)
             return
         inside = table[data]
         before = np.empty(n, bool)
@@ -100,15 +103,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
-        up, down = powers(n + 1)
-        self.sums, self.down = np.zeros(n + 1, U), down
-        np.cumsum((data.astype(U) + U(1)) * up[:n], out=self.sums[1:])
-        self.hash = self.prefixes(n)
-
-    def prefixes(self, size: int) -> np.ndarray:
-        """The hash of each word's first ``size`` bytes."""
-        end = np.minimum(self.end, self.start + size)
-        return mix((self.sums[end] - self.sums[self.start]) * self.down[self.start] + (end - self.start).astype(U))
+        self.hash = slices(data, self.start, self.end)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of n words within one row."""
@@ -130,3 +125,19 @@ class Words:
             self.data[a:b].tobytes().decode("utf-8", "replace")
             for a, b in zip(self.start[first : first + n].tolist(), self.end[first : first + n].tolist())
         )
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each slice of the bytes; slices come in order and do not overlap."""
+    out = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+        base, size = int(start[i]), int(end[j - 1] - start[i])
+        up, down = powers(size + 1)
+        sums = np.zeros(size + 1, U)
+        np.cumsum((data[base : base + size].astype(U) + U(1)) * up[:size], out=sums[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
+        i = j
+    return out

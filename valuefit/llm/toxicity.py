@@ -1,22 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney language models over words.
 
-For a class c (ordinary or toxic), a word w after a word v, with discount D and backoff strengths A and B:
-
-    P_c(w | v)  = P(w) * P(c | v w) / P(c)
-    P(c | v w)  = (max(n_c(v w) - D, 0) + B * P(c | w)) / (sum over classes of max(n_c(v w) - D, 0) + B)
-    P(c | w)    = (max(k_c(w) - D, 0) + A * P(c | s)) / (sum over classes of max(k_c(w) - D, 0) + A)
-    P(c | s)    = the same for the word's stem s, its first bytes, with P(c) below it
-    P(w)        = (k(w) + 1) / (k + distinct words)
-
-n are token counts; k are continuation counts: distinct left neighbours, counted in each document so that documents add
-up.  This is the interpolated model in the form of Bayes' rule: the two classes share the backoff P(w), counted over all
-documents, labelled or not, and rare expressions fall back on their words, stems and at last on the shared counts, so a
-word of few documents tells little.  Words, stems and pairs are keyed by hashes of 64 bits in a table that grows with the
-corpus, as partial sums of lots of documents added by key.  Each lot then asks for its own distinct keys, so that a common
-word is one row a lot, and gets their counts back.
-
-A document is judged by its length-normalised toxic and ordinary log-likelihoods, over the whole text, over windows and
-over its most telling words.
+For a class c (ordinary or toxic), a word w after a word v, and D(n) = min(n, D), the discount of a count n:
+
+    P_c(w | v) = (n_c(v w) - D(n_c(v w)) + sum over words x of D(n_c(v x)) * P_c(w)) / n_c(v)
+    P_c(w)     = (k_c(w) - D(k_c(w)) + sum over words x of D(k_c(x)) * P_c(s) * P(w) / P(s)) / K_c
+    P_c(s)     = (k_c(s) - D(k_c(s)) + sum over stems x of D(k_c(x)) * P(s)) / K_c
+    P(w)       = (n(w) + 1) / (all words + distinct words + 1), P(s) = sum over the words w of stem s of P(w)
+
+n_c are counts in the class's documents; k_c(w) is the continuation count, the number of distinct words that w follows
+in them, k_c(s) that of the distinct pairs of words that end in a word of the stem s (its first bytes), K_c their sum;
+n(w) are counts over all documents, labelled or not, which both classes share.  Each of the four sums to 1.  Discounts are larger than the usual ones below 1: a share of the labels is wrong and documents come in copies, so
+what a class shows a few times goes to the shared counts, where it favours neither class.  Both classes are compared at
+the highest order that both know: P_c(w | v) where each has seen v at least ``both`` times, else P_c(w).
+
+A document's words have the mean log-ratio of the two likelihoods, over the whole text, over its best run of words and
+over its most telling words; few words may make a long text toxic, so the whole text's mean alone would drown them.
+
+Counts are rows keyed by 64-bit hashes, exact, and grow with the corpus.  Words that neither class shows often enough
+have the same ratio, so the table of ratios is much smaller than the counts; it goes to the executors if its counted
+bytes fit a bound, else lots of documents ask for their own distinct keys in a join.
 """
 
 from __future__ import annotations
@@ -30,163 +32,211 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, maybe_broadcast, read_table
-from .kernels import ALNUM, U, Words, chunks, mix
+from .kernels import ALNUM, U, Words, chunks, mix, slices
 
-D, A, B, STEM = 0.75, 12.0, 300.0, 6
-#: bytes of text of a lot
-LOT = 1 << 24
-WORD, STEMS, PAIR = range(3)
+WORD_DISCOUNT, STEM_DISCOUNT, PAIR_DISCOUNT, BOTH, STEM_BYTES = 4, 8, 8, 1000, 6
+WORD, STEM, CONTEXT, PAIR = range(4)
 START = U(0x2545F4914F6CDD1D)
-WINDOWS = (8, 24)
-FEATURES = 2 + len(WINDOWS)
-
+WINDOW, TOP = 8, (2, 3)
+FEATURES = 2 + len(TOP)
+#: rows of a memory-bounded table of partial counts, bytes of text of a lot, bytes of a row of ratios
+PARTIAL, LOT, RATIO_BYTES = 1 << 21, 1 << 24, 16
 
-def keys(kind: int, x: np.ndarray) -> np.ndarray:
-    """Hashes of one kind (words, stems or pairs) as keys that differ from those of the other kinds."""
-    return mix(x + U((kind + 1) * 0x9FB21C651E98DF25 & (2**64 - 1))).astype(np.int64)
 
-
-def pairs(words: Words) -> np.ndarray:
-    """The hash of every word with the one before it; a text's first word follows the start."""
+def lefts(words: Words) -> np.ndarray:
+    """The word before each word; a text's first word follows the start."""
     before = np.empty_like(words.hash)
     before[1:] = words.hash[:-1]
     first = words.first[:-1]
     before[first[first < len(before)]] = START
-    return mix(words.hash * U(3) + before * U(0x9E3779B97F4A7C15))
+    return before
 
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("kind", pa.int32()), ("y", pa.int32()), ("text", pa.string())])
-LOTS = "lot long, docs binary"
+def stems(words: Words) -> np.ndarray:
+    """The hash of each word's first bytes."""
+    return slices(words.data, words.start, np.minimum(words.end, words.start + STEM_BYTES))
 
 
-def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in lots of about ``LOT`` bytes of text, each packed as one value."""
-    part, n, size, rows = TaskContext.get().partitionId(), 0, 0, []
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Values added by key, in the order of the keys; keys and values are lists of columns."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
 
-    def packed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for r in rows:
-                out.write_batch(r)
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lot", "docs"])
 
-    for batch in batches:
-        batch = pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in ROWS], schema=ROWS)
-        for a, b, data, _ in chunks(batch.column("text")):
-            if rows and size + len(data) > LOT:
-                yield packed()
-                n, size, rows = n + 1, 0, []
-            rows.append(batch.slice(a, b - a))
-            size += len(data)
-    if rows:
-        yield packed()
+class _Partial:
+    """Counts by key, added up before they leave a task whenever ``PARTIAL`` rows have come together."""
 
+    def __init__(self, names: list[str], n_keys: int):
+        self.names, self.n_keys, self.parts, self.rows = names, n_keys, [], 0
 
-def _unpacked(docs: bytes) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    for batch in pa.ipc.open_stream(docs):
-        for a, b, data, offsets in chunks(batch.column("text")):
-            yield batch.slice(a, b - a), Words(data, offsets, ALNUM)
+    def add(self, keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, values = _summed(keys, values)
+        self.parts.append((*keys, *values))
+        self.rows += len(keys[0])
+        if self.rows >= 2 * PARTIAL:
+            self.fold()
+            if self.rows >= PARTIAL:
+                yield from self.flush()
 
+    def fold(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        keys, values = _summed(columns[: self.n_keys], columns[self.n_keys :])
+        self.parts, self.rows = [(*keys, *values)], len(keys[0])
 
-COUNTS = "tab int, key long, n0 long, n1 long, n2 long"
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.fold()
+            columns = self.parts[0]
+            for i in range(0, self.rows, 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)].view(np.int64)) for c in columns], self.names)
+        self.parts, self.rows = [], 0
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of each lot: of words over all documents (n0) and by class, of stems and pairs by class."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _Partial(["a", "s", "n"], 2)
     for batch in batches:
-        for docs in batch.column("docs"):
-            found = {tab: [] for tab in (WORD, STEMS, PAIR)}
-            for rows, words in _unpacked(docs.as_py()):
-                if len(words.hash) == 0:
-                    continue
-                pair = pairs(words)
-                kind = rows.column("kind").to_numpy(zero_copy_only=False)[words.doc]
-                once = np.unique(mix(pair + words.doc.astype(U) * U(0xD6E8FEB86659FD93)), return_index=True)[1]
-                mine = once[kind[once] > 0]
-                found[WORD].append((keys(WORD, words.hash[once]), kind[once]))
-                found[STEMS].append((keys(STEMS, words.prefixes(STEM)[mine]), kind[mine]))
-                found[PAIR].append((keys(PAIR, pair[kind > 0]), kind[kind > 0]))
-            for tab, parts in found.items():
-                if not parts:
-                    continue
-                key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                kind = np.concatenate([c for _, c in parts])
-                n = [np.bincount(at if c is None else at[kind == c], minlength=len(key)).astype(np.int64) for c in (None, 1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), tab, np.int32)), pa.array(key), *map(pa.array, n)], ["tab", "key", "n0", "n1", "n2"])
+        for _, _, data, offsets in chunks(batch.column(0)):
+            words = Words(data, offsets, ALNUM)
+            yield from found.add([words.hash, stems(words)], [np.ones(len(words.hash), np.int64)])
+    yield from found.flush()
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct keys of each lot."""
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _Partial(["v", "w", "n0", "n1"], 2)
     for batch in batches:
-        for lot, docs in zip(batch.column("lot"), batch.column("docs")):
-            found = {tab: [np.zeros(0, np.int64)] for tab in (WORD, STEMS, PAIR)}
-            for _, words in _unpacked(docs.as_py()):
-                if len(words.hash):
-                    for tab, x in ((WORD, words.hash), (STEMS, words.prefixes(STEM)), (PAIR, pairs(words))):
-                        found[tab].append(np.unique(keys(tab, x)))
-            for parts in found.values():
-                key = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lot.as_py(), np.int64)), pa.array(key)], ["lot", "key"])
-
-
-def totals(counts: DataFrame) -> dict[str, float]:
-    """``base``: P(toxic); ``all``: continuation counts and distinct words over all documents."""
-    less = [F.sum(F.greatest(F.col(c) - D, F.lit(0.0))) for c in ("n1", "n2")]
-    r = counts.where(F.col("tab") == WORD).agg(F.sum("n0"), F.count(F.lit(1)), *less).first()
-    n0, distinct, n1, n2 = (float(v or 0) for v in r)
-    return {"base": (n2 + 1) / (n1 + n2 + 2), "all": n0 + distinct}
-
-
-class Model:
-    """The counts of some keys, and the totals of all."""
-
-    def __init__(self, total: dict[str, float], key: np.ndarray, n0: np.ndarray, n1: np.ndarray, n2: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.n0, self.total = key[order], n0[order], total
-        self.n1, self.n2 = (np.maximum(n[order] - D, 0) for n in (n1, n2))
-
-    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shared counts, discounted toxic and discounted counts of both classes; 0 for keys without any."""
-        if len(self.key) == 0:
-            return np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key))
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        there = self.key[at] == key
-        return np.where(there, self.n0[at], 0), np.where(there, self.n2[at], 0), np.where(there, self.n1[at] + self.n2[at], 0)
-
-
-def features(words: Words, m: Model) -> np.ndarray:
-    """For each text: ratio of the length-normalised likelihoods, of its best windows and words, and the two likelihoods."""
-    out = np.zeros((words.n_docs, FEATURES + 2))
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, _, data, offsets in chunks(batch.column(0)):
+            words = Words(data, offsets, ALNUM)
+            y = toxic[a + words.doc]
+            yield from found.add([lefts(words), words.hash], [1 - y, y])
+    yield from found.flush()
+
+
+def ratios(
+    docs: DataFrame, marks: DataFrame, scratch: Scratch, word_discount: int = WORD_DISCOUNT, stem_discount: int = STEM_DISCOUNT,
+    pair_discount: int = PAIR_DISCOUNT, both: int = BOTH,
+) -> tuple[DataFrame, float]:
+    """Rows (kind, a, b, r) of log-ratios, toxic to ordinary, and the ratio of words without a row.
+
+    Words (a) have log P_1(w) / P_0(w); stems (a) that of their words without a row; pairs (a, b) log P_1(b | a) /
+    P_0(b | a); contexts (a) that both classes know what a word after them gets besides its own ratio if the pair has
+    no row.  ``marks``: (doc_id, toxic).
+    """
+    shared = docs.select("text").mapInArrow(_count_words, "a long, s long, n long").groupBy("a", "s").agg(F.sum("n").alias("n"))
+    shared = scratch.keep(shared, "shared")
+    train = docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id").select("text", "toxic")
+    pairs = train.mapInArrow(_count_pairs, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    row = lambda kind, a, b, *x: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), *(v.cast("long").alias(n) for v, n in zip(x, ("x0", "x1", "d0", "d1"))))
+    none, n = F.lit(0).cast("long"), [F.col("n0"), F.col("n1")]
+    kept = (F.col("n0") > pair_discount) | (F.col("n1") > pair_discount)
+    counted = F.array(
+        row(WORD, F.col("w"), none, *(x > 0 for x in n), none, none),
+        row(CONTEXT, F.col("v"), none, *n, *(F.least(x, F.lit(pair_discount)) for x in n)),
+        F.when(kept, row(PAIR, F.col("v"), F.col("w"), *n, none, none)),
+    )
+    counts = pairs.select(F.inline(F.array_compact(counted))).groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in ("x0", "x1", "d0", "d1")))
+    counts = scratch.keep(counts.where((F.col("kind") != CONTEXT) | ((F.col("x0") >= both) & (F.col("x1") >= both))), "counts")
+    k = counts.where(F.col("kind") == WORD).agg(F.sum("x0"), F.sum("x1")).first()
+    k0, k1 = (float(x or 0) for x in k)
+    if k0 == 0 or k1 == 0:
+        return docs.sparkSession.createDataFrame([], "kind int, a long, b long, r double"), 0.0
+    total, distinct = (float(x or 0) for x in shared.agg(F.sum("n"), F.count(F.lit(1))).first())
+    size = F.lit(total + distinct + 1)
+    words = shared.join(counts.where(F.col("kind") == WORD).select("a", "x0", "x1"), "a", "left").select(
+        "a", "s", ((F.col("n") + 1) / size).alias("p"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("x0", "x1"))
+    )
+    by_stem = scratch.keep(words.groupBy("s").agg(F.sum("p").alias("ps"), F.sum("x0").alias("s0"), F.sum("x1").alias("s1")), "stems")
+    words = words.where("x0 > 0 or x1 > 0")
+    least = lambda frame, c, d: [F.sum(F.least(F.col(f"{c}{i}"), F.lit(d))) for i in (0, 1)]
+    l0, l1 = (float(x) for x in words.agg(*least(words, "x", word_discount)).first())
+    m0, m1 = (float(x) for x in by_stem.agg(*least(by_stem, "s", stem_discount)).first())
+    of_class = lambda x, d, k, l, p: (F.greatest(F.col(x) - d, F.lit(0)) + F.lit(l) * p) / F.lit(k)
+    by_stem = by_stem.select("s", "ps", "s0", "s1", of_class("s0", stem_discount, k0, m0, F.col("ps")).alias("q0"), of_class("s1", stem_discount, k1, m1, F.col("ps")).alias("q1"))
+    part = F.col("p") / F.col("ps")
+    words = words.join(by_stem, "s").select(
+        "a", "x0", "x1", of_class("x0", word_discount, k0, l0, F.col("q0") * part).alias("p0"), of_class("x1", word_discount, k1, l1, F.col("q1") * part).alias("p1")
+    )
+    telling = words.where((F.col("x0") > word_discount) | (F.col("x1") > word_discount))
+    of_stem = by_stem.where((F.col("s0") > stem_discount) | (F.col("s1") > stem_discount))
+    rest = float(np.log(l1 / k1 * k0 / l0))
+    contexts = counts.where(F.col("kind") == CONTEXT)
+    given = lambda c: (F.greatest(F.col(f"n{c}") - pair_discount, F.lit(0)) + F.col(f"d{c}") * F.col(f"p{c}")) / F.col(f"x{c}")
+    twos = counts.where(F.col("kind") == PAIR).select(F.col("a").alias("v"), F.col("b").alias("a"), F.col("x0").alias("n0"), F.col("x1").alias("n1"))
+    twos = twos.join(contexts.select(F.col("a").alias("v"), "x0", "x1", "d0", "d1"), "v").join(words.select("a", "p0", "p1"), "a")
+    out = (
+        telling.select(F.lit(WORD).alias("kind"), "a", none.alias("b"), F.ln(F.col("p1") / F.col("p0")).alias("r"))
+        .unionByName(of_stem.select(F.lit(STEM).alias("kind"), F.col("s").alias("a"), none.alias("b"), (F.ln(F.col("q1") / F.col("q0")) + rest).alias("r")))
+        .unionByName(contexts.select("kind", "a", "b", F.ln(F.col("d1") / F.col("x1") * F.col("x0") / F.col("d0")).alias("r")))
+        .unionByName(twos.select(F.lit(PAIR).alias("kind"), F.col("v").alias("a"), F.col("a").alias("b"), F.ln(given(1) / given(0)).alias("r")))
+    )
+    return scratch.keep(out, "ratios"), rest + float(np.log(m1 / k1 * k0 / m0))
+
+
+def key_of(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(w * U(3) + v * U(0x9E3779B97F4A7C15))
+
+
+class Ratios:
+    """Log-ratios of some keys, looked up by sorted hashes."""
+
+    def __init__(self, default: float, kind: np.ndarray, a: np.ndarray, b: np.ndarray, r: np.ndarray):
+        self.default = default
+        a, b = (np.ascontiguousarray(x).view(U) for x in (a, b))
+        self.tables = []
+        for k in (WORD, STEM, CONTEXT, PAIR):
+            of = kind == k
+            key = key_of(a[of], b[of]) if k == PAIR else a[of]
+            order = np.argsort(key)
+            self.tables.append((key[order], r[of][order].astype(np.float32)))
+
+    def get(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """NaN for keys without a row."""
+        keys, r = self.tables[kind]
+        if len(keys) == 0:
+            return np.full(len(key), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, r[at], np.float32(np.nan))
+
+    def of(self, words: Words) -> np.ndarray:
+        """The log-ratio of each word."""
+        out = self.get(WORD, words.hash)
+        none = np.isnan(out)
+        out[none] = self.get(STEM, stems(words)[none])
+        out[np.isnan(out)] = self.default
+        before = lefts(words)
+        more = self.get(CONTEXT, before)
+        some = np.flatnonzero(~np.isnan(more))
+        if len(some):
+            pair = self.get(PAIR, key_of(before[some], words.hash[some]))
+            out[some] = np.where(np.isnan(pair), more[some] + out[some], pair)
+        return out
+
+
+def features(words: Words, m: Ratios) -> np.ndarray:
+    """For each text the mean log-ratio of all its words, of its best run of words and of its most telling words."""
+    out = np.zeros((words.n_docs, FEATURES))
     if len(words.hash) == 0:
         return out
-    base = m.total["base"]
-    k0, k, both = m.of(keys(WORD, words.hash))
-    _, s, stems = m.of(keys(STEMS, words.prefixes(STEM)))
-    _, b, n = m.of(keys(PAIR, pairs(words)))
-    by_word = (k + A * (s + A * base) / (stems + A)) / (both + A)
-    toxic = np.clip((b + B * by_word) / (n + B), 1e-6, 1 - 1e-6)
-    shared = np.log((k0 + 1) / m.total["all"])
-    logs = shared + np.log(toxic / base), shared + np.log((1 - toxic) / (1 - base))
-    ratio = logs[0] - logs[1]
+    ratio = m.of(words).astype(float)
     size = np.diff(words.first)
     some = np.flatnonzero(size)
     a, b = words.first[:-1][some], words.first[1:][some]
     sums = np.concatenate([[0.0], np.cumsum(ratio)])
-    out[some, 0] = (sums[b] - sums[a]) / size[some]
-    for k, w in enumerate(WINDOWS, 1):
-        out[some, k] = out[some, 0]
-        long_ = np.flatnonzero(size[some] > w)
-        if len(long_):
-            mean = np.full(len(ratio), -np.inf)
-            ok = words.doc[: len(ratio) - w + 1] == words.doc[w - 1 :]
-            mean[: len(ok)][ok] = ((sums[w:] - sums[:-w]) / w)[ok]
-            out[some[long_], k] = np.maximum.reduceat(mean, a)[long_]
+    out[some, 0] = out[some, 1] = (sums[b] - sums[a]) / size[some]
+    long_ = np.flatnonzero(size[some] > WINDOW)
+    if len(long_):
+        mean = np.full(len(ratio), -np.inf)
+        ok = words.doc[: len(ratio) - WINDOW + 1] == words.doc[WINDOW - 1 :]
+        mean[: len(ok)][ok] = ((sums[WINDOW:] - sums[:-WINDOW]) / WINDOW)[ok]
+        out[some[long_], 1] = np.maximum.reduceat(mean, a)[long_]
     order = np.lexsort((-ratio, words.doc))
-    top = np.concatenate([[0.0], np.cumsum(ratio[order])])
-    out[some, FEATURES - 1] = (top[a + np.minimum(3, size[some])] - top[a]) / 3
-    for k, log in enumerate(logs):
-        sums = np.concatenate([[0.0], np.cumsum(log)])
-        out[some, FEATURES + k] = (sums[b] - sums[a]) / size[some]
+    best = np.concatenate([[0.0], np.cumsum(ratio[order])])
+    for k, n in enumerate(TOP, 2):
+        out[some, k] = (best[a + np.minimum(n, size[some])] - best[a]) / n
     return out
 
 
@@ -217,34 +267,98 @@ def probability(x: np.ndarray, fit: dict[str, np.ndarray]) -> np.ndarray:
     return fit["flip"][0] + (1 - fit["flip"].sum()) / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-FEATURED = "doc_id long, held_out boolean, y int, x array<double>, toxic_ll double, ordinary_ll double"
+FEATURED = "doc_id long, x array<double>"
+ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _featured(ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))], ["doc_id", "x"])
+
+
+def _with(model):
+    """Features of rows (doc_id, text), by ratios that Spark has brought to the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Ratios(*model.value)
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(1)):
+                yield _featured(batch.column(0).slice(a, b - a), features(Words(data, offsets, ALNUM), m))
+
+    return run
+
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in lots of about ``LOT`` bytes of text, each packed as one value."""
+    part, n, size, rows = TaskContext.get().partitionId(), 0, 0, []
 
-def _features(total: dict[str, float]):
-    def run(lots: pa.Table, counts: pa.Table) -> pa.Table:
-        m = Model(total, *(counts.column(c).to_numpy() for c in ("key", "n0", "n1", "n2")))
-        out = []
-        for docs in lots.column("docs"):
-            for rows, words in _unpacked(docs.as_py()):
-                x = features(words, m)
-                some = np.ascontiguousarray(x[:, :FEATURES])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(some.reshape(-1)))
-                columns = [*(rows.column(c) for c in ("doc_id", "held_out", "y")), lists, *(pa.array(x[:, FEATURES + k].copy()) for k in (0, 1))]
-                out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "y", "x", "toxic_ll", "ordinary_ll"]))
-        if out:
-            return pa.Table.from_batches(out)
-        empty = [pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array([], t) for t in empty], ["doc_id", "held_out", "y", "x", "toxic_ll", "ordinary_ll"])
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in rows:
+                out.write_batch(r)
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lot", "docs"])
+
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in ROWS], schema=ROWS)
+        for a, b, data, _ in chunks(batch.column("text")):
+            if rows and size + len(data) > LOT:
+                yield packed()
+                n, size, rows = n + 1, 0, []
+            rows.append(batch.slice(a, b - a))
+            size += len(data)
+    if rows:
+        yield packed()
+
+
+def _unpacked(docs: bytes) -> Iterator[tuple[pa.Array, Words]]:
+    for batch in pa.ipc.open_stream(docs):
+        for a, b, data, offsets in chunks(batch.column("text")):
+            yield batch.column("doc_id").slice(a, b - a), Words(data, offsets, ALNUM)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words, contexts and pairs of each lot."""
+    for batch in batches:
+        for lot, docs in zip(batch.column("lot"), batch.column("docs")):
+            found: dict[int, list] = {WORD: [], STEM: [], CONTEXT: [], PAIR: []}
+            for _, words in _unpacked(docs.as_py()):
+                v, w = lefts(words), words.hash
+                for kind, keys in ((WORD, [w]), (STEM, [stems(words)]), (CONTEXT, [v]), (PAIR, [v, w])):
+                    found[kind].append(_summed(keys, [])[0])
+            for kind, parts in found.items():
+                keys, _ = _summed([np.concatenate(c) for c in zip(*parts)], [])
+                b = keys[1] if len(keys) > 1 else np.zeros(len(keys[0]), U)
+                columns = [np.full(len(b), lot.as_py(), np.int64), np.full(len(b), kind, np.int32), keys[0].view(np.int64), b.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lot", "kind", "a", "b"])
+
+
+def _answered(default: float):
+    def run(lots: pa.Table, found: pa.Table) -> pa.Table:
+        m = Ratios(default, *(found.column(c).to_numpy() for c in ("kind", "a", "b", "r")))
+        out = [_featured(ids, features(words, m)) for docs in lots.column("docs") for ids, words in _unpacked(docs.as_py())]
+        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))]))
 
     return run
 
 
+def featured(docs: DataFrame, table: DataFrame, default: float, scratch: Scratch, broadcast_bytes: int) -> DataFrame:
+    """(doc_id, x) for each row of ``docs``."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    if table.count() * RATIO_BYTES <= broadcast_bytes:
+        rows = table.toArrow()
+        model = docs.sparkSession.sparkContext.broadcast((default, *(rows.column(c).to_numpy() for c in ("kind", "a", "b", "r"))))
+        return texts.mapInArrow(_with(model), FEATURED)
+    lots = scratch.keep(texts.mapInArrow(_lots, "lot long, docs binary"), "lots")
+    answers = lots.mapInArrow(_asked, "lot long, kind int, a long, b long").join(table, ["kind", "a", "b"]).select("lot", "kind", "a", "b", "r")
+    return lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(_answered(default), FEATURED)
+
+
 def _score(fit: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-            names = ["doc_id", "held_out", "toxic_ll", "ordinary_ll"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:2]), pa.array(probability(x, fit)), *(batch.column(c) for c in names[2:])], ["doc_id", "held_out", "score", *names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(x, fit)), pa.array(x[:, 0])], ["doc_id", "score", "log_ratio"])
 
     return run
 
@@ -255,44 +369,46 @@ def fold(doc_id: Column) -> Column:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, calibration: int = 6000, broadcast_rows: int = 2_000_000
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, calibration: int = 6000, broadcast_rows: int = 2_000_000, broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted, toxic_ll, ordinary_ll) for each row of ``docs``; ``labels`` has doc_id and toxic (0 or 1).
-
-    Labels are learnt only from rows whose ``fold`` is not 2: folds 0 and 1 give the classes' counts, fold 3, of which
-    about ``calibration`` rows at most are drawn by hash, turns ratios into probabilities.  The shared counts take all
-    documents.  A null or empty text gets the score of a ratio of 0.  Rows with a null id are scored, as not held out,
-    and learn nothing; a doc_id labelled twice is toxic if one label says so; labels other than 0 and 1 are ignored.
-    Repeated rows come back as often as they came; no other column of ``docs`` is read.  Without labels of both classes
-    all scores are the same.
+    """(doc_id, held_out, score, predicted, log_ratio) for each row of ``docs``; ``labels`` has doc_id and toxic (0 or 1).
+
+    Labels are learnt only from rows whose ``fold`` is not 2.  Of fold 3 about ``calibration`` rows at most, drawn by
+    hash, turn ratios into probabilities; all others are counted into their class.  The shared counts take all
+    documents.  ``log_ratio`` is the difference of the length-normalised log-likelihoods.  Ratios are looked up where
+    they fit ``broadcast_bytes``, else joined; the results are the same.
+
+    A null or empty text gets the score of ratios of 0.  Very long texts are read whole, in blocks.  Rows with a null id
+    are scored, as not held out, and learn nothing; a doc_id labelled twice is toxic if one label says so; labels other
+    than 0 and 1 are ignored.  Repeated rows come back as often as they came, and a labelled row that is there twice
+    counts twice; no other column of ``docs`` is read, so names cannot clash.  Equal ratios are ties of no effect.
+    Empty tables give an empty result; without labels of both classes all scores are the same.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
+    docs = docs.select("doc_id", "text")
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = scratch.keep(marks.where(fold(F.col("doc_id")) != 2).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")), "labels")
-    n_marks = marks.count()
-    marks = maybe_broadcast(marks, n_marks, broadcast_rows)
-    share = min(1.0, calibration / max(1, n_marks // 3))
+    marks = marks.where(fold(F.col("doc_id")) != 2).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+    third = marks.where(fold(F.col("doc_id")) == 3).count()
+    share = min(1.0, calibration / max(1, third))
     drawn = (fold(F.col("doc_id")) == 3) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    kind = F.when(fold(F.col("doc_id")) == 3, 0).otherwise(F.coalesce(F.col("toxic") + 1, F.lit(0)))
-    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id", "left")
-    rows = rows.select("doc_id", held.alias("held_out"), kind.cast("int").alias("kind"), F.when(drawn, F.col("toxic")).alias("y"), "text")
-    lots = scratch.keep(rows.mapInArrow(_lots, LOTS), "lots")
-    counts = lots.mapInArrow(_count, COUNTS).groupBy("tab", "key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n2")))
-    counts = scratch.keep(counts, "counts")
-    answers = lots.mapInArrow(_asked, "lot long, key long").join(counts, "key").select("lot", "key", "n0", "n1", "n2")
-    featured = lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(_features(totals(counts)), FEATURED)
-    featured = scratch.keep(featured, "features")
-    scratch.drop("lots")
-    scratch.drop("counts")
-    drawn = featured.where("y is not null").select("y", "x").toArrow()
-    x = drawn.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if drawn.num_rows else np.zeros((0, FEATURES))
-    y = drawn.column("y").to_numpy().astype(float)
+    marks = scratch.keep(marks.select("*", drawn.alias("drawn")), "labels")
+    train = marks.where("not drawn").select("doc_id", "toxic")
+    table, default = ratios(docs, maybe_broadcast(train, train.count(), broadcast_rows), scratch)
+    # about ``calibration`` rows
+    some = docs.join(F.broadcast(marks.where("drawn").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))), F.col("doc_id").cast("long") == F.col("id"))
+    some = scratch.keep(some.select("doc_id", "text", "y"), "drawn")
+    y_of = some.select(F.col("doc_id").cast("long"), "y").distinct()
+    fitted = featured(some, table, default, Scratch(spark, "toxicity"), broadcast_bytes).join(F.broadcast(y_of), "doc_id").select("y", "x").toArrow()
+    x = fitted.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if fitted.num_rows else np.zeros((0, FEATURES))
+    y = fitted.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which rows come
     fit = fit_logistic(x[order], y[order])
-    scored = featured.mapInArrow(_score(fit), "doc_id long, held_out boolean, score double, toxic_ll double, ordinary_ll double")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "toxic_ll", "ordinary_ll")
+    scored = featured(docs, table, default, scratch, broadcast_bytes).mapInArrow(_score(fit), "doc_id long, score double, log_ratio double")
+    for name in ("shared", "stems", "counts", "labels", "drawn"):
+        scratch.drop(name)
+    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "log_ratio")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
