@@ -178,3 +178,33 @@ def test_every_notice_form(spark):
     assert all(label in got[1000 + i]["labels"].split(",") for i, (_, label) in enumerate(whole))
     cut = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(whole)], "doc_id long, text string"), templates=[x for x in license_scan.all_templates() if len(x[1].split()) > 100]).collect()
     assert all(whole[r["doc_id"]][1] in r["labels"].split(",") for r in cut)
+
+
+def test_license_labels_by_brute_force(spark):
+    """Every template at every place where its key phrase stands, with ties of alignments and of frequencies."""
+    rng = random.Random(5)
+    own = [("a", "one two three four five six seven eight nine ten", "three four"), ("b", "two three four nine", "two three"), ("c", "ten ten one", "ten"), ("a", "six six six seven", "six seven")]
+    vocab = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.choice([0, 2, 8, 40]))) for _ in range(60)] + [own[0][1], "x " + own[0][1] + " " + own[0][1], "four five six seven", None]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string, r1 long")
+    seen = collections.Counter(w for t in texts for w in set(words(t)))
+    for rare, most in ((1, 10**6), (3, 0)):
+        got = {r["doc_id"]: r for r in scan_licenses(docs, templates=own, rare=rare, broadcast_rows=most).collect()}
+        for i, t in enumerate(texts):
+            w, want, best = words(t), set(), 0.0
+            for label, notice, key in own:
+                notice, key = notice.split(), key.split()
+                weight = {x: license_scan._idf(len(texts), seen[x]) for x in notice}
+                chosen = sorted(weight, key=lambda x: (-weight[x], x))[:rare]
+                start = next(k for k in range(len(notice)) if notice[k : k + len(key)] == key)
+                held = [(x, k) for k, x in enumerate(notice) if x in chosen or start <= k < start + len(key)]
+                for at in range(-len(notice), len(w) + 1):
+                    stands = lambda k: 0 <= at + k < len(w) and w[at + k] == notice[k]  # noqa: B023, E731
+                    if all(stands(k) for k in range(start, start + len(key))):
+                        share = sum(weight[x] for x, k in held if stands(k)) / sum(weight[x] for x, _ in held)
+                        if share >= 0.6 - 1e-12:
+                            want.add((label, at))
+                            best = max(best, share)
+            assert {(p["label"], p["word"]) for p in got[i]["places"]} == want
+            assert got[i]["score"] == pytest.approx(best) and got[i]["labels"] == ",".join(sorted({x for x, _ in want}))

@@ -1,9 +1,10 @@
 """License scans with a positional index of rare tokens.
 
-Every template (a license notice) is indexed by its words of the highest inverse document frequency, counted over all
-documents, and by the words of its mandatory key phrase, each with its position.  A document's occurrences of indexed
-words look up these postings; postings that agree on where the template would start are one alignment.  An alignment
-holds if its key phrase stands in place and enough of the indexed weight does.
+Every template (a notice or a whole license text) is indexed by its words of the highest inverse document frequency,
+counted over all documents, each with its position.  A document looks up its rarest license words, those that are the
+rarest of a mandatory key phrase; where one and the key phrase around it meet a posting, the template has a place to start
+at, and its other postings are intersected with the document's rare words by their relative positions.  The template is
+found if enough of the indexed weight stands in place.
 """
 
 from __future__ import annotations
@@ -100,8 +101,28 @@ def _literal(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast("array<string>")
 
 
+def postings(templates: list[tuple[str, str, str]], counts: dict[str, int], total: int, rare: int) -> tuple[list[tuple], list[tuple]]:
+    """The positional index: a row for each template with the key phrase's rarest word, and rows of rare words elsewhere.
+
+    Weights are inverse document frequencies; what a template's own words weigh together is 1.
+    """
+    keys, others = [], []
+    for k, (label, notice, key) in enumerate(templates):
+        notice, key = notice.split(), key.split()
+        weight = {w: _idf(total, counts.get(w, 0)) for w in notice}
+        chosen = set(sorted(weight, key=lambda w: (-weight[w], w))[:rare])
+        start = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        within = range(start, start + len(key))
+        own = [(w, i) for i, w in enumerate(notice) if w in chosen or i in within]
+        sum_ = sum(weight[w] for w, _ in own)
+        rarest = max(range(len(key)), key=lambda i: (weight[key[i]], key[i], -i))
+        others += [(k, w, i, weight[w] / sum_) for w, i in own if i not in within]
+        keys.append((key[rarest], k, label, rarest, start, key, sum(weight[w] for w in key) / sum_))
+    return keys, others
+
+
 def scan_licenses(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=None, rare: int = 6, coverage: float = 0.6
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=None, rare: int = 6, coverage: float = 0.6, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
@@ -110,54 +131,54 @@ def scan_licenses(
     ``labels`` adds those of templates that align.  ``score`` is 1 with a base place, else the largest covered
     share of an aligned template's weight, else 0.  ``places``: array of (label, word) of aligned templates.
 
-    A null or empty text has no words and no labels.  Repeated rows come back as often as they came, an id may be null,
-    and other columns of ``docs`` are not read.  An alignment may start before the text's first word, so a notice may
-    be cut off, but its key phrase has to be whole.  Without ``templates``, those of ``all_templates`` are taken.
+    A file looks up its rarest license words, which are the rarest of some key phrase; the key phrase is verified around
+    them, and then the other rare words of the template where its postings say that they stand.  A null or empty text
+    has no words and no labels, whole texts of any length are read, repeated rows come back as often as they came, an id
+    may be null, and other columns of ``docs`` are not read, so names cannot clash; an empty table gives an empty result.
+    Of equally rare words the alphabetically last (in a key phrase) or first (elsewhere) is taken.  An alignment may
+    start before the text's first word, so a notice may be cut off, but its key phrase has to be whole.  Without
+    ``templates`` (label, notice, key phrase), those of ``all_templates`` are taken.  The key phrases' rarest words
+    become part of the plan, so templates may be some thousands; postings are broadcast up to ``broadcast_rows``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
-    split = [(label, notice.split(), key.split(), k) for k, (label, notice, key) in enumerate(all_templates() if templates is None else templates)]
-    vocabulary = sorted({w for _, notice, _, _ in split for w in notice})
+    templates = all_templates() if templates is None else templates
+    vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     # document frequencies over all documents: a few rows, one for each word of the templates
     seen = docs.select(F.explode(F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w.isin(vocabulary)))).alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in scratch.keep(seen, "frequencies").collect()}
-    total = docs.count()
-    posts, rarest = [], set()
-    for label, notice, key, k in split:
-        weight = {w: _idf(total, counts.get(w, 0)) for w in notice}
-        rarest.add(max(key, key=lambda w: (weight[w], w)))
-        chosen = set(sorted(weight, key=lambda w: (-weight[w], w))[:rare])
-        start = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-        within = range(start, start + len(key))
-        own = [(w, i) for i, w in enumerate(notice) if w in chosen or i in within]
-        sum_ = sum(weight[w] for w, _ in own)
-        posts += [(w, i, k, label, weight[w] / sum_, i in within, len(key)) for w, i in own]
-    types = "word string, at int, template int, label string, weight double, key boolean, n_key int"
-    postings = spark.createDataFrame(posts, types)
-    indexed = sorted({p[0] for p in posts})
+    keys, others = postings(templates, counts, docs.count(), rare)
+    index = scratch.keep(spark.createDataFrame(keys, "word string, template int, label string, back int, start int, key array<string>, share double"), "keys")
+    rest = scratch.keep(spark.createDataFrame(others, "template int, word string, at int, weight double"), "postings")
+    met_by = lambda frame, n: F.broadcast(frame) if n <= broadcast_rows else frame
+    rarest, elsewhere, wide = sorted({k[0] for k in keys}), sorted({w for _, w, _, _ in others}), max((len(k[5]) for k in keys), default=0)
     base = [places(F.col("words"), p.split()) for p in phrases]
     labels = F.array_compact(F.array(*(F.when(F.size(b) > 0, F.lit(v)) for b, v in zip(base, phrases.values()))))
-    starts = F.concat(*base)
-    # a text without the rarest word of a key phrase cannot hold the phrase; the others look up their indexed words
-    open_ = F.when(
-        F.arrays_overlap("words", _literal(sorted(rarest))),
-        F.filter(F.transform("words", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull()),
-    )
+    of = lambda some: F.filter(F.transform("words", lambda w, i: F.when(w.isin(some), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
+    # each with the words around it, from the most that a key phrase can reach back
+    looked = F.transform(of(rarest), lambda x: F.struct(
+        x["word"].alias("word"), x["i"].alias("i"), F.greatest(x["i"] - (wide - 1), F.lit(0)).alias("low"),
+        F.slice("words", F.greatest(x["i"] - (wide - 1), F.lit(0)) + 1, F.lit(2 * wide - 1)).alias("near")))
     rows = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2"), words_of(F.col("text")).alias("words")
     ).select(
         "doc_id", "r1", "r2", F.size("words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(labels)).alias("base"),
-        starts.alias("starts"), open_.alias("open"),
+        F.concat(*base).alias("starts"), looked.alias("looked"), F.when(F.arrays_overlap("words", _literal(rarest)), of(elsewhere)).alias("open"),
     )
     rows = scratch.keep(rows, "rows")
-    opened = rows.where("open is not null").select("r1", "r2", "open").dropDuplicates(["r1", "r2"])
-    met = opened.select("r1", "r2", F.inline("open")).join(F.broadcast(postings), "word")
-    aligned = met.groupBy("r1", "r2", "template", "label", "n_key", (F.col("i") - F.col("at")).alias("word")).agg(
-        F.sum("weight").alias("share"), F.sum(F.col("key").cast("int")).alias("held")
+    texts = rows.where(F.size("looked") > 0).dropDuplicates(["r1", "r2"])
+    begin = F.col("i") - F.col("back")
+    whole = texts.select("r1", "r2", F.inline("looked")).join(met_by(index, len(keys)), "word").where(
+        (begin >= F.col("low")) & (F.slice("near", F.greatest(begin - F.col("low"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
     )
+    whole = scratch.keep(whole.select("r1", "r2", "template", "label", "share", (begin - F.col("start")).alias("offset")).distinct(), "whole")
+    there = texts.select("r1", "r2", F.inline("open"))
+    more = whole.join(met_by(rest, len(others)), "template").select("r1", "r2", "template", "offset", "word", "weight", (F.col("offset") + F.col("at")).alias("i"))
+    more = more.join(there, ["r1", "r2", "word", "i"]).groupBy("r1", "r2", "template", "offset").agg(F.sum("weight").alias("more"))
+    aligned = whole.join(more, ["r1", "r2", "template", "offset"], "left").withColumn("share", F.col("share") + F.coalesce("more", F.lit(0.0)))
     hits = (
-        aligned.where((F.col("held") == F.col("n_key")) & (F.col("share") >= coverage))
-        .groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct("label", "word"))).alias("places"), F.max("share").alias("share"))
+        aligned.where(F.col("share") >= coverage - 1e-12)
+        .groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct("label", F.col("offset").alias("word")))).alias("places"), F.max("share").alias("share"))
     )
     found = rows.join(hits, ["r1", "r2"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<struct<label:string,word:int>>")))
     every = F.array_sort(F.array_union("base", F.transform("places", lambda h: h["label"])))
