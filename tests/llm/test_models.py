@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -174,6 +175,43 @@ def test_pieces_equal_the_public_library():
         assert ids.tolist() == library.encode(text)
         if "▁" not in text:
             assert own.decode(ids).decode() == text
+    for texts in (many, [t for t in many if "▁" not in t]):
+        data = "".join(texts).encode()
+        ids, ends, same = own.encode_all(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+        assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:])] == [library.encode(t) for t in texts]
+        assert same.tolist() == ["▁" not in t for t in texts]
+
+
+def test_pairs_by_the_definition_of_merging():
+    own = pieces.Machine(open(pieces.model_path(), "rb").read())
+    rng, ids = random.Random(3), list(own.id.values())
+    short = [i for i in ids if len(own.merges.text[i]) < 4]
+    some = [(rng.choice(short), rng.choice(short)) for _ in range(20000)] + [(rng.choice(ids), rng.choice(ids)) for _ in range(5000)]
+    some += [(own.id[w[:k]], own.id[w[k:]]) for w in ("aaaa", "▁▁▁▁▁", "======", "00000000", "ababab") for k in range(1, len(w)) if w[:k] in own.id and w[k:] in own.id]
+    text = own.merges.text
+    assert [own.merges.meet(a, b) for a, b in some] == [own.merges.merged(text[a] + text[b]) == [text[a], text[b]] for a, b in some]
+
+
+def test_long_texts_without_gaps():
+    import sentencepiece
+
+    own = pieces.Machine(open(pieces.model_path(), "rb").read())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rng = random.Random(0)
+    text = "".join(rng.choice("日本語人大小中国年月的一是不了在有") for _ in range(4000))
+    assert own.path(pieces.MARK + text) == library.encode(text)
+    took = []
+    for n in (50_000, 200_000):
+        start = time.time()
+        assert len(own.path((text * (n // 4000)))) > 0
+        took.append(time.time() - start)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_squeezed_gaps():
+    normal = pieces.Normaliser(True, True, True)
+    assert [normal(t) for t in ("", "  ", " a  b ", "a b")] == ["", "", "▁a▁b", "▁a▁b"]
+    assert [pieces.Normaliser(p, False, True)(" a  b ") for p in (True, False)] == ["▁▁a▁▁b▁", "▁a▁▁b▁"]
 
 
 def test_shortest_path_of_a_unigram_model():
@@ -182,7 +220,7 @@ def test_shortest_path_of_a_unigram_model():
     rng = random.Random(1)
     vocabulary = ["a", "b", "c", "ab", "bc", "abc", "ca", "aab"]
     own.bpe, own.id, own.rank = False, {w: i for i, w in enumerate(vocabulary)}, {w: rng.random() * len(w) for w in vocabulary}
-    own.text, own.worst = vocabulary, 50.0
+    own.worst = 50.0
     own.compile()
 
     def best(word):
