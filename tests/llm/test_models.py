@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import groups
+from helpers import groups, words
 
 from valuefit.llm import multi_index, pieces, pii, quality, toxicity
+from valuefit.llm.common import Scratch
 from valuefit.llm.kernels import ALNUM, Words
 
 INF, NAN = float("inf"), float("nan")
@@ -353,3 +354,68 @@ def test_words_that_share_low_bits_of_their_hash_are_counted_apart(spark):
     out = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     test = [r for r in out if r["held_out"]]
     assert len(test) > 60 and np.mean([r["predicted"] == dict(labels)[r["doc_id"]] for r in test]) > 0.95
+
+
+def brute_ratio(texts, y, word_discount, stem_discount, pair_discount, both):
+    """log P_1(w | v) / P_0(w | v) of all words of all texts, straight from the definition."""
+    split = [words(t) for t in texts]
+    n = collections.Counter(w for ws in split for w in ws)
+    stem = lambda w: w.encode()[:6]
+    n_s = collections.Counter()
+    for w, k in n.items():
+        n_s[stem(w)] += k
+    total = sum(n.values())
+    two = [collections.Counter((v, w) for ws, c in zip(split, y) if c == k for v, w in zip([None, *ws], ws)) for k in (0, 1)]
+    d = lambda k, most: min(k, most)
+    given, word_p = [], []
+    for k in (0, 1):
+        cont = collections.Counter(w for _, w in two[k])
+        of_stem = collections.Counter()
+        for w, m in cont.items():
+            of_stem[stem(w)] += m
+        all_, lw, ls = sum(cont.values()), sum(d(m, word_discount) for m in cont.values()), sum(d(m, stem_discount) for m in of_stem.values())
+        p_s = lambda s, of_stem=of_stem, all_=all_, ls=ls: (of_stem[s] - d(of_stem[s], stem_discount) + ls * n_s[s] / total) / all_
+        p = {w: (cont[w] - d(cont[w], word_discount) + lw * p_s(stem(w)) * n[w] / n_s[stem(w)]) / all_ for w in n}
+        assert sum(p.values()) == pytest.approx(1)
+        word_p.append(p)
+        left, back = collections.Counter(), collections.Counter()
+        for (v, w), m in two[k].items():
+            left[v] += m
+            back[v] += d(m, pair_discount)
+        given.append((left, back))
+    out = []
+    for ws in split:
+        rs = []
+        for v, w in zip([None, *ws], ws):
+            if v is not None and all(g[0][v] >= both for g in given):
+                p = [(two[k][v, w] - d(two[k][v, w], pair_discount) + given[k][1][v] * word_p[k][w]) / given[k][0][v] for k in (0, 1)]
+                for k in (0, 1):
+                    every = sum((two[k][v, x] - d(two[k][v, x], pair_discount) + given[k][1][v] * word_p[k][x]) / given[k][0][v] for x in n) if len(n) < 60 else 1
+                    assert every == pytest.approx(1)
+            else:
+                p = [word_p[k][w] for k in (0, 1)]
+            rs.append(np.log(p[1] / p[0]))
+        out.append(rs)
+    return out
+
+
+def test_kneser_ney_by_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"{a}{b}" for a in ("common", "strange", "é", "wo", "insult") for b in ("", "a", "bb", "ccc", "9")]
+    texts = [" ".join(rng.choice(vocab[: 25 if i % 3 else 12]) for _ in range(rng.choice([0, 1, 5, 40, 90]))) for i in range(60)] + ["insult insulta " * 9, "", "insult insulta " * 9]
+    y = [rng.choice([0, 0, 1, None]) for _ in range(60)] + [1, 1, 0]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, r double").repartition(3)
+    marks = spark.createDataFrame([(i, k) for i, k in enumerate(y) if k is not None], "doc_id long, toxic int")
+    scratch = Scratch(spark, "test")
+    table, default = toxicity.ratios(docs, marks, scratch, 2, 3, 1, 4)
+    want = brute_ratio(texts, y, 2, 3, 1, 4)
+    seen = []
+    for most in (1 << 20, 0):  # looked up and joined
+        got = {r["doc_id"]: r["x"] for r in toxicity.featured(docs, table, default, Scratch(spark, "test"), most).collect()}
+        for i, rs in enumerate(want):
+            best = sorted(rs, reverse=True)
+            mean = np.mean(rs) if rs else 0
+            runs = [np.mean(rs[k : k + 8]) for k in range(len(rs) - 7)] or [mean]
+            assert got[i] == pytest.approx([mean, max(runs) if len(rs) > 8 else mean, sum(best[:2]) / 2, sum(best[:3]) / 3], abs=2e-5)
+        seen.append(got)
+    assert {r["kind"] for r in table.select("kind").distinct().collect()} == {0, 1, 2, 3}

@@ -77,7 +77,7 @@ def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
 
 
 #: bytes whose words are hashed at a time, so that a very long text needs no more memory for it than a short one
-BLOCK = 1 << 20
+BLOCK = (1 << 20) - 1
 
 
 class Words:

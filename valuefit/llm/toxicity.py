@@ -3,20 +3,22 @@
 For a class c (ordinary or toxic), a word w after a word v, and D(n) = min(n, D), the discount of a count n:
 
     P_c(w | v) = (n_c(v w) - D(n_c(v w)) + sum over words x of D(n_c(v x)) * P_c(w)) / n_c(v)
-    P_c(w)     = (k_c(w) - D(k_c(w)) + sum over words x of D(k_c(x)) * P_c(s) * P(w) / P(s)) / K_c
+    P_c(w)     = (k_c(w) - D(k_c(w)) + sum over words x of D(k_c(x)) * P_c(s) * n(w) / n(s)) / K_c
     P_c(s)     = (k_c(s) - D(k_c(s)) + sum over stems x of D(k_c(x)) * P(s)) / K_c
-    P(w)       = (n(w) + 1) / (all words + distinct words + 1), P(s) = sum over the words w of stem s of P(w)
+    P(s)       = n(s) / all words
 
 n_c are counts in the class's documents; k_c(w) is the continuation count, the number of distinct words that w follows
 in them, k_c(s) that of the distinct pairs of words that end in a word of the stem s (its first bytes), K_c their sum;
-n(w) are counts over all documents, labelled or not, which both classes share.  Each of the four sums to 1.  Discounts are larger than the usual ones below 1: a share of the labels is wrong and documents come in copies, so
+n(w) and n(s) are counts over all documents, labelled or not, which both classes share.  Each of the four sums to 1.  Discounts are larger than the usual ones below 1: a share of the labels is wrong and documents come in copies, so
 what a class shows a few times goes to the shared counts, where it favours neither class.  Both classes are compared at
 the highest order that both know: P_c(w | v) where each has seen v at least ``both`` times, else P_c(w).
 
 A document's words have the mean log-ratio of the two likelihoods, over the whole text, over its best run of words and
 over its most telling words; few words may make a long text toxic, so the whole text's mean alone would drown them.
 
-Counts are rows keyed by 64-bit hashes, exact, and grow with the corpus.  Words that neither class shows often enough
+Counts are rows keyed by 64-bit hashes, of which the upper half is that of the stem, exact, and grow with the corpus.
+Pairs are dealt by their second word and a salt of the first, so that continuation counts need no further shuffle of them.
+  Words that neither class shows often enough
 have the same ratio, so the table of ratios is much smaller than the counts; it goes to the executors if its counted
 bytes fit a bound, else lots of documents ask for their own distinct keys in a join.
 """
@@ -39,22 +41,19 @@ WORD, STEM, CONTEXT, PAIR = range(4)
 START = U(0x2545F4914F6CDD1D)
 WINDOW, TOP = 8, (2, 3)
 FEATURES = 2 + len(TOP)
-#: rows of a memory-bounded table of partial counts, bytes of text of a lot, bytes of a row of ratios
-PARTIAL, LOT, RATIO_BYTES = 1 << 21, 1 << 24, 16
+#: rows of the memory-bounded tables of partial counts, bytes of text of a lot, bytes of a row of ratios
+WORD_ROWS, PAIR_ROWS, LOT, RATIO_BYTES, SALTS = 1 << 19, 1 << 17, 1 << 24, 16, 8
 
 
-def lefts(words: Words) -> np.ndarray:
-    """The word before each word; a text's first word follows the start."""
-    before = np.empty_like(words.hash)
-    before[1:] = words.hash[:-1]
+def keys_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the word before each word, and of each word; a text's first word follows the start."""
+    stems = slices(words.data, words.start, np.minimum(words.end, words.start + STEM_BYTES))
+    w = stems >> U(32) << U(32) | words.hash >> U(32)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
     first = words.first[:-1]
-    before[first[first < len(before)]] = START
-    return before
-
-
-def stems(words: Words) -> np.ndarray:
-    """The hash of each word's first bytes."""
-    return slices(words.data, words.start, np.minimum(words.end, words.start + STEM_BYTES))
+    v[first[first < len(v)]] = START
+    return v, w
 
 
 def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -68,18 +67,18 @@ def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.n
 
 
 class _Partial:
-    """Counts by key, added up before they leave a task whenever ``PARTIAL`` rows have come together."""
+    """Counts by key, added up before they leave a task whenever ``most`` rows have come together."""
 
-    def __init__(self, names: list[str], n_keys: int):
-        self.names, self.n_keys, self.parts, self.rows = names, n_keys, [], 0
+    def __init__(self, names: list[str], n_keys: int, most: int):
+        self.names, self.n_keys, self.most, self.parts, self.rows = names, n_keys, most, [], 0
 
     def add(self, keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, values = _summed(keys, values)
         self.parts.append((*keys, *values))
         self.rows += len(keys[0])
-        if self.rows >= 2 * PARTIAL:
+        if self.rows >= 2 * self.most:
             self.fold()
-            if self.rows >= PARTIAL:
+            if self.rows >= self.most:
                 yield from self.flush()
 
     def fold(self) -> None:
@@ -97,22 +96,22 @@ class _Partial:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = _Partial(["a", "s", "n"], 2)
+    found = _Partial(["a", "n"], 1, WORD_ROWS)
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column(0)):
             words = Words(data, offsets, ALNUM)
-            yield from found.add([words.hash, stems(words)], [np.ones(len(words.hash), np.int64)])
+            yield from found.add([keys_of(words)[1]], [np.ones(len(words.hash), np.int64)])
     yield from found.flush()
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = _Partial(["v", "w", "n0", "n1"], 2)
+    found = _Partial(["v", "w", "n0", "n1"], 2, PAIR_ROWS)
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, _, data, offsets in chunks(batch.column(0)):
             words = Words(data, offsets, ALNUM)
             y = toxic[a + words.doc]
-            yield from found.add([lefts(words), words.hash], [1 - y, y])
+            yield from found.add([*keys_of(words)], [1 - y, y])
     yield from found.flush()
 
 
@@ -126,16 +125,20 @@ def ratios(
     P_0(b | a); contexts (a) that both classes know what a word after them gets besides its own ratio if the pair has
     no row.  ``marks``: (doc_id, toxic).
     """
-    shared = docs.select("text").mapInArrow(_count_words, "a long, s long, n long").groupBy("a", "s").agg(F.sum("n").alias("n"))
+    shared = docs.select("text").mapInArrow(_count_words, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     shared = scratch.keep(shared, "shared")
+    # a context that both classes know is a word of at least so many occurrences
+    known = scratch.keep(shared.where(F.col("n") >= 2 * both).select(F.col("a").alias("v"), F.lit(True).alias("known")), "known")
     train = docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id").select("text", "toxic")
-    pairs = train.mapInArrow(_count_pairs, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = train.mapInArrow(_count_pairs, "v long, w long, n0 long, n1 long")
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition("w", "salt").groupBy("w", "salt", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = pairs.join(maybe_broadcast(known, known.count(), 2_000_000), "v", "left")
     row = lambda kind, a, b, *x: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), *(v.cast("long").alias(n) for v, n in zip(x, ("x0", "x1", "d0", "d1"))))
     none, n = F.lit(0).cast("long"), [F.col("n0"), F.col("n1")]
-    kept = (F.col("n0") > pair_discount) | (F.col("n1") > pair_discount)
+    kept = F.col("known") & ((F.col("n0") > pair_discount) | (F.col("n1") > pair_discount))
     counted = F.array(
         row(WORD, F.col("w"), none, *(x > 0 for x in n), none, none),
-        row(CONTEXT, F.col("v"), none, *n, *(F.least(x, F.lit(pair_discount)) for x in n)),
+        F.when(F.col("known"), row(CONTEXT, F.col("v"), none, *n, *(F.least(x, F.lit(pair_discount)) for x in n))),
         F.when(kept, row(PAIR, F.col("v"), F.col("w"), *n, none, none)),
     )
     counts = pairs.select(F.inline(F.array_compact(counted))).groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in ("x0", "x1", "d0", "d1")))
@@ -144,25 +147,22 @@ def ratios(
     k0, k1 = (float(x or 0) for x in k)
     if k0 == 0 or k1 == 0:
         return docs.sparkSession.createDataFrame([], "kind int, a long, b long, r double"), 0.0
-    total, distinct = (float(x or 0) for x in shared.agg(F.sum("n"), F.count(F.lit(1))).first())
-    size = F.lit(total + distinct + 1)
-    words = shared.join(counts.where(F.col("kind") == WORD).select("a", "x0", "x1"), "a", "left").select(
-        "a", "s", ((F.col("n") + 1) / size).alias("p"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("x0", "x1"))
-    )
-    by_stem = scratch.keep(words.groupBy("s").agg(F.sum("p").alias("ps"), F.sum("x0").alias("s0"), F.sum("x1").alias("s1")), "stems")
-    words = words.where("x0 > 0 or x1 > 0")
+    stem = F.shiftrightunsigned("a", 32)
+    words = counts.where(F.col("kind") == WORD).select("a", "x0", "x1")
+    by_stem = shared.groupBy(stem.alias("s")).agg(F.sum("n").alias("n_s")).join(words.groupBy(stem.alias("s")).agg(F.sum("x0").alias("s0"), F.sum("x1").alias("s1")), "s", "left")
+    by_stem = scratch.keep(by_stem.na.fill(0, ["s0", "s1"]), "stems")
     least = lambda frame, c, d: [F.sum(F.least(F.col(f"{c}{i}"), F.lit(d))) for i in (0, 1)]
     l0, l1 = (float(x) for x in words.agg(*least(words, "x", word_discount)).first())
-    m0, m1 = (float(x) for x in by_stem.agg(*least(by_stem, "s", stem_discount)).first())
+    total, m0, m1 = (float(x) for x in by_stem.agg(F.sum("n_s"), *least(by_stem, "s", stem_discount)).first())
     of_class = lambda x, d, k, l, p: (F.greatest(F.col(x) - d, F.lit(0)) + F.lit(l) * p) / F.lit(k)
-    by_stem = by_stem.select("s", "ps", "s0", "s1", of_class("s0", stem_discount, k0, m0, F.col("ps")).alias("q0"), of_class("s1", stem_discount, k1, m1, F.col("ps")).alias("q1"))
-    part = F.col("p") / F.col("ps")
-    words = words.join(by_stem, "s").select(
-        "a", "x0", "x1", of_class("x0", word_discount, k0, l0, F.col("q0") * part).alias("p0"), of_class("x1", word_discount, k1, l1, F.col("q1") * part).alias("p1")
-    )
+    shares = (of_class(f"s{i}", stem_discount, k, m, F.col("n_s") / F.lit(total)).alias(f"q{i}") for i, (k, m) in enumerate(((k0, m0), (k1, m1))))
+    by_stem = by_stem.select("s", "n_s", "s0", "s1", *shares)
+    words = words.join(shared, "a").withColumn("s", stem).join(by_stem, "s")
+    backed = ((k, l, F.col(f"q{i}") * F.col("n") / F.col("n_s")) for i, (k, l) in enumerate(((k0, l0), (k1, l1))))
+    words = words.select("a", "x0", "x1", *(of_class(f"x{i}", word_discount, *x).alias(f"p{i}") for i, x in enumerate(backed)))
+    rest = float(np.log(l1 / k1 * k0 / l0))
     telling = words.where((F.col("x0") > word_discount) | (F.col("x1") > word_discount))
     of_stem = by_stem.where((F.col("s0") > stem_discount) | (F.col("s1") > stem_discount))
-    rest = float(np.log(l1 / k1 * k0 / l0))
     contexts = counts.where(F.col("kind") == CONTEXT)
     given = lambda c: (F.greatest(F.col(f"n{c}") - pair_discount, F.lit(0)) + F.col(f"d{c}") * F.col(f"p{c}")) / F.col(f"x{c}")
     twos = counts.where(F.col("kind") == PAIR).select(F.col("a").alias("v"), F.col("b").alias("a"), F.col("x0").alias("n0"), F.col("x1").alias("n1"))
@@ -203,15 +203,15 @@ class Ratios:
 
     def of(self, words: Words) -> np.ndarray:
         """The log-ratio of each word."""
-        out = self.get(WORD, words.hash)
+        v, w = keys_of(words)
+        out = self.get(WORD, w)
         none = np.isnan(out)
-        out[none] = self.get(STEM, stems(words)[none])
+        out[none] = self.get(STEM, w[none] >> U(32))
         out[np.isnan(out)] = self.default
-        before = lefts(words)
-        more = self.get(CONTEXT, before)
+        more = self.get(CONTEXT, v)
         some = np.flatnonzero(~np.isnan(more))
         if len(some):
-            pair = self.get(PAIR, key_of(before[some], words.hash[some]))
+            pair = self.get(PAIR, key_of(v[some], w[some]))
             out[some] = np.where(np.isnan(pair), more[some] + out[some], pair)
         return out
 
@@ -323,8 +323,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot, docs in zip(batch.column("lot"), batch.column("docs")):
             found: dict[int, list] = {WORD: [], STEM: [], CONTEXT: [], PAIR: []}
             for _, words in _unpacked(docs.as_py()):
-                v, w = lefts(words), words.hash
-                for kind, keys in ((WORD, [w]), (STEM, [stems(words)]), (CONTEXT, [v]), (PAIR, [v, w])):
+                v, w = keys_of(words)
+                for kind, keys in ((WORD, [w]), (STEM, [w >> U(32)]), (CONTEXT, [v]), (PAIR, [v, w])):
                     found[kind].append(_summed(keys, [])[0])
             for kind, parts in found.items():
                 keys, _ = _summed([np.concatenate(c) for c in zip(*parts)], [])
@@ -405,7 +405,7 @@ def score_toxicity(
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which rows come
     fit = fit_logistic(x[order], y[order])
     scored = featured(docs, table, default, scratch, broadcast_bytes).mapInArrow(_score(fit), "doc_id long, score double, log_ratio double")
-    for name in ("shared", "stems", "counts", "labels", "drawn"):
+    for name in ("shared", "known", "stems", "counts", "labels", "drawn"):
         scratch.drop(name)
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "log_ratio")
