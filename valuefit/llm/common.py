@@ -22,16 +22,30 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local session gets a temporary
+    folder, and any other an error, since executors could not read what others write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="valuefit-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def spare(frame: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``frame`` has columns called so (Spark does not tell cases apart)."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, read_table, spare
 from .kernels import ALNUM, Words, chunks
 
 K = 5
@@ -206,12 +206,16 @@ def find_contamination(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: int = 4_000_000) -> DataFrame:
-    """``docs`` without the rows that hold a window of an item; see ``find_contamination``."""
+    """``docs`` without the rows that hold a window of an item, all columns; see ``find_contamination``.
+
+    Rows with a null or empty text stay, repeated rows stay or go together, and columns may have any names.
+    """
     hit = find_contamination(docs, items, window).where("n_hit > 0").select("r1", "r2").distinct()
     hit = Scratch(docs.sparkSession, "contaminated").keep(hit, "rows")
     meet = F.broadcast(hit) if hit.count() <= broadcast_rows else hit
-    marked = docs.select("*", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2"))
-    return marked.join(meet, ["r1", "r2"], "left_anti").select(*docs.columns)
+    r1, r2 = spare(docs, "r1", "r2")
+    marked = docs.select("*", F.xxhash64("doc_id", "text").alias(r1), F.xxhash64(F.lit(7), "text", "doc_id").alias(r2))
+    return marked.join(meet.select(F.col("r1").alias(r1), F.col("r2").alias(r2)), [r1, r2], "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, read_table
+from .common import Scratch, ascii_lower, read_table, spare
 
 SPACE = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
@@ -116,24 +116,26 @@ def dedup_lines(
     for name in [n for level in runs.levels for n in level]:
         scratch.drop(name)
     n_frequent = frequent.count()
-    row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2")]
+    mine = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs = docs.select(*mine)
+    r1, r2, gone_at = spare(docs, "r1", "r2", "gone")
+    row = [F.xxhash64("doc_id", "text").alias(r1), F.xxhash64(F.lit(7), "text", "doc_id").alias(r2)]
     lines = docs.select(*row, F.posexplode(line_keys(F.col("text"))).alias("at", "key")).select(
-        "r1", "r2", "at", F.length("key").alias("size"), *hashes(F.col("key"))
+        r1, r2, "at", F.length("key").alias("size"), *hashes(F.col("key"))
     )
     meet = F.broadcast(frequent) if n_frequent <= broadcast_rows else frequent.hint("merge")
     # what the anti-join with the runs removes; rows that lose nothing need no list
     gone = lines.where(F.col("size") >= min_key).join(meet, HASH, "left_semi")
-    gone = gone.groupBy("r1", "r2").agg(F.collect_set("at").alias("gone"))
-    mine = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    gone = gone.groupBy(r1, r2).agg(F.collect_set("at").alias(gone_at))
     text = F.coalesce("text", F.lit(""))
     parts = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    out = docs.select("*", *row).join(gone, ["r1", "r2"], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_at))
+    kept = F.when(F.col(gone_at).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    out = docs.select("*", *row).join(gone, [r1, r2], "left")
     return out.select(
         *(kept.alias(c) if c == "text" else F.col(c) for c in mine),
         F.size(parts).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+        F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at)).cast("long").alias("n_dropped"),
     )
 
 

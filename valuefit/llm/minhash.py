@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast, read_table
+from .common import Scratch, maybe_broadcast, read_table, spare
 from .graph import components, forest
 from .kernels import NOT_SPACE, U, Words, chunks, mix
 
@@ -248,14 +248,16 @@ def compare_rest(family: DataFrame, sets: DataFrame, percent: int, broadcast_row
 def dedup_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows that share a kept id all stay, and rows without an id stay.
+    Rows that share a kept id all stay, rows without an id stay, and so do rows with a null or empty text.  Columns may
+    have any names.
     """
     found = near_duplicates(docs, percent)
     gone = found.where("not kept").select(F.col("doc_id").alias("gone"), F.lit(True).alias("drop")).distinct()
     gone = Scratch(docs.sparkSession, "duplicates").keep(gone, "ids")
     # a null id never joins, so those rows stay
-    meet = maybe_broadcast(gone.select("gone"), gone.count(), 1_000_000)
-    return docs.join(meet, F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(*docs.columns)
+    name, = spare(docs, "gone")
+    meet = maybe_broadcast(gone.select(F.col("gone").alias(name)), gone.count(), 1_000_000)
+    return docs.join(meet, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*docs.columns)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ equi-join on a short hash prefix; the full digest then confirms a meeting, and o
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +58,8 @@ def filter_urls(
     The longest rule string wins; among equal lengths the longer host, then ``block``.  URLs without a rule get
     ``default``, as do null URLs and URLs without ``://`` (host and path empty).  Repeated rows come back as often as
     they came; a null key is kept.  Other columns of ``pages`` are not carried.  Rules with a null host or path fit
-    nothing; a rule given twice counts once, its ``block`` before its ``allow``.  Without rules all get ``default``.
+    nothing; whole URLs of any length are read, and the plan grows with the number of distinct lengths of rule paths.  A
+    rule given twice counts once, its ``block`` before its ``allow``.  Without rules all get ``default``.
 
     Rules are broadcast if a count shows that they fit ``broadcast_rows``; more rules are joined by a shuffle in which
     the URLs' expressions are salted, since an expression such as ``com/`` may belong to a third of the URLs.
@@ -85,11 +84,8 @@ def filter_urls(
     )
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = reduce(
-        lambda a, n: F.when(F.length("path") >= n, F.array_append(a, F.substr("path", F.lit(1), F.lit(n)))).otherwise(a),
-        sorted(lengths),
-        F.array().cast("array<string>"),
-    )
+    fit = F.filter(F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>"), lambda n: F.length("path") >= n)
+    prefixes = F.transform(fit, lambda n: F.substr("path", F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     # explode_outer keeps URLs without expressions; position 0 or null marks the first row of each URL
     opened = rows.select("*", F.posexplode_outer(expressions).alias("at", "expression")).withColumn(
