@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 import re
 import time
@@ -248,6 +249,9 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+KEY = "secret"
+
+
 def test_pseudonyms(spark):
     cards = [f"{i:015d}" for i in range(10**14, 10**14 + 60 * 7919, 7919)]
     cards = [c + str(next(k for k in range(10) if luhn(c + str(k)))) for c in cards]
@@ -259,7 +263,7 @@ def test_pseudonyms(spark):
     left = ["1234567812345678", "1.2.3.400", "2023-02-30", "000-12-3456", "12345", "x@", "", "1.2.3.4.5", "2100-01-01"]
     rows = [(i, f"see {m}, or {m}.", "x") for i, m in enumerate(m for ms in lines.values() for m in ms)] + [(1000 + i, t, "x") for i, t in enumerate(left)] + [(None, None, "x"), (0, "no data " * 20000, "x"), (0, "no data " * 20000, "x")]
     d = spark.createDataFrame(rows, "doc_id long, text string, found string")
-    out = pii.pseudonymise(d)
+    out = pii.pseudonymise(d, KEY)
     assert out.columns == ["doc_id", "text", "found"] and out.count() == len(rows)
     got = out.where("doc_id < 1000 and size(found) > 0").collect()
     kinds = [k for k, ms in lines.items() for _ in ms]
@@ -282,16 +286,16 @@ def test_pseudonyms(spark):
             assert b[:3] not in ("000", "666") and b[0] != "9" and b[4:6] != "00" and b[7:] != "0000"
     assert len(got) == len(kinds) and len(images["card"]) == len(cards)  # a permutation; grouping changes no digits
     assert {r["text"] for r in out.where("doc_id >= 1000").collect()} == set(left)
-    back = pii.pseudonymise(out.drop("found"), reverse=True)
+    back = pii.pseudonymise(out.drop("found"), KEY, reverse=True)
     assert {(r["doc_id"], r["text"]) for r in back.collect()} - {(i, t) for i, t, _ in rows} == {(r["doc_id"], r["text"]) for r in back.where("text like '%user%@%'").collect()}
     other = pii.pseudonymise(d, key="other")
     assert out.join(other.withColumnRenamed("text", "t2"), "doc_id").where("doc_id between 1 and 60 and text = t2").count() == 0
-    assert pii.pseudonymise(d.limit(0)).count() == 0
+    assert pii.pseudonymise(d.limit(0), KEY).count() == 0
 
 
 def test_dates_are_permuted(spark):
     d = spark.range(0, pii.DAYS, 37).selectExpr("id as doc_id", "cast(date_add(date'1900-01-01', cast(id as int)) as string) as text")
-    out = pii.pseudonymise(d)
+    out = pii.pseudonymise(d, KEY)
     assert out.select("text").distinct().count() == d.count()
     assert out.where("text < '1900-01-01' or text > '2099-12-31'").count() == 0
 
@@ -419,3 +423,67 @@ def test_kneser_ney_by_brute_force(spark):
             assert got[i] == pytest.approx([mean, max(runs) if len(rs) > 8 else mean, sum(best[:2]) / 2, sum(best[:3]) / 3], abs=2e-5)
         seen.append(got)
     assert {r["kind"] for r in table.select("kind").distinct().collect()} == {0, 1, 2, 3}
+
+
+def feistel(value, left, right, tweak, key=KEY):
+    prf = lambda i, half: int(hashlib.sha256(f"{key}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16)
+    l, r = divmod(value, right)  # noqa: E741
+    for i in range(10):
+        if i % 2 == 0:
+            l = (l + prf(i, r) % left) % left  # noqa: E741
+        else:
+            r = (r + prf(i, l) % right) % right
+    return l * right + r
+
+
+def brute_pseudonym(kind, m):
+    d = re.sub(r"\D", "", m)
+    digits = lambda x, kind: f"{feistel(int(x), 10 ** (len(x) // 2), 10 ** (len(x) - len(x) // 2), f'{kind}{len(x)}'):0{len(x)}d}"
+    fill = lambda new: "".join(c if not c.isdigit() else next(it) for it in [iter(new)] for c in m)
+    if kind == "ip":
+        n = feistel(sum(int(x) << s for x, s in zip(m.split("."), (24, 16, 8, 0))), 1 << 16, 1 << 16, "ip")
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "date":
+        n = int((np.datetime64(m) - np.datetime64("1900-01-01")).astype(int))
+        while (n := feistel(n, 271, 271, "date")) >= 73049:
+            pass
+        return str(np.datetime64("1900-01-01") + n)
+    if kind == "ssn":
+        bad = lambda x: x[:3] in ("000", "666") or x[:3] >= "900" or x[3:5] == "00" or x[5:] == "0000"
+        while bad(d := digits(d, "ssn")):
+            pass
+        return fill(d)
+    if kind == "phone":
+        return fill(d[:-10] + digits(d[-10:], "phone"))
+    body = digits(d[:-1], "card")
+    return fill(body + next(c for c in "0123456789" if luhn(body + c)))
+
+
+def test_pseudonyms_by_another_feistel(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "3782-822463-10005", "41111 11111 11111 1"]
+    some = [("card", c) for c in cards] + [("ip", "10.1.255.3"), ("date", "1987-06-05"), ("ssn", "123-45-6789"), ("phone", "+1 (743) 555-3824"), ("phone", "743.555.3824")]
+    d = spark.createDataFrame([(i, f"x {m}; y", 1, i) for i, (_, m) in enumerate(some)], "doc_id long, text string, m int, matches int")
+    out = pii.pseudonymise(d, KEY)
+    assert out.columns == ["doc_id", "text", "m", "matches", "found"]
+    for r in out.collect():
+        kind, m = some[r["doc_id"]]
+        assert r["text"] == f"x {brute_pseudonym(kind, m)}; y" and r["m"] == 1 and r["matches"] == r["doc_id"]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(d, "")
+
+
+def test_cards_beside_other_numbers(spark):
+    lines = ["paid 12 4111111111111111 today", "order 7 4111 1111 1111 1111", "4111111111111111 12", "1 2 3 4111-1111-1111-1111 4 5", "call 555 4111111111111111 and 4111111111111111"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), KEY).collect()
+    assert [[f["kind"] for f in r["found"]] for r in sorted(got)] == [["card"]] * 4 + [["card"] * 2]
+    assert all("4111" not in r["text"] for r in got)
+
+
+def test_the_worst_texts_of_each_pattern(spark):
+    n = 10**6
+    parts = ["a@b" + ".c" * (n // 2), "a" * n, "a@" * (n // 2), "1." * (n // 2), "1 " * (n // 2), "1" * n, "1-" * (n // 2), "4111 " * (n // 5), "2020-01-" * (n // 8), "+1 (" * (n // 4), "12 3456789012345678901 " * (n // 24)]
+    start = time.time()
+    rows = [(i, t) for i, t in enumerate(parts)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string").repartition(8), KEY).selectExpr("doc_id", "size(found) n", "length(text) l").collect()
+    assert len(got) == len(parts) and time.time() - start < 120
+    assert {r["doc_id"]: r["n"] for r in got}[0] == 1

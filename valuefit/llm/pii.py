@@ -12,17 +12,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, spare
 
 ROUNDS, WALK = 10, 16
-#: kind, pattern, in the order in which they are tried at each place
+#: digits of a card without gaps or in the groups in which cards are printed
+LAYOUT = r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"
+#: kind, pattern, in the order in which they are tried at each place; what may repeat without end never gives back
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    # other groups only as a whole run of digits in which no layout begins later
+    "card": rf"(?<!\d)(?:{LAYOUT}|(?<!\d[ -])(?!(?:\d++[ -]){{1,18}}?{LAYOUT})\d(?:[ -]?\d){{12,18}}(?![ -]?\d))",
 }
 ANY = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS, SIDE = "1900-01-01", 73049, 271  # to 2099-12-31; 271 * 271 >= 73049
@@ -133,42 +136,50 @@ def pseudonym(m: Column, kind: Column, key: str, reverse: bool = False) -> Colum
     body = _permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), "card", key, reverse)
     card = F.aggregate(F.array(body), F.lit(""), lambda _, b: _fill(m, F.concat(b, F.pmod(F.lit(10) - _luhn_sum(b, 1) % 10, F.lit(10)).cast("string"))))
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    email = F.concat(F.lit("user"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(name), F.lower(host)), 256), 1, 12), F.lit("@"), host)
+    email = F.concat(F.lit("user"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(name), F.lower(host)), 256), 1, 32), F.lit("@"), host)
     cases = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
     return F.coalesce(*(F.when(kind == k, v) for k, v in cases.items()), m)
 
 
-def pseudonymise(docs: DataFrame, key: str = "valuefit", reverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, reverse: bool = False) -> DataFrame:
     """All columns of ``docs``, its text with pseudonyms, and ``found``: array of (kind, original, pseudonym) in order.
 
     Kinds: cards (13 to 19 digits, right check digit), phone numbers (10 to 13 digits in usual groups; the last ten are
     permuted), social security numbers (valid area, group and serial), IPv4 addresses, ISO dates from 1900 to 2099,
     and mail addresses, whose local part gets a keyed hash.  What fails the checks of its kind stays.  The pseudonym
     depends on key, kind and value alone, so equal values stay linked.  ``reverse`` undoes all but mail addresses.
+    ``key`` is a secret: whoever has it can undo the pseudonyms.  Of kinds that begin at the same place the first of
+    ``PATTERNS`` is taken, of matches that overlap the leftmost.
 
-    A null or empty text comes back as it was, with an empty ``found``.  Repeated rows and null ids are rows like any
-    other; a column named ``found`` is replaced.
+    A null or empty text comes back as it was, with an empty ``found``.  Whole texts of any length are read in time that
+    grows with it.  Repeated rows and null ids are rows like any other, an empty table gives an empty result; a column
+    named ``found`` is replaced, all others are kept, whatever their names.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    docs = docs.drop("found")
+    at, = spare(docs, "matches")
     text = F.col("text")
     # a text without digits and @ can hold nothing
     maybe = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     matches = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = F.transform("m", lambda m: F.struct(m.alias("original"), kind_of(m).alias("kind")))
-    changed = F.transform("m", lambda x: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), pseudonym(x["original"], x["kind"], key, reverse).alias("pseudonym")))
-    out = docs.drop("found").withColumn("m", matches).withColumn("m", named).withColumn("m", changed)
+    named = F.transform(at, lambda x: F.struct(x.alias("original"), kind_of(x).alias("kind")))
+    changed = F.transform(at, lambda x: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), pseudonym(x["original"], x["kind"], key, reverse).alias("pseudonym")))
+    out = docs.withColumn(at, matches).withColumn(at, named).withColumn(at, changed)
     gaps = F.split("text", ANY)
-    joined = F.concat(
-        F.get(gaps, F.lit(0)), F.array_join(F.transform("m", lambda x, i: F.concat(x["pseudonym"], F.get(gaps, i + 1))), "")
-    )
-    mine = [c for c in docs.columns if c != "found"]
+    # the text is split once a row, not once a match
+    rest = F.slice(gaps, F.lit(2), F.size(at))
+    joined = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(at, rest, lambda x, gap: F.concat(x["pseudonym"], gap)), ""))
     return out.select(
-        *(F.when(F.size("m") > 0, joined).otherwise(text).alias(c) if c == "text" else F.col(c) for c in mine),
-        F.filter("m", lambda x: x["kind"].isNotNull()).alias("found"),
+        *(F.when(F.size(at) > 0, joined).otherwise(text).alias(c) if c == "text" else F.col(c) for c in docs.columns),
+        F.filter(at, lambda x: x["kind"].isNotNull()).alias("found"),
     )
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # whoever runs this on real documents sets a key of their own
+    key = spark.conf.get("spark.valuefit.pseudonymKey", "a key for tables of invented documents")
+    found = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     of_kind = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(of_kind(k) for k in PATTERNS), "text")
 
