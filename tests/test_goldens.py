@@ -1,6 +1,10 @@
 """Golden values and independent recomputations."""
 
+import hashlib
+import json
 import math
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -274,3 +278,66 @@ def test_bootstrap_is_independent_of_partitions(spark):
     assert abs(a[0] - d[s][:, q].mean()) < 1e-12
     r = paired.interval(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "value double")).first()
     assert np.allclose([r["low"], r["high"]], [1.075, 9.475])
+
+
+@pytest.mark.parametrize("per_range", [10**6, 7])
+def test_ranks_are_those_of_a_sort(spark, per_range):
+    rows = [(i * 37 % 101, f"k{i * 53 % 101:03d}", i) for i in range(101)]
+    df = spark.createDataFrame(rows, "a int, b string, c int").repartition(5)
+    got = {(r["a"], r["b"]): r["rank"] for r in curate.ranked(df, F.col("a") % 3, "b", per_range=per_range).collect()}
+    assert got == {(a, b): i for i, (a, b, _) in enumerate(sorted(rows, key=lambda r: (r[0] % 3, r[1])))}
+    assert curate.ranked(df.limit(0), "b").count() == 0
+
+
+def test_boxes_in_any_nesting(spark):
+    def boxes(text):
+        """By depth, from each opening to its end."""
+        out, bad = [], False
+        for at in [i for i in range(len(text)) if text.startswith("\\boxed{", i)]:
+            inner = text[at + 7 :]
+            depth = [1 + inner[: k + 1].count("{") - inner[: k + 1].count("}") for k in range(len(inner))]
+            if 0 in depth:
+                out.append(inner[: depth.index(0)])
+            else:
+                bad = True
+        return out, bad
+
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(["\\boxed{", "{", "}", "x", "1"], size=12)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", t.boxed_parts("t").alias("p")).collect():
+        assert (r["p"]["boxes"], r["p"]["malformed"]) == boxes(r["t"])
+    many = spark.createDataFrame([("\\boxed{" * 100_000,)], "t string").select(t.boxed_parts("t").alias("p")).first()["p"]
+    assert many["malformed"] and many["boxes"] == []
+
+
+def test_keys_of_any_text(spark):
+    texts = ["Été 1,234.5 ÇA_va?", "ﬁ x² Ⅷ", "日本 12", "áb", "ĳŉ", "  ", "", None, "Ünïcödé—dash", 'a "quoted" \\ text', "tab\tand\nline", "\x01", "é"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for r in df.select("x", t.family_key("x").alias("k"), t.salted_key("s", F.col("x")).alias("d")).collect():
+        if r["x"] is None:
+            assert r["k"] is None and r["d"] is None
+            continue
+        y = unicodedata.normalize("NFKC", r["x"]).lower()
+        assert r["k"] == re.sub(r"\W+", " ", re.sub(r"\d+(?:[.,]\d+)*", " NUMBER ", y)).strip()
+        assert r["d"] == hashlib.sha256(json.dumps(["s", r["x"]], separators=(",", ":")).encode()).hexdigest()
+
+
+def test_ill_conditioned_systems(spark):
+    """The residual is measured by the size of the system and its weights, not of b alone."""
+    rng = np.random.default_rng(0)
+    q, _ = np.linalg.qr(rng.normal(size=(12, 12)))
+    a, b = q @ np.diag(np.logspace(0, 13, 12)) @ q.T, rng.normal(size=12)
+    w = heads.fit_system(a, b, 0.01)
+    assert heads.relative_residual(a + 0.01 * np.eye(12), w, b) < 1e-8
+    systems = spark.createDataFrame([("r", 0, a.ravel().tolist(), b.tolist()), ("z", 0, [0.0] * 4, [1.0, 1.0])], "run string, fold int, a array<double>, b array<double>")
+    got = {(r["run"], r["epsilon"]): r for r in heads.conditioning(systems).collect()}
+    assert got["z", 0.0]["error"] and got["z", 0.0]["condition"] is None and got["z", 1.0]["condition"] == 1
+    assert got["r", 1.0]["norm"] == pytest.approx(np.linalg.norm(np.linalg.solve(a + np.eye(12), b)), rel=1e-4) and len(got["r", 1.0]["sensitivity"]) == 3
+    assert all(x == pytest.approx(1) for x in got["z", 1.0]["sensitivity"])
+    good = lambda run, fold, fitting, n=5, w=w: (run, fold, a.ravel().tolist(), b.tolist(), w.tolist(), 0.01, fitting, n)
+    stored = [good("two", 0, 1), good("two", 1, 0), good("one", 0, 0), good("same", 0, 0), good("same", 1, 1), good("none", 0, 0, 0), good("off", 0, 0, 5, w + 1), good("short", 0, 0, 5, w[:5])]
+    frame = spark.createDataFrame(stored, "run string, fold int, a array<double>, b array<double>, w array<double>, epsilon double, fitting_fold int, answers long")
+    assert {(r["run"], r["fold"]): r["ok"] for r in heads.audit_heads(frame).collect()} == {
+        ("two", 0): True, ("two", 1): True, ("one", 0): True, ("same", 0): False, ("same", 1): False, ("none", 0): False, ("off", 0): False, ("short", 0): False,
+    }

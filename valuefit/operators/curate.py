@@ -163,14 +163,27 @@ def top_by_hash(df: DataFrame, n: int | None, seed: int | str, ident: str = "id"
     return found
 
 
-def ranked(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
-    """A global rank from 0 in a total order.
+def ranked(df: DataFrame, *order: Column | str, out: str = "rank", per_range: int = 100_000, most: int = 500) -> DataFrame:
+    """A global rank from 0 in a total, ascending order of columns without nulls.
 
-    Sorts by range and numbers the sorted partitions, so no task has all rows; ``order`` has to be total.
+    Rows fall into ranges of about ``per_range`` by bounds from a bounded sample of keys; a rank is the number of rows in
+    earlier ranges and the row's number in its own, so no task has all rows.  Any bounds give the same ranks.
     """
-    names = df.columns
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])).select(*names, out)
+    key = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)))
+    keyed = df.select("*", key.alias("_key"))
+    n = df.count()
+    ranges = min(most, max(1, n // per_range))
+    at = F.lit(0)
+    if ranges > 1:
+        some = sorted(tuple(r[0]) for r in keyed.select("_key").sample(min(1.0, 100 * ranges / n), seed=0).limit(400 * ranges).collect())
+        kinds = [f.dataType for f in keyed.schema["_key"].dataType.fields]
+        bounds = [F.struct(*(F.lit(v).cast(k).alias(f"k{i}") for i, (v, k) in enumerate(zip(some[j * len(some) // ranges], kinds)))) for j in range(1, ranges)]
+        at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("_key")))
+    keyed = keyed.withColumn("_range", at)
+    held = {r[0]: r[1] for r in keyed.groupBy("_range").count().collect()} if ranges > 1 else {}
+    before = F.array(*(F.lit(sum(v for k, v in held.items() if k < i)).cast("long") for i in range(ranges)))
+    number = F.row_number().over(W.partitionBy("_range").orderBy("_key")) - 1
+    return keyed.select(*df.columns, (number + F.get(before, F.col("_range"))).cast("long").alias(out))
 
 
 def split_share(df: DataFrame, seed: int | str, ident: str = "id", shares=(0.6, 0.2)) -> DataFrame:

@@ -35,19 +35,19 @@ def isotropic_stats(spark, sf_dir):
 
 
 def gram_entries(spark, sf_dir):
-    p = prefixes(spark, sf_dir).withColumn("x", F.slice("x", 1, 8))
+    p = prefixes(spark, sf_dir)
     return stats.gram_entries(p).select("i", "j", r6("a").alias("a"))
 
 
 def gram_partials(spark, sf_dir):
-    p = prefixes(spark, sf_dir).withColumn("x", F.slice("x", 1, 8))
+    p = prefixes(spark, sf_dir)
     out = stats.add_partials(stats.ridge_partials(p, "split"))
     return out.select(F.col("key").alias("split"), F.col("n").cast("long").alias("n"), F.posexplode("v").alias("k", "v")).select("split", "n", "k", r6("v").alias("v"))
 
 
 def lstd_entries(spark, sf_dir):
-    p = prefixes(spark, sf_dir).withColumn("x", F.slice("x", 1, 3)).withColumn("y", F.lit(1.0))
-    out = stats.add_partials(stats.lstd_partials(p, 0.0))
+    p = prefixes(spark, sf_dir)
+    out = stats.add_partials(stats.lstd_partials(p, 0.5))
     return out.select(F.col("n").cast("long").alias("n"), F.col("answers").cast("long").alias("answers"), F.posexplode("v").alias("k", "v")).select("n", "answers", "k", r6("v").alias("v"))
 
 
@@ -80,29 +80,29 @@ def budget_curves(spark, sf_dir):
 
 
 def system_conditioning(spark, sf_dir):
-    p = prefixes(spark, sf_dir).withColumn("x", F.slice("x", 1, 16))
+    p = prefixes(spark, sf_dir)
     s = stats.add_partials(stats.ridge_partials(p, "split"))
-    systems = s.select(F.col("key").alias("run"), F.lit(0).alias("fold"), F.slice("v", 1, 17 * 17).alias("a"), F.slice("v", 17 * 17 + 1, 17).alias("b"))
+    systems = s.select(F.col("key").alias("run"), F.lit(0).alias("fold"), F.slice("v", 1, 65 * 65).alias("a"), F.slice("v", 65 * 65 + 1, 65).alias("b"))
     return heads.conditioning(systems).select("run", "epsilon", "rank", r6(F.log("condition")).alias("log_condition"))
 
 
 def head_audit(spark, sf_dir):
-    p = prefixes(spark, sf_dir).withColumn("x", F.slice("x", 1, 16))
+    p = prefixes(spark, sf_dir)
     s = stats.add_partials(stats.ridge_partials(p, "split"))
     w = heads.fit_ridge(p, 0.01, "split")
     wrong = {k: x + (0.1 if k == "val" else 0) for k, x in w.items()}
     stored = F.coalesce(*(F.when(F.col("key") == k, F.array(*(F.lit(float(y)) for y in x))) for k, x in wrong.items()))
-    rows = s.select(F.col("key").alias("run"), F.lit(0).alias("fold"), F.slice("v", 1, 17 * 17).alias("a"), F.slice("v", 17 * 17 + 1, 17).alias("b"), stored.alias("w"), F.lit(0.01).alias("epsilon"))
+    rows = s.select(F.col("key").alias("run"), F.lit(0).alias("fold"), F.slice("v", 1, 65 * 65).alias("a"), F.slice("v", 65 * 65 + 1, 65).alias("b"), stored.alias("w"), F.lit(0.01).alias("epsilon"))
     return heads.audit_heads(rows).select("run", "ok")
 
 
 def _linear(spark, sf_dir):
-    """Predictions that need no fit: a fixed combination of two coordinates."""
+    """Predictions that need no fit: a fixed combination of all coordinates."""
     p = prefixes(spark, sf_dir)
-    return p.select("question", "position", "split", "domain", "y", (F.get("x", F.lit(0)) * 2 + F.get("x", F.lit(1)) + 0.5).alias("value"))
+    return p.select("question", "position", "split", "domain", "y", (v.vector_sum(F.col("x")) * 0.3 + 0.5).alias("value"))
 
 
-SQL_LINEAR = f"{SQL_PREFIXES}, l AS (SELECT question, position, split, domain, y, x[1] * 2 + x[2] + 0.5 AS value, greatest(0.0, least(1.0, x[1] * 2 + x[2] + 0.5)) AS c FROM p)"
+SQL_LINEAR = f"{SQL_PREFIXES}, l AS (SELECT question, position, split, domain, y, list_sum(x) * 0.3 + 0.5 AS value, greatest(0.0, least(1.0, list_sum(x) * 0.3 + 0.5)) AS c FROM p)"
 
 
 def question_brier(spark, sf_dir):
@@ -176,17 +176,18 @@ s AS (SELECT *, sqrt(list_sum(list_transform(x, lambda c: (c - m) * (c - m))) /
 SELECT position, i::INTEGER AS i, round((x[i + 1] - m) / s, 6) AS c FROM s, generate_series(0, 63) g(i)""",
     "isotropic_stats": f"""WITH {SQL_PREFIXES}, u AS (SELECT i, x[i + 1] AS c FROM p, generate_series(0, 63) g(i)), m AS (SELECT i, avg(c) AS mean FROM u GROUP BY 1)
 SELECT (SELECT round(sqrt(avg((c - mean) * (c - mean))), 6) FROM u JOIN m USING (i)) AS scale, i::INTEGER AS i, round(mean, 6) AS mean FROM m""",
-    "gram_entries": f"""WITH {SQL_PREFIXES}, r AS (SELECT list_append(x[1:8], 1.0) AS p, list_append(list_append(x[1:8], 1.0), y) AS q FROM p)
-SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(p[i + 1] * q[j + 1]), 6) AS a FROM r, generate_series(0, 8) g(i), generate_series(0, 9) h(j) GROUP BY 1, 2""",
-    "gram_partials": f"""WITH {SQL_PREFIXES}, r AS (SELECT split, list_append(x[1:8], 1.0) AS p, y FROM p)
-SELECT split, count(*) AS n, (i * 9 + j)::INTEGER AS k, round(sum(p[i + 1] * p[j + 1]), 6) AS v FROM r, generate_series(0, 8) g(i), generate_series(0, 8) h(j) GROUP BY split, i, j
-UNION ALL SELECT split, count(*), (81 + i)::INTEGER, round(sum(p[i + 1] * y), 6) FROM r, generate_series(0, 8) g(i) GROUP BY split, i""",
-    "lstd_entries": f"""WITH {SQL_PREFIXES}, r AS (SELECT question, response, list_append(x[1:3], 1.0) AS a,
-  lead(list_append(x[1:3], 1.0)) OVER (PARTITION BY question, response ORDER BY position) AS n FROM p),
-d AS (SELECT question, response, a, n IS NULL AS last, list_transform([1, 2, 3, 4], lambda i: a[i] - coalesce(n[i], 0)) AS d FROM r)
-SELECT (SELECT count(*) FROM r) AS n, (SELECT count(*) FROM d WHERE last) AS answers, (i * 4 + j)::INTEGER AS k, round(sum(a[i + 1] * d[j + 1]), 6) AS v
-FROM d, generate_series(0, 3) g(i), generate_series(0, 3) h(j) GROUP BY i, j
-UNION ALL SELECT (SELECT count(*) FROM r), (SELECT count(*) FROM d WHERE last), (16 + i)::INTEGER, round(sum(a[i + 1]) FILTER (last), 6) FROM d, generate_series(0, 3) g(i) GROUP BY i""",
+    "gram_entries": f"""WITH {SQL_PREFIXES}, r AS (SELECT list_append(x, 1.0) AS p, list_append(list_append(x, 1.0), y) AS q FROM p)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(p[i + 1] * q[j + 1]), 6) AS a FROM r, generate_series(0, 64) g(i), generate_series(0, 65) h(j) GROUP BY 1, 2""",
+    "gram_partials": f"""WITH {SQL_PREFIXES}, r AS (SELECT split, list_append(x, 1.0) AS p, y FROM p)
+SELECT split, count(*) AS n, (i * 65 + j)::INTEGER AS k, round(sum(p[i + 1] * p[j + 1]), 6) AS v FROM r, generate_series(0, 64) g(i), generate_series(0, 64) h(j) GROUP BY split, i, j
+UNION ALL SELECT split, count(*), (4225 + i)::INTEGER, round(sum(p[i + 1] * y), 6) FROM r, generate_series(0, 64) g(i) GROUP BY split, i""",
+    "lstd_entries": f"""WITH {SQL_PREFIXES}, r AS (SELECT question, response, y, row_number() OVER w - 1 AS k, list_append(x, 1.0) AS a, lead(list_append(x, 1.0)) OVER w AS n
+  FROM p WINDOW w AS (PARTITION BY question, response ORDER BY position)),
+e AS (SELECT question, response, k, i, y, n IS NULL AS last, a[i + 1] - coalesce(n[i + 1], 0) AS d,
+  0.5 ** k * sum(a[i + 1] * 2.0 ** k) OVER (PARTITION BY question, response, i ORDER BY k) AS z FROM r, generate_series(0, 64) g(i)),
+c AS (SELECT (SELECT count(*) FROM r) AS n, (SELECT count(*) FROM r WHERE n IS NULL) AS answers)
+SELECT n, answers, (f.i * 65 + g.i)::INTEGER AS k, round(sum(f.z * g.d), 6) AS v FROM c, e f JOIN e g USING (question, response, k) GROUP BY n, answers, f.i, g.i
+UNION ALL SELECT n, answers, (4225 + i)::INTEGER, round(coalesce(sum(z * y) FILTER (last), 0), 6) FROM c, e GROUP BY n, answers, i""",
     "question_brier": f"WITH {SQL_LINEAR} SELECT split, round(avg(e), 6) AS question_brier FROM (SELECT split, question, avg((value - y) ** 2) AS e FROM l GROUP BY 1, 2) GROUP BY 1",
     "prefix_metrics": f"""WITH {SQL_LINEAR}, k AS (SELECT domain, split, question, avg((value - y) ** 2) AS qe, avg((c - y) ** 2) AS qc FROM l GROUP BY 1, 2, 3),
 g AS (SELECT domain, split, count(*) AS questions, round(avg(qe), 6) AS question_brier, round(avg(qc), 6) AS question_clipped_brier FROM k GROUP BY 1, 2)
