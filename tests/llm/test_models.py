@@ -487,3 +487,12 @@ def test_the_worst_texts_of_each_pattern(spark):
     got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string").repartition(8), KEY).selectExpr("doc_id", "size(found) n", "length(text) l").collect()
     assert len(got) == len(parts) and time.time() - start < 120
     assert {r["doc_id"]: r["n"] for r in got}[0] == 1
+
+
+def test_long_texts_in_parts():
+    rng = np.random.default_rng(2)
+    p = {k: v if k != "v" else rng.normal(size=v.shape).astype(np.float32) for k, v in quality.start(2).items()}
+    for n in (0, 1, 8, 511, 512, 513, 4096 * 3, 40_001):
+        data = rng.choice(np.frombuffer(b"abc \xc3\xa9", np.uint8), n)
+        whole = quality.forward(quality.Steps(data, np.array([0, n])), p)[4][0]
+        assert all(quality.forward_long(data, p, k) == pytest.approx(whole, abs=1e-4) for k in (1, 3, 1000))

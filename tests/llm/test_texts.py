@@ -208,3 +208,11 @@ def test_license_labels_by_brute_force(spark):
                             best = max(best, share)
             assert {(p["label"], p["word"]) for p in got[i]["places"]} == want
             assert got[i]["score"] == pytest.approx(best) and got[i]["labels"] == ",".join(sorted({x for x, _ in want}))
+
+
+def test_signatures_in_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 5, 300, 2000)]
+    whole = minhash.signatures(sets)
+    monkeypatch.setattr(minhash, "BLOCK", 37)
+    assert (minhash.signatures(sets) == whole).all()

@@ -23,6 +23,8 @@ from .graph import components, forest
 from .kernels import NOT_SPACE, U, Words, chunks, mix
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
+#: shingles whose ranks are held at a time
+BLOCK = 1 << 19
 _RANK = U(64 - SLOTS.bit_length() + 1)  # bits of r below those of j
 
 
@@ -43,10 +45,16 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash signatures, one row of ``slots`` uint64 for each set; an empty set's slots are all ones."""
     sig = np.full((len(sets), slots), np.iinfo(np.uint64).max, U)
-    flat = sig.reshape(-1)
-    items = np.concatenate([*sets, np.zeros(0, U)])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = None
+    every = np.concatenate([*sets, np.zeros(0, U)])
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    for first in range(0, len(every), BLOCK):  # least values do not depend on the order: a long text comes in blocks
+        _lower(sig, every[first : first + BLOCK], owners[first : first + BLOCK])
+    return sig
+
+
+def _lower(sig: np.ndarray, items: np.ndarray, owner: np.ndarray) -> None:
+    """Lower the signatures by the values of some shingles."""
+    flat, slots, order = sig.reshape(-1), sig.shape[1], None
     for j in range(slots):
         if len(items) == 0:
             break
@@ -62,7 +70,6 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
         open_ = (sig >= (U(j + 1) << _RANK)).any(axis=1)[owner]
         if not open_.all():
             items, owner, order = items[open_], owner[open_], order[open_]
-    return sig
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:

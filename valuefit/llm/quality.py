@@ -22,6 +22,8 @@ from .toxicity import fold
 STEP, TAPS, CHUNK = 8, 4, 64
 LAGS = range(2, 26)
 EMBED, FILTERS = 6, 24
+#: bytes of the texts that are scored together, and of a text that is scored in parts
+LONG = 1 << 18
 WIDTH = STEP * EMBED + len(LAGS)
 
 
@@ -77,8 +79,25 @@ def forward(s: Steps, p: dict[str, np.ndarray]):
     return x, z, top, pooled, pooled @ p["v"] + p["c"][0]
 
 
+def forward_long(data: np.ndarray, p: dict[str, np.ndarray], chunks_: int = 512) -> np.ndarray:
+    """``forward``'s logit of one text, ``chunks_`` chunks at a time, so that memory does not grow with the text."""
+    n, before = max(-(-len(data) // STEP), 1), -(-LAGS[-1] // STEP)
+    largest, total, count = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS), 0
+    for first in range(0, n, chunks_ * CHUNK):
+        last, low = min(first + chunks_ * CHUNK, n), max(first - before, 0)
+        part = data[low * STEP : (last + TAPS - 1) * STEP]  # with the bytes that lags and windows reach
+        z = forward(Steps(part, np.array([0, len(part)])), p)[1][first - low : last - low]
+        top = np.maximum.reduceat(z, np.arange(0, len(z), CHUNK), axis=0)
+        largest, total, count = np.maximum(largest, top.max(0)), total + top.sum(0), count + len(top)
+    return np.concatenate([largest, (total / count).astype(np.float32)]) @ p["v"] + p["c"][0]
+
+
 def predict(data: np.ndarray, offsets: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(forward(Steps(data, offsets), p)[4].astype(float), -30, 30)))
+    if len(offsets) == 2 and len(data) > LONG:
+        logit = np.array([forward_long(data, p)])
+    else:
+        logit = forward(Steps(data, offsets), p)[4]
+    return 1 / (1 + np.exp(-np.clip(logit.astype(float), -30, 30)))
 
 
 def gradients(s: Steps, y: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -143,7 +162,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 14, batch: int = 48,
 def _score(p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(2), 1 << 18):
+            for a, b, data, offsets in chunks(batch.column(2), LONG):
                 score = predict(data, offsets, p)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(score)], ["r1", "r2", "score"])
 
@@ -171,8 +190,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **
     """(doc_id, held_out, score, predicted) for each row of ``docs``; ``labels`` has doc_id and quality (0 or 1).
 
     ``held_out``: fold 2 of the id's crc32, never learnt from; false for a null id.  The score is a function of the
-    whole text's bytes alone; a null text scores as an empty one.  Repeated rows come back as often as they came;
-    other columns are not read.
+    whole text's bytes alone, very long ones in parts with the same result; a null text scores as an empty one, an empty
+    table gives an empty result.  Repeated rows come back as often as they came; other columns are not read, so names
+    cannot clash.
     """
     p = fit_quality(docs, labels, **fit)
 
@@ -187,13 +207,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
-    """The rows of ``docs``, all columns, that the network predicts to be good; see ``score_quality``."""
+    """The rows of ``docs``, all columns, whatever their names, that the network predicts to be good; see ``score_quality``.
+
+    Null and empty texts are judged like any other, repeated rows stay or go together.
+    """
     p = fit_quality(docs, labels, **fit)
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [predict(data, offsets, p) for _, _, data, offsets in chunks(batch.column(at), 1 << 18)]
+            score = [predict(data, offsets, p) for _, _, data, offsets in chunks(batch.column(at), LONG)]
             if score:
                 yield batch.filter(pa.array(np.concatenate(score) >= threshold))
 
