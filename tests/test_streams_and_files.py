@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from valuefit.operators import heads, ledger, neural, stats
 from valuefit.sources import schemas, tables
-from valuefit.streaming.cumulative import CumulativeHead, replay
+from valuefit.streaming.cumulative import CumulativeHead, replay, write_step
 
 
 def updates(spark, step, n=8, width=2, seed=0):
@@ -23,8 +23,8 @@ def updates(spark, step, n=8, width=2, seed=0):
 @pytest.mark.parametrize("decay", [1.0, 0.9])
 def test_stream_equals_batch(spark, tmp_path, decay):
     frames = [updates(spark, s) for s in (1, 2, 3)]
-    for f in frames:
-        f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for step, f in enumerate(frames, 1):
+        write_step(f.repartition(4), str(tmp_path / "in"), step)
     head = CumulativeHead(spark, str(tmp_path / "head"), decay=decay)
     log = replay(frames[0], head, str(tmp_path / "in"), str(tmp_path / "checkpoint"))
     assert sorted((r["step"], r["answers"], r["transitions"]) for r in log.collect()) == [(1, 8, 24), (2, 16, 48), (3, 24, 72)]
@@ -34,7 +34,9 @@ def test_stream_equals_batch(spark, tmp_path, decay):
     s = stats.collect_statistics(stats.lstd_partials(rows, decay))[""]
     state = head.load(3)[""]
     assert np.allclose(state["a"], s["a"]) and np.allclose(state["b"], s["b"])
-    assert head.update(frames[2], 3) is None  # a replay changes nothing
+    assert head.update(frames[2].repartition(2), 3) is None  # a replay changes nothing
+    with pytest.raises(ValueError, match="other rows"):
+        head.update(frames[2].where("answer_id <> '3-0'"), 3)
     with pytest.raises(ValueError, match="consecutive"):
         head.update(updates(spark, 5), 5)
 

@@ -231,14 +231,14 @@ def cumulative_stream_replay(spark, sf_dir):
     """A stream of update batches made of events; the shared folder holds its files and state."""
     import uuid
 
-    from valuefit.streaming.cumulative import CumulativeHead, replay
+    from valuefit.streaming.cumulative import CumulativeHead, replay, write_step
 
     e = c.episodes(spark, sf_dir)
     u = e.select(((F.col("question") % 3) + 1).cast("int").alias("step"), F.col("answer").alias("answer_id"), F.col("question").cast("string").alias("question_id"), F.col("position").cast("int").alias("position"),
                  F.array("value", F.col("position") / 10).alias("x"), "reward")
     root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="valuefit-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     for step in (1, 2, 3):
-        u.where(F.col("step") == step).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        write_step(u.where(F.col("step") == step), f"{root}/in", step)
     head = CumulativeHead(spark, f"{root}/head", decay=0.9)
     out = replay(u, head, f"{root}/in", f"{root}/checkpoint")
     return out.select("step", "transitions", "answers", "prefixes", "questions")

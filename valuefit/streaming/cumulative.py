@@ -18,6 +18,7 @@ from valuefit.operators import heads, stats
 from valuefit.operators.metrics import prediction_metrics
 from valuefit.operators.prefixes import reward_problems
 
+LEDGER = "step int, epoch int, rows long, content string"
 STATE = "step int, epoch int, fold string, a array<double>, b array<double>, transitions long, answers long"
 
 
@@ -45,8 +46,14 @@ class CumulativeHead:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _ledger(self) -> DataFrame:
-        schema = "step int, epoch int"
-        return self.spark.read.schema(schema).json(f"{self.path}/ledger") if self._exists(f"{self.path}/ledger") else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(LEDGER).json(f"{self.path}/ledger") if self._exists(f"{self.path}/ledger") else self.spark.createDataFrame([], LEDGER)
+
+    @staticmethod
+    def _content(batch: DataFrame) -> tuple[int, str]:
+        """A batch's rows and a hash of them that does not depend on their order or partitions."""
+        row = F.xxhash64("answer_id", "question_id", "position", "x", F.col("reward").cast("double"))
+        n, total = batch.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first()
+        return n, str(total or 0)
 
     def last_step(self) -> int:
         return self._ledger().agg(F.max("step")).first()[0] or 0
@@ -93,10 +100,17 @@ class CumulativeHead:
         return predict_many(rows, weights[""]).withColumn("value", F.get("values", F.lit(0))).drop("values")
 
     def update(self, batch: DataFrame, step: int, feature_epoch: int | None = None) -> DataFrame | None:
-        """Add one batch and give its values; None if the step was committed before."""
-        last = self.last_step()
-        if step <= last:
+        """Add one batch, a whole step, and give its values; None if the step was committed before with the same rows.
+
+        Other rows for a committed step are an error: part of a step never counts as the step.
+        """
+        known = self._ledger().where(F.col("step") == step).first()
+        content = self._content(batch)
+        if known is not None:
+            if (known["rows"], known["content"]) != content:
+                raise ValueError(f"step {step} was committed with other rows")
             return None
+        last = self.last_step()
         if step != last + 1:
             raise ValueError(f"steps have to be consecutive: {step} after {last}")
         epoch = self.epoch(step)
@@ -108,6 +122,14 @@ class CumulativeHead:
         if any(s["epoch"] != epoch for s in now.values()):
             now = {}
         rows = self._rows(batch).persist()
+        try:
+            saved = self._commit(rows, now, step, epoch, content)
+        finally:
+            rows.unpersist()
+        self._forget(step - self.keep)
+        return saved
+
+    def _commit(self, rows: DataFrame, now: dict, step: int, epoch: int, content: tuple[int, str]) -> DataFrame:
         after = self._added(now, rows)
         values = self._values(rows, now if self.order == "predict_first" else after)
         schema = T._parse_datatype_string(STATE)
@@ -122,9 +144,7 @@ class CumulativeHead:
         )
         log.write.mode("overwrite").parquet(f"{self.path}/metrics/step={step}")
         # a step is there once its ledger row is
-        self.spark.createDataFrame([(step, epoch)], "step int, epoch int").coalesce(1).write.mode("append").json(f"{self.path}/ledger")
-        rows.unpersist()
-        self._forget(step - self.keep)
+        self.spark.createDataFrame([(step, epoch, *content)], LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
         return saved
 
     def _forget(self, step: int) -> None:
@@ -133,15 +153,24 @@ class CumulativeHead:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/step={step}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def foreach_batch(self, df: DataFrame, batch_id: int) -> None:
-        """For ``writeStream.foreachBatch``: the steps of a micro-batch in order; a batch holds few steps."""
-        for row in df.select("step").distinct().orderBy("step").collect():
-            self.update(df.where(F.col("step") == row["step"]), row["step"])
+    def foreach_step(self, steps: DataFrame, source: str, schema: T.StructType) -> None:
+        """For ``writeStream.foreachBatch`` over the marks of complete steps: each step's rows are read whole."""
+        for row in steps.select("step").distinct().orderBy("step").collect():  # as many as steps have come
+            rows = self.spark.read.schema(schema).parquet(f"{source}/steps/step={row['step']}")
+            self.update(rows.withColumn("step", F.lit(row["step"])), row["step"])
+
+
+def write_step(batch: DataFrame, source: str, step: int) -> None:
+    """A step's rows, by as many tasks as they have partitions, and then the mark that they are complete."""
+    batch.drop("step").write.mode("overwrite").parquet(f"{source}/steps/step={step}")
+    batch.sparkSession.createDataFrame([(step,)], "step int").coalesce(1).write.mode("append").json(f"{source}/marks")
 
 
 def replay(updates: DataFrame, head: CumulativeHead, source: str, checkpoint: str) -> DataFrame:
-    """Run updates, written as one folder of files by step, through a file stream, and give all steps' metrics."""
-    stream = head.spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = stream.writeStream.foreachBatch(head.foreach_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run steps that ``write_step`` has written through a stream of their marks, and give all steps' metrics."""
+    schema = updates.drop("step").schema
+    stream = head.spark.readStream.schema("step int").option("maxFilesPerTrigger", 1).json(f"{source}/marks")
+    query = stream.writeStream.foreachBatch(lambda marks, _: head.foreach_step(marks, source, schema))
+    query = query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return head.spark.read.parquet(f"{head.path}/metrics")
