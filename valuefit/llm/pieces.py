@@ -30,9 +30,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: bytes of the memo of segments and number of pairs in that of pairs before they start anew; longest segment in the memo
-CACHE, PAIRS, LONGEST, ENTRY = 96 << 20, 1_000_000, 64, 120
+CACHE, PAIRS, LONGEST, ENTRY = 48 << 20, 250_000, 64, 220
 #: bytes of texts that are encoded together
-LOT = 1 << 22
+LOT = 1 << 21
 BEGIN, TEXT, GAP = range(3)
 
 
@@ -207,6 +207,10 @@ class Machine:
         self.piece = np.array(piece, np.int32)
         self.pair_keys, self.pair_ok, self.pairs = np.zeros(0, np.int64), np.zeros(0, bool), {}
 
+    def forget(self) -> None:
+        """Segments seen so far; workers live on after a task and share an executor's memory with others."""
+        self.memo, self.held = {}, 0
+
     def _fallback(self, char: str) -> list[int]:
         found = [self.byte.get(b) for b in char.encode("utf-8", "replace")]
         return [self.unknown] if None in found else found
@@ -423,8 +427,8 @@ class Machine:
         out = [self.memo.get(h) for h in hashes]
         new = np.array([k for k, f in enumerate(out) if f is None], np.int64)
         short = new[end[new] - start[new] <= LONGEST] if self.bpe else new[:0]
-        for first in range(0, len(short), 1 << 15):
-            some = short[first : first + (1 << 15)]
+        for first in range(0, len(short), 1 << 14):
+            some = short[first : first + (1 << 14)]
             ids, done = self._free_many(data, start[some], end[some])
             some, ids = some[done], ids[done]
             count = (ids >= 0).sum(1)
@@ -437,8 +441,7 @@ class Machine:
                 out[k] = np.array(self.path(data[start[k] : end[k]].tobytes().decode().replace(" ", MARK)), np.int32).tobytes()
             if end[k] - start[k] <= LONGEST:
                 if self.held >= CACHE:
-                    self.memo.clear()
-                    self.held = 0
+                    self.forget()
                 self.memo[hashes[k]] = out[k]
                 self.held += ENTRY + len(out[k])
         return out
@@ -470,6 +473,7 @@ def _encode(name: str):
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(same)],
                     ["doc_id", "n_tokens", "tokens", "round_trip"],
                 )
+        m.forget()
 
     return run
 
