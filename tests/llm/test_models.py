@@ -184,6 +184,19 @@ def test_pieces_equal_the_public_library():
         assert same.tolist() == ["▁" not in t for t in texts]
 
 
+def test_segments_are_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 3000)
+    monkeypatch.setattr(pieces, "FREE", 7)
+    own = pieces.Machine(open(pieces.model_path(), "rb").read())
+    rng = random.Random(5)
+    for _ in range(30):
+        texts = ["".join(rng.choice(["th", "er", " ", "  ", "é", "\n", "日", "x", "ing", "0"]) for _ in range(rng.randrange(80))) for _ in range(6)]
+        data = "".join(texts).encode()
+        ids, ends, same = own.encode_all(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+        assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:])] == [np.frombuffer(own.encode(t), np.int32).tolist() for t in texts]
+        assert same.all() and len(own.memo[0]) * 20 + len(own.memo[3]) * 4 < 6000
+
+
 def test_pairs_by_the_definition_of_merging():
     own = pieces.Machine(open(pieces.model_path(), "rb").read())
     rng, ids = random.Random(3), list(own.id.values())

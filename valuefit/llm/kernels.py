@@ -52,7 +52,7 @@ _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the prime and of its inverse, n or more."""
     if not _cache or next(iter(_cache)) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         _cache.clear()
         _cache[size] = _powers(PRIME, size), _powers(INVERSE, size)
     return next(iter(_cache.values()))
@@ -77,7 +77,7 @@ def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
 
 
 #: bytes whose words are hashed at a time, so that a very long text needs no more memory for it than a short one
-BLOCK = (1 << 20) - 1
+BLOCK = (1 << 18) - 1
 
 
 class Words:

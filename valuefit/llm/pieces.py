@@ -30,9 +30,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: bytes of the memo of segments and number of pairs in that of pairs before they start anew; longest segment in the memo
-CACHE, PAIRS, LONGEST, ENTRY = 48 << 20, 250_000, 64, 220
-#: bytes of texts that are encoded together
-LOT = 1 << 21
+CACHE, PAIRS, LONGEST = 16 << 20, 250_000, 64
+#: bytes of texts that are encoded together, and segments that are searched together
+LOT, FREE = 1 << 20, 1 << 14
 BEGIN, TEXT, GAP = range(3)
 
 
@@ -131,9 +131,16 @@ class Merges:
                 until, on_left, a = ra, True, last[a][1]
             else:
                 until, on_left, b = rb, False, last[b][0]
-        if len(self.memo) >= PAIRS:
-            self.memo.clear()
-        self.memo[left << 32 | right] = ok
+        return ok
+
+    def meet_again(self, left: int, right: int) -> bool:
+        """``meet``, remembered."""
+        key = left << 32 | right
+        ok = self.memo.get(key)
+        if ok is None:
+            if len(self.memo) >= PAIRS:
+                self.memo.clear()
+            ok = self.memo[key] = self.meet(left, right)
         return ok
 
 
@@ -166,8 +173,7 @@ class Machine:
         self.unknown = next(i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN)
         self.worst = max(self.rank.values(), default=0.0) + 10
         self.merges = Merges([p for p, _, _ in pieces], self.rank)
-        self.memo: dict[int, bytes] = {}
-        self.held = 0
+        self.forget()
         if self.bpe:  # pieces that merging can't reach are on no path
             self.id = {p: i for p, i in self.id.items() if len(p) == 1 or self.merges.merged(p) == [p]}
         self.compile()
@@ -209,7 +215,8 @@ class Machine:
 
     def forget(self) -> None:
         """Segments seen so far; workers live on after a task and share an executor's memory with others."""
-        self.memo, self.held = {}, 0
+        none = np.zeros(0, np.int64)
+        self.memo = none.astype(np.uint64), none, none.astype(np.int32), none.astype(np.int32)
 
     def _fallback(self, char: str) -> list[int]:
         found = [self.byte.get(b) for b in char.encode("utf-8", "replace")]
@@ -230,7 +237,7 @@ class Machine:
 
     def _free(self, text: str):
         """Weights of 0 or infinite: the paths of weight 0 are followed furthest piece first; states are places with a last piece."""
-        n, begin, pairs, meet = len(text), self.begin, self.merges.memo.get, self.merges.meet
+        n, begin, meet = len(text), self.begin, self.merges.meet_again
         stack, seen = [(0, -1, None)], set()
         while stack:
             i, last, chain = stack.pop()
@@ -250,10 +257,8 @@ class Machine:
                 if found is not None:
                     piece = found[0]
                     known = known or i == j
-                    if last >= 0:
-                        meets = pairs(last << 32 | piece)
-                        if not (meet(last, piece) if meets is None else meets):
-                            continue
+                    if last >= 0 and not meet(last, piece):
+                        continue
                     stack.append((j + 1, piece, (chain, piece)))
             if not known:
                 stack.append((i + 1, -1, (chain, text[i])))
@@ -396,9 +401,7 @@ class Machine:
         end = np.append(start[1:], len(data))
         _, at, inverse = np.unique(slices(data, start, end), return_index=True, return_inverse=True)
         a, b = start[at], end[at]
-        found = self._paths(data, a, b)
-        count = np.array([len(f) // 4 for f in found])
-        ids = np.frombuffer(b"".join(found), np.int32)
+        ids, count = self._paths(data, a, b)
         # whether a segment's pieces are its bytes
         size = np.add.reduceat(np.append(self.size[ids], 0), np.cumsum(count) - count)
         same = size == b - a
@@ -418,33 +421,50 @@ class Machine:
     def _holds(data: np.ndarray, part: np.ndarray) -> bool:
         return len(data) >= len(part) and bool(np.logical_and.reduce([data[i : len(data) - len(part) + 1 + i] == c for i, c in enumerate(part)]).any())
 
-    def _paths(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """The packed ids of distinct segments."""
+    def _paths(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct segments, one segment after the other, and how many each has."""
         order = np.argsort(start)
         hashes = np.empty(len(start), np.uint64)
         hashes[order] = slices(data, start[order], end[order])
-        hashes = hashes.tolist()
-        out = [self.memo.get(h) for h in hashes]
-        new = np.array([k for k, f in enumerate(out) if f is None], np.int64)
+        keys, begins, counts, held = self.memo
+        at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+        known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
         short = new[end[new] - start[new] <= LONGEST] if self.bpe else new[:0]
-        for first in range(0, len(short), 1 << 14):
-            some = short[first : first + (1 << 14)]
-            ids, done = self._free_many(data, start[some], end[some])
-            some, ids = some[done], ids[done]
-            count = (ids >= 0).sum(1)
-            packed, at = ids[ids >= 0].tobytes(), np.concatenate([[0], np.cumsum(count)]) * 4
-            for k, i, j in zip(some.tolist(), at[:-1].tolist(), at[1:].tolist()):
-                out[k] = packed[i:j]
+        rows, sizes, parts, done = [], [], [held], np.zeros(len(start), bool)
+        for first in range(0, len(short), FREE):
+            some = short[first : first + FREE]
+            ids, ended = self._free_many(data, start[some], end[some])
+            some, ids = some[ended], ids[ended]
+            done[some] = True
+            rows.append(some)
+            sizes.append((ids >= 0).sum(1))
+            parts.append(ids[ids >= 0])
         self._remember_pairs()
-        for k in new.tolist():
-            if out[k] is None:
-                out[k] = np.array(self.path(data[start[k] : end[k]].tobytes().decode().replace(" ", MARK)), np.int32).tobytes()
-            if end[k] - start[k] <= LONGEST:
-                if self.held >= CACHE:
-                    self.forget()
-                self.memo[hashes[k]] = out[k]
-                self.held += ENTRY + len(out[k])
-        return out
+        rest = new[~done[new]]
+        found = [np.array(self.path(data[start[k] : end[k]].tobytes().decode().replace(" ", MARK)), np.int32) for k in rest.tolist()]
+        rows = np.concatenate([*rows, rest])
+        sizes = np.concatenate([*sizes, np.array([len(f) for f in found], np.int64)])
+        ids = np.concatenate([*parts, *found])
+        at_ids = len(held) + np.cumsum(sizes) - sizes
+        begin, many = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        begin[known], many[known] = begins[at[known]], counts[at[known]]
+        begin[rows], many[rows] = at_ids, sizes
+        keep = end[rows] - start[rows] <= LONGEST
+        self._remember(hashes[rows[keep]], begin[rows[keep]], many[rows[keep]], ids)
+        return ids[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
+
+    def _remember(self, hashes: np.ndarray, begin: np.ndarray, many: np.ndarray, ids: np.ndarray) -> None:
+        """Short segments whose ids stand at ``begin`` in ``ids``, which begins with the ids remembered so far."""
+        keys, begins, counts, held = self.memo
+        if 20 * (len(keys) + len(hashes)) + 4 * (len(held) + int(many.sum())) > CACHE:
+            self.forget()
+            keys, begins, counts, held = self.memo
+        ids = np.concatenate([held, ids[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]])
+        keys = np.concatenate([keys, hashes])
+        begins = np.concatenate([begins, len(held) + np.cumsum(many) - many])
+        order = np.argsort(keys)
+        self.memo = keys[order], begins[order], np.concatenate([counts, many.astype(np.int32)])[order], ids
 
     def _each(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One text after the other, by the normaliser's arcs."""
