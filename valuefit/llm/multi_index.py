@@ -2,7 +2,8 @@
 
 Unit vectors are cut into halves with a codebook each; a pair of codewords is a cell of the product grid, and each
 vector lies in the cell of its two nearest codewords.  A vector visits cells in the order of how near they can be, by
-traversing the two sorted sequences of lower bounds until the target recall is met.  The lower bound of a codeword is
+traversing the two sorted sequences of lower bounds until the target recall is met.  Visits are lists of cells beside
+their vector; a vector is copied only for the blocks that compare it, and of two cells that could visit each other one does.  The lower bound of a codeword is
 the distance to the plane that halves the way from the own nearest codeword to it.  Links of cosine t can lie sqrt(2 - 2t)
 away, and visiting that far loses none; but few differences point straight at a plane, so the traversal stops where, for
 a sample of vectors moved by that distance in random directions, the target share has been met.  All visits are verified
@@ -107,6 +108,8 @@ def reach(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, threshold: float, recal
 
 
 def _assign(c1: np.ndarray, c2: np.ndarray, width: int, most: float):
+    """Each vector's own cell and, as one list, the others that it visits.  Of two cells each within reach of the other's
+    vectors only one is visited, by a rule that gives every cell about half of its neighbours."""
     half = width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +119,15 @@ def _assign(c1: np.ndarray, c2: np.ndarray, width: int, most: float):
                 x = _unit(_matrix(part.column(4), width))
                 (h1, t1), (h2, t2) = bounds(x[:, :half], c1), bounds(x[:, half:], c2)
                 at, i, j = visits(t1, t2, most)
-                rows = np.concatenate([np.arange(len(x)), at])
-                cell = np.concatenate([h1 * len(c2) + h2, i * len(c2) + j])
-                probe = np.concatenate([np.zeros(len(x), bool), np.ones(len(at), bool)])
-                taken = part.take(pa.array(rows))
-                for k in range(0, len(rows), 8192):
-                    yield pa.RecordBatch.from_arrays(
-                        [*taken.slice(k, 8192).columns, pa.array(cell[k : k + 8192]), pa.array(probe[k : k + 8192])],
-                        ["id", "times", "label", "dim", "vector", "cell", "probe"],
-                    )
+                home, cell = h1 * len(c2) + h2, i * len(c2) + j
+                own = home[at]
+                goes = (own != cell) & ((own < cell) == ((own + cell) % 2 == 0))
+                order = at[goes].argsort(kind="stable")
+                ends = np.cumsum([0, *np.bincount(at[goes], minlength=len(x))]).astype(np.int32)
+                visited = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[goes][order]))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(home), visited], ["id", "times", "label", "dim", "vector", "home", "visited"]
+                )
 
     return run
 
@@ -133,12 +136,16 @@ def _compare(width: int, least: float):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        probe = table.column("probe").to_numpy().astype(bool)
+        """Members of a block against its visitors, and against each other where no other block holds their cell's members."""
+        probe, home = (table.column(c).to_numpy().astype(bool) for c in ("probe", "home"))
+        alone = (table.column("members").to_numpy() == 1) & (table.column("pb").to_numpy() == 0)
         ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
         x = _unit(_matrix(table.column("vector").combine_chunks(), width))
-        p, m = ids[probe], ids[~probe]
-        linked = (x[probe] @ x[~probe].T >= least) & (p[:, None] < m[None])  # a pair is found by its smaller id
-        n = np.concatenate([linked @ times[~probe], linked.T @ times[probe]])
+        probe_too = probe | (alone & ~probe)
+        p, m = ids[probe_too], ids[~probe]
+        linked = x[probe_too] @ x[~probe].T >= least
+        linked &= ~(home | ~probe)[probe_too][:, None] | (p[:, None] < m[None])  # in its own cell a pair is found by its smaller id
+        n = np.concatenate([linked @ times[~probe], linked.T @ times[probe_too]])
         ids = np.concatenate([p, m])[n > 0]
         u, v = forest(linked, p, m)
         return pa.table(
@@ -150,7 +157,7 @@ def _compare(width: int, least: float):
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9999, per_cell: int = 64, sample: int = 8192, most_words: int = 512, block: int = 1024
+    vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9999, per_cell: int = 2048, sample: int = 8192, most_words: int = 512, block: int = 1024
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label).
 
@@ -162,7 +169,8 @@ def near_vectors(
     ``recall`` is the share of links at the threshold itself that the index aims at, 1 for all whatever the cost; links
     above the threshold are nearer.  Equal vectors of a label are one class from the start, so copies never meet in
     pairs.  The codebooks, of at most
-    ``most_words`` words each, are fitted on at most ``sample`` vectors; all vectors are indexed.  Cells are cut into
+    ``most_words`` words each, are fitted on at most ``sample`` vectors, with ``per_cell`` vectors of all labels to a cell
+    while they suffice; all vectors are indexed.  Cells are cut into
     blocks of about ``block`` members and visitors; a block emits a count for each visitor and a tree of links.
     """
     spark = vectors.sparkSession
@@ -188,20 +196,35 @@ def near_vectors(
     c1, c2 = (codebook(x, words, seed=i) for i, x in enumerate((some[:, : width // 2], some[:, width // 2 :])))
     placed = classes.select("id", "times", "label", "dim", "vector").mapInArrow(
         _assign(c1, c2, width, reach(some, c1, c2, threshold, recall)),
-        f"id long, times long, label string, dim int, vector array<{kind}>, cell long, probe boolean",
+        f"id long, times long, label string, dim int, vector array<{kind}>, home long, visited array<long>",
     )
     placed = scratch.keep(placed, "placed")
     cell = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*cell).agg(
-        F.sum(F.when(~F.col("probe"), 1).otherwise(0)).alias("members"), F.sum(F.when(F.col("probe"), 1).otherwise(0)).alias("probes")
-    ).where("members > 0 and probes > 1")  # a cell whose only visitor is its only member has no pair
-    sizes = sizes.select(*cell, *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("members", "probes")))
+    members = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("members"))
+    probes = placed.select("label", "dim", F.explode("visited").alias("cell")).groupBy(*cell).agg(F.count(F.lit(1)).alias("probes"))
+    sizes = members.join(probes, cell, "left").na.fill(0, ["probes"]).where("probes > 0 or members > 1")
+    lots = lambda n: F.ceil(n / block).cast("int")
+    many = F.col("members") > block  # then members visit their own cell's other blocks too
+    sizes = sizes.select(
+        *cell, lots(F.col("members")).alias("members"),
+        F.greatest(F.lit(1), lots(F.col("probes") + F.when(many, F.col("members")).otherwise(0))).alias("probes"),
+    )
     sizes = scratch.keep(sizes, "sizes")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     lot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    dealt = placed.join(maybe_broadcast(sizes, sizes.count(), 1_000_000), cell)
+    # vectors leave the table only after the cells without a partner are gone, one copy for each block that compares them
+    roles = F.concat(
+        F.array(F.struct(F.col("home").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("home"))),
+        F.array(F.struct(F.col("home").alias("cell"), F.lit(True).alias("probe"), F.lit(True).alias("home"))),
+        F.transform("visited", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("probe"), F.lit(False).alias("home"))),
+    )
+    dealt = placed.select("id", "times", "label", "dim", "vector", F.explode(roles).alias("role")).select(
+        "id", "times", "label", "dim", "vector", "role.*"
+    )
+    dealt = dealt.join(maybe_broadcast(sizes, sizes.count(), 1_000_000), cell).where("not (probe and home and members = 1)")
     dealt = dealt.withColumn("mb", F.explode(F.when(F.col("probe"), spread(F.col("members"))).otherwise(F.array(lot(F.col("members"))))))
     dealt = dealt.withColumn("pb", F.explode(F.when(F.col("probe"), F.array(lot(F.col("probes")))).otherwise(spread(F.col("probes")))))
+    dealt = dealt.drop("probes")
     found = scratch.keep(
         dealt.groupBy(*cell, "mb", "pb").applyInArrow(_compare(width, threshold), "u long, v long, n long"), "found"
     )
