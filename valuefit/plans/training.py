@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from valuefit.functions import vectors as v
 from valuefit.operators import calibrate, heads, metrics, neural, paired, stats
-from valuefit.plans import flagship
+from valuefit.plans import flagship, solving
 from valuefit.plans.concepts import SQL_PREFIXES, prefixes, r6
+from valuefit.plans.solving import SQL_LINEAR
 
 
 def ridge_value_by_split(spark, sf_dir):
-    return flagship.run(spark, sf_dir)
+    return flagship.run(spark, sf_dir).select("split", "prefixes", "questions", *(r6(c).alias(c) for c in solving.METRICS))
 
 
 def _coordinates(spark, sf_dir, x):
@@ -102,8 +103,6 @@ def _linear(spark, sf_dir):
     return p.select("question", "position", "split", "domain", "y", (v.vector_sum(F.col("x")) * 0.3 + 0.5).alias("value"))
 
 
-SQL_LINEAR = f"{SQL_PREFIXES}, l AS (SELECT question, position, split, domain, y, list_sum(x) * 0.3 + 0.5 AS value, greatest(0.0, least(1.0, list_sum(x) * 0.3 + 0.5)) AS c FROM p)"
-
 
 def question_brier(spark, sf_dir):
     return metrics.question_brier(_linear(spark, sf_dir), ["split"]).select("split", r6("question_brier").alias("question_brier"))
@@ -168,7 +167,7 @@ def mlp_fit(spark, sf_dir):
     return out.select("position", "split", F.get("v", F.lit(0)).between(0, 1).alias("unit"))
 
 
-SQL = {
+SQL = solving.SQL | {
     "rms_normalize": f"""WITH {SQL_PREFIXES}, s AS (SELECT position, x, sqrt(list_inner_product(x, x) / 64 + 1e-6) AS s FROM p)
 SELECT position, i::INTEGER AS i, round(x[i + 1] / s, 6) AS c FROM s, generate_series(0, 63) g(i)""",
     "layernorm": f"""WITH {SQL_PREFIXES}, m AS (SELECT position, x, list_sum(x) / 64 AS m FROM p),
