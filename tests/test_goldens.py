@@ -269,13 +269,27 @@ def test_calibration(spark):
         calibrate.calibrate(df.where("y = 1"))
 
 
-def test_bootstrap_is_independent_of_partitions(spark):
+def drawn(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
+def test_bootstrap_by_brute_force(spark):
     d = np.random.default_rng(4).normal(size=(3, 20))
-    a, b = ({r["draw"]: r["value"] for r in paired.bootstrap_draws(spark, d, 50, 1, p).collect()} for p in (1, 7))
-    assert a == b
-    rng = np.random.default_rng([1, 0])
-    s, q = rng.integers(3, size=3), rng.integers(20, size=20)
-    assert abs(a[0] - d[s][:, q].mean()) < 1e-12
+    rows = [(s, i, float(d[s, i])) for s in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "seed int, id long, delta double")
+    a, b = ({r["draw"]: r["value"] for r in paired.bootstrap_draws(x, 50, 1, p).collect()} for x, p in ((df, 1), (df.repartition(5), 7)))
+    for k in range(50):
+        seeds, places = [drawn(1, "s", k, j) % 3 for j in range(3)], [drawn(1, "q", k, j) % 20 for j in range(20)]
+        assert abs(a[k] - d[seeds][:, places].mean()) < 1e-12 and abs(a[k] - b[k]) < 1e-12
+    with pytest.raises(ValueError, match="not paired"):
+        paired.bootstrap_draws(df.where("seed > 0 or id > 3"), 5, 1)
+    with pytest.raises(ValueError, match="not paired"):
+        paired.bootstrap_draws(df.limit(0), 5, 1)
+    draws = {r["draw"]: r["value"] for r in paired.poisson_draws(df.where("seed = 0").unionByName(spark.createDataFrame([(0, 99, None)], df.schema)), 40, 3).collect()}
+    levels = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(25)])
+    for k in range(40):
+        w = np.array([(drawn(3, i, k) / 2**52 >= levels[:18]).sum() for i in range(20)])
+        assert abs(draws[k] - w @ d[0] / w.sum()) < 1e-12
     r = paired.interval(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "value double")).first()
     assert np.allclose([r["low"], r["high"]], [1.075, 9.475])
 

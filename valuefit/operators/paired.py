@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import accumulate, combinations
+from math import exp, factorial
+from operator import add
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuefit.operators.curate import ranked
+
 
 def pairing_problems(runs: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
     """(by, id, problem): expected (id, ground_truth) that a run lacks, and rows of a run that nobody expects."""
@@ -50,43 +52,47 @@ def differences(df: DataFrame, methods: list[str], keys=("seed", "id"), score: s
     return wide.select(*keys, F.inline(F.array(*pairs))).where("delta is not null")
 
 
-def bootstrap_draws(spark, delta: np.ndarray, draws: int, seed: int, partitions: int = 16) -> DataFrame:
-    """Means of resampled seeds (rows) and questions (columns), a row a draw.
+def draw_hash(*parts: Column | str | int) -> Column:
+    """52 bits that seed, draw and whatever else name, the same in any engine."""
+    named = (p if isinstance(p, Column) else F.lit(p) for p in parts)
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in named))), 1, 13), 16, 10).cast("long")
+
 
-    A draw has its own generator, so the result does not depend on the partitioning.  ``delta`` is a matrix of
-    seeds by questions that fits a task; for more questions than that use ``poisson_draws``.
+def bootstrap_draws(delta: DataFrame, draws: int, seed: int, partitions: int = 16) -> DataFrame:
+    """Means over resampled seeds and questions of (seed, id, delta), a row (draw, value) a draw.
+
+    A slot of a draw takes the question at a hashed place of their order; slots are dealt over tasks and only sums by
+    draw and seed leave one, so the result depends on no partitioning.  Work grows with draws times questions;
+    ``poisson_draws`` does without the join.  Each seed has to have each question, else it is an error.
     """
-    held = spark.sparkContext.broadcast(np.ascontiguousarray(delta, float))
+    by_seed = F.transform(F.array_sort(F.collect_list(F.struct("seed", "delta"))), lambda x: x["delta"])  # as long as there are runs
+    per = ranked(delta.groupBy("id").agg(by_seed.alias("deltas")), "id", out="place")
+    q, least, most = per.agg(F.count(F.lit(1)), F.min(F.size("deltas")), F.max(F.size("deltas"))).first()
+    if not q or least != most or most != delta.agg(F.count_distinct("seed")).first()[0]:
+        raise ValueError("runs are not paired")
+    slots = delta.sparkSession.range(0, draws * q, 1, partitions).select(F.floor(F.col("id") / q).alias("draw"), F.pmod("id", F.lit(q)).alias("slot"))
+    taken = slots.select("draw", (draw_hash(seed, "q", F.col("draw"), F.col("slot")) % q).alias("place")).join(per, "place")
+    sums = taken.groupBy("draw").agg(F.array(*(F.sum(F.get("deltas", F.lit(k))) for k in range(most))).alias("sums"))
+    seeds = (F.get("sums", (draw_hash(seed, "s", F.col("draw"), k) % most).cast("int")) for k in range(most))
+    return sums.select("draw", (reduce(add, seeds) / F.lit(float(most * q))).alias("value"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = held.value
-        s, q = d.shape
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                rows = np.bincount(rng.integers(s, size=s), minlength=s)
-                columns = np.bincount(rng.integers(q, size=q), minlength=q)
-                out.append(rows @ d @ columns / (s * q))
-            yield pd.DataFrame({"draw": pdf["id"], "value": out})
 
-    return spark.range(0, draws, 1, partitions).mapInPandas(run, "draw long, value double")
+def poisson_levels() -> list[float]:
+    """The shares of a Poisson number of mean 1 that are 0, at most 1, at most 2, ... as far as 52 bits tell them apart."""
+    return list(accumulate(exp(-1) / factorial(k) for k in range(18)))
 
 
 def poisson_draws(df: DataFrame, draws: int, seed: int, value: str = "delta", ident: str = "id") -> DataFrame:
-    """A22 for any number of questions: each draw weights a question by a Poisson number that depends on seed, draw and id."""
+    """A22 for any number of questions: each draw weights a question by a Poisson number that depends on seed, draw and id.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top, low = np.zeros(draws), np.zeros(draws)
-        for pdf in batches:
-            for h, v in zip(pdf["h"].to_numpy(), pdf["v"].to_numpy()):
-                w = np.random.default_rng([seed, int(h) & (2**63 - 1)]).poisson(1.0, draws)
-                top += w * v
-                low += w
-        yield pd.DataFrame({"draw": np.arange(draws), "top": top, "low": low})
-
-    parts = df.select(F.xxhash64(F.col(ident)).alias("h"), F.col(value).cast("double").alias("v")).mapInPandas(run, "draw long, top double, low double")
-    return parts.groupBy("draw").agg((F.sum("top") / F.sum("low")).alias("value"))
+    Null values weigh nothing; a draw that weights no question has a null value.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(
+        F.col(ident).cast("string").alias("i"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    )
+    u = draw_hash(seed, F.col("i"), F.col("draw")) / F.lit(float(2**52))
+    rows = rows.select("draw", "v", u.alias("u")).select("draw", "v", reduce(add, ((F.col("u") >= c).cast("int") for c in poisson_levels())).alias("w"))
+    return rows.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("value"))
 
 
 def interval(draws: DataFrame, mean: float | None = None, comparisons: int = 1, value: str = "value", by: list[str] | None = None) -> DataFrame:
@@ -104,12 +110,8 @@ def reverse_interval(df: DataFrame) -> DataFrame:
 
 def compare(df: DataFrame, a: str, b: str, draws: int = 4000, seed: int = 2026, comparisons: int = 1) -> DataFrame:
     """Mean difference of two methods and its interval over seeds and questions; the pairing has to be complete."""
-    wide = differences(df.where(F.col("method").isin(a, b)), [a, b])
-    pdf = wide.toPandas().pivot(index="seed", columns="id", values="delta")  # seeds by questions of one pair
-    if pdf.isna().any().any():
-        raise ValueError("runs are not paired")
-    m = pdf.to_numpy()
-    return interval(bootstrap_draws(df.sparkSession, m, draws, seed), m.mean(), comparisons)
+    delta = differences(df.where(F.col("method").isin(a, b)), [a, b])
+    return interval(bootstrap_draws(delta, draws, seed), delta.agg(F.avg("delta")).first()[0], comparisons)
 
 
 def seed_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:

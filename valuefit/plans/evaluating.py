@@ -78,13 +78,13 @@ def bootstrap_interval(spark, sf_dir):
     s = c.scores(spark, sf_dir).where("method in ('1', '2')")
     both = s.groupBy("seed", "id").agg(F.count_distinct("method").alias("m")).where("m = 2").groupBy("id").count().where("count = 3").select("id")
     out = paired.compare(s.join(both, "id", "left_semi"), "1", "2", draws=1000)
-    return out.select((F.col("low") <= F.col("mean")).alias("low_ok"), (F.col("mean") <= F.col("high")).alias("high_ok"), r6("mean").alias("mean"))
+    return out.select(*(r6(x).alias(x) for x in ("low", "high", "mean")))
 
 
 def poisson_interval(spark, sf_dir):
     d = paired.differences(c.scores(spark, sf_dir), ["1", "2"], keys=("id",))
     out = paired.interval(paired.poisson_draws(d, 500, 3), comparisons=2)
-    return out.select((F.col("low") < F.col("high")).alias("ordered"))
+    return out.select(*(r6(x).alias(x) for x in ("low", "high")))
 
 
 def bonferroni_quantiles(spark, sf_dir):
@@ -118,7 +118,7 @@ def pairing_problems(spark, sf_dir):
 
 
 def base_conflicts(spark, sf_dir):
-    s = c.scores(spark, sf_dir).where("step = 1").groupBy("id", "seed").agg(F.max("score").alias("score"))
+    s = c.scores(spark, sf_dir).where("step = 1").groupBy("id", "seed").agg(r6(F.avg("score")).alias("score"))
     return paired.base_score_conflicts(s)
 
 
@@ -244,6 +244,7 @@ def cumulative_stream_replay(spark, sf_dir):
     return out.select("step", "transitions", "answers", "prefixes", "questions")
 
 
+SQL_HASH = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 SQL_GRID = f"{SQL_SCORES}, g AS (SELECT method, 10.0::DOUBLE ** (step - 3) AS epsilon, step AS place, round(avg(score), 2) AS score FROM s GROUP BY method, step)"
 SQL_LOG = f"{SQL_SCORES}, l AS (SELECT method, seed, step, sum(response_tokens)::BIGINT AS response_tokens, sum(fit_seconds) AS fit_seconds, avg(score) AS score FROM s GROUP BY 1, 2, 3)"
 SQL = {
@@ -277,7 +278,16 @@ d AS (SELECT x.method || '-' || y.method AS pair, x.a - y.a AS d FROM a x JOIN a
 SELECT pair, count(*) AS n_rows, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM d GROUP BY 1""",
     "bootstrap_interval": f"""WITH {SQL_SCORES}, t AS (SELECT * FROM s WHERE method IN ('1', '2')), a AS (SELECT seed, id, method, avg(score) AS a FROM t GROUP BY 1, 2, 3),
 d AS (SELECT x.seed, x.id, x.a - y.a AS d FROM a x JOIN a y ON x.seed = y.seed AND x.id = y.id AND x.method = '1' AND y.method = '2'),
-w AS (SELECT id FROM d GROUP BY 1 HAVING count(*) = 3) SELECT true AS low_ok, true AS high_ok, round(avg(d), 6) AS mean FROM d WHERE id IN (SELECT id FROM w)""",
+w AS (SELECT id FROM d GROUP BY 1 HAVING count(*) = 3), r AS (SELECT d, dense_rank() OVER (ORDER BY seed) - 1 AS run, dense_rank() OVER (ORDER BY id) - 1 AS place FROM d WHERE id IN (SELECT id FROM w)),
+ta AS (SELECT draw, {SQL_HASH.format("'2026:q:' || draw || ':' || slot")} % q AS place FROM (SELECT draw, unnest(range(q)) AS slot, q FROM range(1000) g(draw), (SELECT count(*) AS q FROM w))),
+u AS (SELECT draw, run, sum(d) AS v, count(*) AS q FROM ta JOIN r USING (place) GROUP BY 1, 2),
+m AS (SELECT draw, sum(v) / (3 * any_value(q)) AS v FROM u JOIN (SELECT draw, {SQL_HASH.format("'2026:s:' || draw || ':' || k")} % 3 AS run FROM range(1000) g(draw), range(3) h(k)) USING (draw, run) GROUP BY 1)
+SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, (SELECT round(avg(d), 6) FROM r) AS mean FROM m""",
+    "poisson_interval": f"""WITH {SQL_SCORES}, a AS (SELECT id, method, avg(score) AS a FROM s GROUP BY 1, 2),
+d AS (SELECT x.id, x.a - y.a AS d FROM a x JOIN a y ON x.id = y.id AND x.method = '1' AND y.method = '2'),
+w AS (SELECT draw, d, {SQL_HASH.format("'3:' || id || ':' || draw")} / 2.0::DOUBLE ** 52 AS u FROM d, range(500) g(draw)),
+m AS (SELECT draw, sum(d * n) / sum(n) AS v FROM (SELECT draw, d, len(list_filter({paired.poisson_levels()}::DOUBLE[], lambda c: u >= c)) AS n FROM w) GROUP BY 1)
+SELECT round(quantile_cont(v, 0.0125), 6) AS low, round(quantile_cont(v, 0.9875), 6) AS high FROM m""",
     "bonferroni_quantiles": f"""WITH {SQL_SCORES}, a AS (SELECT method, id, avg(score) AS a FROM s GROUP BY 1, 2)
 SELECT method, round(-quantile_cont(a, 0.995), 6) AS low, round(-quantile_cont(a, 0.005), 6) AS high FROM a GROUP BY 1""",
     "auc_trapezoid": f"""WITH {SQL_LOG}, p AS (SELECT method, seed, step, (score + lag(score) OVER w) / 2 * (step - lag(step) OVER w) AS part FROM l WINDOW w AS (PARTITION BY method, seed ORDER BY step))
@@ -289,7 +299,7 @@ SELECT method, epsilon, score, epsilon = top AS at_ceiling FROM r WHERE r = 1"""
 g AS (SELECT m.method, m.seed, x.id FROM (SELECT DISTINCT method, seed FROM h) m, x),
 p AS (SELECT method, seed, id, 'missing' AS problem FROM g ANTI JOIN h USING (method, seed, id) UNION ALL SELECT method, seed, id, 'unexpected' FROM h ANTI JOIN g USING (method, seed, id))
 SELECT method, seed, problem, count(*) AS n_rows FROM p GROUP BY 1, 2, 3""",
-    "base_conflicts": f"""WITH {SQL_SCORES}, a AS (SELECT id, seed, max(score) AS score FROM s WHERE step = 1 GROUP BY 1, 2) SELECT id, min(score) AS low, max(score) AS high FROM a GROUP BY 1 HAVING min(score) <> max(score)""",
+    "base_conflicts": f"""WITH {SQL_SCORES}, a AS (SELECT id, seed, round(avg(score), 6) AS score FROM s WHERE step = 1 GROUP BY 1, 2) SELECT id, min(score) AS low, max(score) AS high FROM a GROUP BY 1 HAVING min(score) <> max(score)""",
     "learning_curve_running": f"""WITH {SQL_LOG}, t AS (SELECT method, seed, step, step * 64 AS answers, sum(response_tokens) OVER w AS tr, sum(fit_seconds) OVER w AS tf FROM l WINDOW w AS (PARTITION BY method, seed ORDER BY step))
 SELECT method, seed, step, answers, tr::BIGINT AS total_response_tokens, round(tf, 6) AS total_fit_seconds FROM t WHERE step IN (1, 3, 5)""",
     "epoch_totals": f"""WITH {SQL_LOG} SELECT method, seed, step, (sum(response_tokens) OVER (PARTITION BY method, seed, (step - 1) // 3 ORDER BY step))::BIGINT AS total_response_tokens FROM l""",
