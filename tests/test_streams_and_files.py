@@ -127,6 +127,77 @@ def test_networks_learn(spark):
     assert len(z.first()["x"]) == 5 and heads.ridge_fit(z, z)["score"] < 0.25
 
 
+@pytest.mark.parametrize("kind", ["mlp", "compressor"])
+def test_networks_equal_training_in_one_place(spark, kind):
+    """The same steps by numpy on all rows at once: parameters, scores of each epoch and the chosen epoch."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(90, 5)), rng.integers(0, 2, 90).astype(float)
+    q = [str(i % 7) for i in range(90)]
+    df = spark.createDataFrame([(q[i], x[i].tolist(), float(y[i])) for i in range(90)], "question string, x array<double>, y double").repartition(5)
+    mean = x.mean(0)
+    scale = np.sqrt(((x - mean) ** 2).mean())
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    start = np.random.default_rng(0)
+    if kind == "mlp":
+        fit = neural.fit_mlp(df, df, hidden=4, epochs=6, steps=1, patience=None)
+        p = {"w1": start.normal(size=(4, 5)) / np.sqrt(5), "b1": np.zeros(4), "w2": start.normal(size=4) / 2, "b2": np.array(0.0)}
+        value = lambda p: sigmoid(np.maximum(x @ p["w1"].T + p["b1"], 0) @ p["w2"] + p["b2"])
+        gradients, decay = lambda p: neural.value_gradients(p, x, y, 1e-4)[1], 0.0
+    else:
+        fit = neural.fit_compressor(df, df, 3, epochs=6, steps=1)
+        z = (x - mean) / scale
+        p = {"w": start.normal(size=(3, 5)), "b": np.zeros(3), "v": start.normal(size=3) * 0.1, "c": np.array(0.0)}
+        unit = lambda w: w / np.linalg.norm(w, axis=1, keepdims=True)
+        value = lambda p: sigmoid(np.maximum(z @ unit(p["w"]).T + p["b"], 0) @ p["v"] + p["c"])
+        gradients, decay = lambda p: neural.compressor_gradients(p, z, y, 0.01)[1], 0.01
+    m, v, scores, best = {k: 0 for k in p}, {k: 0 for k in p}, [], None
+    for t in range(1, 7):
+        g = {k: a / 90 for k, a in gradients(p).items()}
+        for k in p:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
+            p[k] = p[k] * (1 - 0.02 * decay) - 0.02 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        e = (value(p) - y) ** 2
+        scores.append(np.mean([e[[i for i in range(90) if q[i] == k]].mean() for k in set(q)]))
+        best = {k: a.copy() for k, a in p.items()} if scores[-1] == min(scores) else best
+    assert np.allclose([h[2] for h in fit["history"]], scores, atol=1e-9) and fit["epoch"] == int(np.argmin(scores)) + 1
+    assert all(np.allclose(fit["params"][k], best[k], atol=1e-8) for k in p)
+
+
+def test_subjects_shards_and_corpora(spark, tmp_path):
+    a = spark.createDataFrame([("p", 1)], "problem string, level int")
+    b = spark.createDataFrame([("q",)], "problem string")
+    a.write.parquet(str(tmp_path / "a"))
+    b.write.parquet(str(tmp_path / "b"))
+    got = tables.read_subjects(spark, {"algebra": str(tmp_path / "a"), "it's": str(tmp_path / "b")})
+    assert sorted((r["problem"], r["level"], r["subject"]) for r in got.collect()) == [("p", 1, "algebra"), ("q", None, "it's")]
+    tables.write_corpus(b.select("problem", F.lit("3").alias("answer"), F.lit("\\boxed{3}").alias("solution"), F.lit(1).alias("other")), str(tmp_path / "c"))
+    assert [r.asDict() for r in spark.read.json(str(tmp_path / "c")).collect()] == [{"problem": "q", "answer": "3", "solution": "\\boxed{3}"}]
+    shard = lambda rows, name: spark.createDataFrame(rows, "x array<double>, y double").write.parquet(str(tmp_path / name))
+    shard([([1.0, 2.0], 1.0)], "s0")
+    shard([([0.0, 2.0], 0.0)], "s1")
+    shard([([0.0], 0.0)], "ragged")
+    shard([([0.0, float("inf")], 0.0)], "endless")
+    assert tables.read_features(spark, str(tmp_path / "s0"), str(tmp_path / "s1"), width=2).count() == 2
+    for bad in (["s0"], ["s0", "ragged"], ["s0", "endless"]):
+        with pytest.raises(ValueError):
+            tables.read_features(spark, *(str(tmp_path / n) for n in bad))
+    with pytest.raises(ValueError):
+        tables.read_features(spark, str(tmp_path / "s0"), str(tmp_path / "s1"), width=3)
+
+
+def test_arms_of_transfer(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(160, 4))
+    rows = [(f"q{i % 16}", x[i].tolist(), float(x[i, 0] + 0.3 * rng.normal() > 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "question string, x array<double>, y double")
+    half = lambda k: df.where(F.substring("question", 2, 2).cast("int") % 4 == k)
+    arms = neural.transfer_arms({"train": half(0), "val": half(1)}, {"train": half(2), "val": half(3)}, 3, 4, epochs=1)
+    assert set(arms) == {"feature_transfer", "target", "pooled", "combined", "raw"}
+    assert {k: len(a["head"]["weights"]) - 1 for k, a in arms.items()} == {"feature_transfer": 3, "target": 3, "pooled": 3, "combined": 6, "raw": 4}
+    direct = heads.ridge_fit(half(2), half(3))
+    assert np.allclose(arms["raw"]["head"]["weights"], direct["weights"]) and all(a["head"]["score"] < 0.3 for a in arms.values())
+
+
 def test_gradients():
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(9, 4)), rng.integers(0, 2, 9).astype(float)

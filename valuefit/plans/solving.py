@@ -72,4 +72,11 @@ nt AS (SELECT 0 AS n, 1.0::DOUBLE AS s, 0.0::DOUBLE AS c UNION ALL
     FROM (SELECT n, s, c, r, t, 1 / (1 + exp(-(s * r + c))) AS q FROM nt, va WHERE n < 40) GROUP BY n, s, c)),
 l AS (SELECT 0 AS one, question, y, 1 / (1 + exp(-(s * value + c))) AS value FROM (SELECT question, y, split, value FROM li), nt WHERE split = 'test' AND n = 40),
 {sql_metrics("one", "prefixes, round(brier, 4) AS brier, round(accuracy, 4) AS accuracy, round(ece, 4) AS ece")}""",
+    "spectral_vs_direct": f"""WITH RECURSIVE {SQL_PREFIXES}, f AS (SELECT epsilon::INTEGER AS key, x, y, epsilon FROM p, (VALUES (1.0::DOUBLE), (10.0)) t(epsilon) WHERE split = 'train'), {sql_systems("f")}, {SQL_SOLVE}
+SELECT position, round(list_inner_product(list_append(x, 1.0), a.w), 6) AS value_1, round(list_inner_product(list_append(x, 1.0), b.w), 6) AS value_10 FROM p, sol a, sol b WHERE a.key = 1 AND b.key = 10""",
+    "head_audit": f"""WITH RECURSIVE {SQL_PREFIXES}, f AS (SELECT split AS key, x, y, 0.01::DOUBLE AS epsilon FROM p), {sql_systems("f")}, {SQL_SOLVE},
+st AS (SELECT key, a, b, list_transform(w, lambda v: v + CASE WHEN key = 'val' THEN 0.1 ELSE 0 END) AS w FROM sol JOIN sys USING (key)),
+re AS (SELECT key, sqrt(list_sum(list_transform(list_transform(a, lambda v, i: list_inner_product(v, w) - b[i]), lambda v: v * v)))
+  / (sqrt(list_sum(list_transform(a, lambda v: list_inner_product(v, v)))) * sqrt(list_inner_product(w, w)) + sqrt(list_inner_product(b, b))) AS residual FROM st)
+SELECT key AS run, residual <= 1e-8 AS ok, round(residual, 6) AS residual FROM re""",
 }

@@ -65,12 +65,12 @@ def ridge_grid_select(spark, sf_dir):
 
 
 def spectral_vs_direct(spark, sf_dir):
+    """Values of the head of one penalty, from the eigendecomposition that serves all penalties."""
     p = prefixes(spark, sf_dir)
     s = stats.collect_statistics(stats.ridge_partials(p.where("split = 'train'")))[""]
     eig, u = np.linalg.eigh(s["a"])
-    both = np.array([u @ ((u.T @ s["b"]) / (eig + 1.0)), heads.fit_system(s["a"], s["b"], 1.0)])
-    out = v.predict_many(p, both)
-    return out.agg(F.count(F.lit(1)).alias("n_rows"), (F.max(F.abs(F.get("values", F.lit(0)) - F.get("values", F.lit(1)))) < 1e-7).alias("equal"))
+    out = v.predict_many(p, np.array([u @ ((u.T @ s["b"]) / (eig + e)) for e in (1.0, 10.0)]))
+    return out.select("position", r6(F.get("values", F.lit(0))).alias("value_1"), r6(F.get("values", F.lit(1))).alias("value_10"))
 
 
 def budget_curves(spark, sf_dir):
@@ -94,7 +94,7 @@ def head_audit(spark, sf_dir):
     wrong = {k: x + (0.1 if k == "val" else 0) for k, x in w.items()}
     stored = F.coalesce(*(F.when(F.col("key") == k, F.array(*(F.lit(float(y)) for y in x))) for k, x in wrong.items()))
     rows = s.select(F.col("key").alias("run"), F.lit(0).alias("fold"), F.slice("v", 1, 65 * 65).alias("a"), F.slice("v", 65 * 65 + 1, 65).alias("b"), stored.alias("w"), F.lit(0.01).alias("epsilon"))
-    return heads.audit_heads(rows).select("run", "ok")
+    return heads.audit_heads(rows).select("run", "ok", r6("residual").alias("residual"))
 
 
 def _linear(spark, sf_dir):
@@ -153,18 +153,20 @@ def feature_guard(spark, sf_dir):
 
 
 def compressor_fit(spark, sf_dir):
+    """Features of a fitted compressor, with the epoch and score that chose it; trained, so without SQL."""
     p = prefixes(spark, sf_dir)
-    fit = neural.fit_compressor(p.where("split = 'train'"), p.where("split = 'val'"), 8, epochs=2)
+    fit = neural.fit_compressor(p.where("split = 'train'"), p.where("split = 'val'"), 8)
     z = neural.transform(fit, p)
-    return z.select("position", "split", F.size("x").alias("width"), (F.array_min("x") >= 0).alias("positive"))
+    return z.select("position", "split", F.lit(fit["epoch"]).alias("epoch"), r6(F.lit(fit["score"])).alias("score"), F.transform("x", lambda c: F.round(c, 4)).alias("features"))
 
 
 def mlp_fit(spark, sf_dir):
+    """Values of a fitted network, with the epoch and score that chose it; trained, so without SQL."""
     p = prefixes(spark, sf_dir)
-    fit = neural.fit_mlp(p.where("split = 'train'"), p.where("split = 'val'"), epochs=2, steps=1)
+    fit = neural.fit_mlp(p.where("split = 'train'"), p.where("split = 'val'"))
     q = fit["params"]
     out = v.batch_map(p, {"v": v.mlp_forward(q["w1"], q["b1"], q["w2"], float(q["b2"]))})
-    return out.select("position", "split", F.get("v", F.lit(0)).between(0, 1).alias("unit"))
+    return out.select("position", "split", F.lit(fit["epoch"]).alias("epoch"), r6(F.lit(fit["score"])).alias("score"), F.round(F.get("v", F.lit(0)), 4).alias("value"))
 
 
 SQL = solving.SQL | {
@@ -204,10 +206,6 @@ SELECT count(*) AS prefixes, count(DISTINCT question) AS questions, round(avg((v
     "feature_pairing": f"WITH {SQL_PREFIXES} SELECT question, response, position, CASE WHEN position % 13 = 0 THEN 'only_first' ELSE 'label' END AS problem FROM p WHERE position % 13 = 0 OR position % 17 = 0",
     "combined_features": f"WITH {SQL_PREFIXES} SELECT position, 8 AS width, round(list_sum(x[1:4]) + list_sum(x[61:64]), 6) AS total FROM p",
     "feature_guard": f"WITH {SQL_PREFIXES} SELECT split, position % 10 > 1 AS ok, count(*) AS n_rows FROM p GROUP BY 1, 2",
-    "spectral_vs_direct": "SELECT count(*) AS n_rows, true AS equal FROM embeddings",
-    "head_audit": f"WITH {SQL_PREFIXES} SELECT DISTINCT split AS run, split <> 'val' AS ok FROM p",
-    "compressor_fit": f"WITH {SQL_PREFIXES} SELECT position, split, 8 AS width, true AS positive FROM p",
-    "mlp_fit": f"WITH {SQL_PREFIXES} SELECT position, split, true AS unit FROM p",
 }
 QUERIES = {f.__name__: f for f in (
     ridge_value_by_split, rms_normalize, layernorm, isotropic_stats, gram_entries, gram_partials, lstd_entries, out_of_fold_predict, ridge_grid_select, spectral_vs_direct,
