@@ -143,7 +143,7 @@ def document_windows(window: int, short: list[int], known: np.ndarray | None):
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, window: int = 10, broadcast_prints: int = 4_000_000, broadcast_windows: int = 200_000
+    docs: DataFrame, items: DataFrame, window: int = 10, broadcast_prints: int = 4_000_000, broadcast_windows: int = 200_000, broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, r1, r2 (two hashes of doc_id and text), n_words, n_hit, n_items,
     items (array<string>, sorted).
@@ -155,7 +155,8 @@ def find_contamination(
     count; an item without an id adds hits but is not listed.
 
     The items' fingerprints go to the executors if a count shows that they fit ``broadcast_prints``; more are joined
-    with those of the documents by a shuffle.  Windows are confirmed by a join, broadcast within ``broadcast_windows``.
+    with those of the documents by a shuffle.  Windows are confirmed by a join, whose windows and lists of items are
+    broadcast if counts show that they fit ``broadcast_windows`` rows and ``broadcast_bytes`` bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "windows")
@@ -169,7 +170,10 @@ def find_contamination(
         "items",
     )
     prints = windows.select(F.explode("fps").alias("fp")).distinct()
-    n_windows, n_prints = windows.count(), prints.count()
+    width = F.octet_length("win") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i) + 16) + 64
+    n_windows, n_bytes = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    n_prints = prints.count()
+    small = n_windows <= broadcast_windows and n_bytes <= broadcast_bytes
     short = sorted(r[0] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # < window
     rows = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2"), "text"
@@ -186,7 +190,7 @@ def find_contamination(
     opened = found.select("doc_id", "r1", "r2", "n_words", F.size("windows").alias("rows"), F.explode_outer("windows").alias("w"))
     opened = opened.select("doc_id", "r1", "r2", "n_words", "rows", "w.start", "w.size", "w.win")
     of = windows.select("win", "items")
-    met = opened.join(F.broadcast(of) if n_windows <= broadcast_windows else of, "win", "left")
+    met = opened.join(F.broadcast(of) if small else of.hint("merge"), "win", "left")
     spans = F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))
     return (
         met.groupBy("doc_id", "r1", "r2", "n_words", "rows")
