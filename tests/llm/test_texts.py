@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -47,6 +48,15 @@ def contamination(text, items, n=10):
     return len(w), len(hit), sorted(str(i) for i in ids if i is not None)
 
 
+def test_shingles_of_repeated_words():
+    texts = [" ".join(w) for n in (3, 5, 7) for w in itertools.product("pq", repeat=n)]
+    data, offsets = "".join(texts).encode(), np.cumsum([0, *map(len, texts)])
+    sets = minhash.shingle_sets(Words(np.frombuffer(data, np.uint8), offsets, NOT_SPACE))
+    exact = [shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in exact]
+    assert len({tuple(s.tolist()) for s in sets}) == len(set(map(frozenset, exact)))
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_contamination(spark, most):
     texts = corpus(1)

@@ -114,10 +114,12 @@ class Words:
         return at, self.mixed(at, n)
 
     def mixed(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The hash of the n words from each of ``at`` on; mixed after every word, so that words in another order, or
+        repeated in other places, give another hash."""
         total = np.full(len(at), n * 0x632BE59BD9B4E019 & (2**64 - 1), U)
         for i in range(n):
-            total += self.hash[at + i] * U((2 * i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1) | 1)
-        return mix(total)
+            total = mix(total + self.hash[at + i])
+        return total
 
     def text(self, first: int, n: int) -> str:
         """n words, joined by single spaces."""

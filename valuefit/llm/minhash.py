@@ -272,3 +272,22 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}
+SQL = {
+    "op7_minhash_dedup": r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), cut as (
+  select doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) as shingle from worded where len(w) > 0
+), shingled as (select distinct doc_id, shingle from cut),
+sized as (select doc_id, count(*) as n from shingled group by doc_id),
+meeting as (
+  select a.doc_id as u, b.doc_id as v, count(*) as m from shingled a join shingled b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), linked as (
+  select u, v from meeting join sized x on x.doc_id = u join sized y on y.doc_id = v where 100 * m >= 75 * (x.n + y.n - m)
+), ways as (select u, v from linked union all select v, u from linked),
+reached(a, b) as (select doc_id, doc_id from documents union select r.a, l.v from reached r join ways l on r.b = l.u)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join sized s on s.doc_id = d.doc_id join (select a, min(b) as component_id from reached group by a) c on c.a = d.doc_id
+"""
+}
