@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "line_dedup", "decontaminate", "multi_index", "quality", "pieces", "minhash", "toxicity", "license_scan", "pii"]
+MODULES = ["url_filter", "line_dedup", "decontaminate", "multi_index", "quality", "pieces", "minhash", "toxicity", "license_scan", "pii", "html_text", "centroids", "whitening"]
 
 
 def _gather(what: str) -> dict:
