@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from valuefit.operators import heads, ledger, neural, stats
 from valuefit.sources import schemas, tables
+from valuefit.sources.scratch import shared_folder
 from valuefit.streaming.cumulative import CumulativeHead, replay, write_step
 
 
@@ -60,6 +61,55 @@ def test_epochs_folds_and_contracts(spark, tmp_path):
     assert {r[0] for r in first.update(updates(spark, 1), 1).select("value").collect()} == {0.0}
 
 
+def test_answers_are_added_once(spark, tmp_path):
+    head = CumulativeHead(spark, str(tmp_path / "h"), decay=0.9, by_answer=True)
+    seen = updates(spark, 1)
+    head.update(seen, 1)
+    for step in range(2, 7):  # each update brings four new answers and all that came before, in another order
+        new = updates(spark, step, n=4)
+        seen = seen.unionByName(new)
+        values = head.update(seen.withColumn("step", F.lit(step)).repartition(3), step)
+        assert values.count() == seen.count() and values.where("value is null").count() == 0
+    runs = head._ledger().where("step = 6").first()["runs"]
+    assert sorted(r.split("-")[0] for r in runs) == ["level0", "level0", "level1"]  # four runs became one
+    assert {x.name for x in (tmp_path / "h" / "answers").iterdir()} == set(runs)
+    log = {r["step"]: (r["answers"], r["repeated"]) for r in spark.read.parquet(str(tmp_path / "h" / "metrics")).collect()}
+    assert log == {s: (4 + 4 * s, 0 if s == 1 else 4 * s) for s in range(1, 7)}
+    once = CumulativeHead(spark, str(tmp_path / "o"), decay=0.9)
+    once.update(seen.withColumn("step", F.lit(1)), 1)
+    a, b = head.load(6)[""], once.load(1)[""]
+    assert np.allclose(a["a"], b["a"]) and np.allclose(a["b"], b["b"]) and np.allclose(a["w"], b["w"]) and a["n"] == b["n"]
+    changed = seen.withColumn("x", F.when(F.col("answer_id") == "3-1", F.transform("x", lambda v: v + 1)).otherwise(F.col("x"))).withColumn("step", F.lit(7))
+    with pytest.raises(ValueError, match="1 answers have changed .*3-1"):
+        head.update(changed, 7)
+    with pytest.raises(ValueError, match="changed"):  # a row less is a change too
+        head.update(seen.where("answer_id <> '2-0' or position < 2").withColumn("reward", F.lit(0.0)).withColumn("step", F.lit(7)), 7)
+    assert head.last_step() == 6
+    head.update(updates(spark, 7, n=1), 7)
+    assert head.load(7)[""]["answers"] == 29
+
+
+def test_an_epoch_starts_its_ledger_anew(spark, tmp_path):
+    head = CumulativeHead(spark, str(tmp_path / "h"), interval=2, by_answer=True)
+    for step in (1, 2, 3):
+        head.update(updates(spark, 1).withColumn("step", F.lit(step)), step)
+    log = {r["step"]: (r["answers"], r["repeated"]) for r in spark.read.parquet(str(tmp_path / "h" / "metrics")).collect()}
+    assert log == {1: (8, 0), 2: (8, 8), 3: (8, 0)}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_folder(Session(), "x")
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"problem": "a", "answer": "1"}\n\n{"problem": "b", "answer": "2"}\n')
     q = tables.read_questions(spark, str(tmp_path / "q.jsonl"), {"problem": "question"})

@@ -1,9 +1,7 @@
-"""Queries of advantages, run comparison, learning curves, gates, ledgers and streams."""
+"""Queries of advantages, run comparison, learning curves, gates and ledgers."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from valuefit.operators import advantages, ledger, metrics, paired, prefixes, runs
@@ -227,23 +225,6 @@ def payload_checksum(spark, sf_dir):
     return ledger.changed_payloads(rows).select("event_id")
 
 
-def cumulative_stream_replay(spark, sf_dir):
-    """A stream of update batches made of events; the shared folder holds its files and state."""
-    import uuid
-
-    from valuefit.streaming.cumulative import CumulativeHead, replay, write_step
-
-    e = c.episodes(spark, sf_dir)
-    u = e.select(((F.col("question") % 3) + 1).cast("int").alias("step"), F.col("answer").alias("answer_id"), F.col("question").cast("string").alias("question_id"), F.col("position").cast("int").alias("position"),
-                 F.array("value", F.col("position") / 10).alias("x"), "reward")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="valuefit-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    for step in (1, 2, 3):
-        write_step(u.where(F.col("step") == step), f"{root}/in", step)
-    head = CumulativeHead(spark, f"{root}/head", decay=0.9)
-    out = replay(u, head, f"{root}/in", f"{root}/checkpoint")
-    return out.select("step", "transitions", "answers", "prefixes", "questions")
-
-
 SQL_HASH = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 SQL_GRID = f"{SQL_SCORES}, g AS (SELECT method, 10.0::DOUBLE ** (step - 3) AS epsilon, step AS place, round(avg(score), 2) AS score FROM s GROUP BY method, step)"
 SQL_LOG = f"{SQL_SCORES}, l AS (SELECT method, seed, step, sum(response_tokens)::BIGINT AS response_tokens, sum(fit_seconds) AS fit_seconds, avg(score) AS score FROM s GROUP BY 1, 2, 3)"
@@ -325,8 +306,6 @@ SELECT study, stage FROM o WHERE stage IN ('generate', 'fit') GROUP BY 1, 2 HAVI
     "head_resources": """WITH w AS (SELECT DISTINCT (p_partkey % 50 + 769)::INTEGER AS slim, (p_partkey % 50 + 1537)::INTEGER AS wide FROM part)
 SELECT slim, wide, 8 * slim::BIGINT * slim AS slim_bytes, 8 * wide::BIGINT * wide AS wide_bytes, round((slim::DOUBLE ** 2) / wide::DOUBLE ** 2, 6) AS storage_ratio, round((slim::DOUBLE ** 3) / wide::DOUBLE ** 3, 6) AS solve_ratio FROM w""",
     "payload_checksum": "SELECT event_id FROM events WHERE event_id % 11 = 0",
-    "cumulative_stream_replay": f"""WITH {SQL_EPISODES}, t AS (SELECT question % 3 + 1 AS step, count(*) AS prefixes, count(DISTINCT question) AS questions, count(DISTINCT answer) AS answers FROM e GROUP BY 1)
-SELECT step::INTEGER AS step, (sum(prefixes) OVER w)::INTEGER AS transitions, (sum(answers) OVER w)::INTEGER AS answers, prefixes, questions FROM t WINDOW w AS (ORDER BY step)""",
 }
 SQL["curve_join"] = f"""WITH {SQL_SCORES}, {SQL_ANSWERS}, k AS (SELECT *, (verifier_status IN ('correct', 'incorrect') AND n_tokens > 0)::INT AS k FROM a),
 u AS (SELECT domain, question_id, sum(n_tokens)::BIGINT AS response_tokens FROM k WHERE split = 'train' GROUP BY 1, 2 HAVING max(k) = 1),
@@ -337,5 +316,5 @@ QUERIES = {f.__name__: f for f in (
     gae_returns, whitened_advantage, group_advantage, value_loss, policy_objective, critic_diagnostics, reward_contract, method_table, answer_summary, paired_differences,
     bootstrap_interval, poisson_interval, bonferroni_quantiles, auc_trapezoid, select_epsilon_min, select_epsilon_max, pairing_problems, base_conflicts, learning_curve_running,
     epoch_totals, mean_curves, best_epoch, budget_problems, health_gates, select_profile, run_rotation, top_pilot, allocations, ledger_totals, missing_jobs, zero_gpu_stages,
-    stage_seconds, head_resources, curve_join, payload_checksum, cumulative_stream_replay,
+    stage_seconds, head_resources, curve_join, payload_checksum,
 )}

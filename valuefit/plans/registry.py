@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["curation", "answering", "training", "evaluating", "checking"]
+MODULES = ["curation", "answering", "training", "evaluating", "checking", "streams"]
 
 
 def _gather(what: str) -> dict:

@@ -17,9 +17,10 @@ from valuefit.functions.vectors import predict_many
 from valuefit.operators import heads, stats
 from valuefit.operators.metrics import prediction_metrics
 from valuefit.operators.prefixes import reward_problems
+from valuefit.streaming.answers import AnswerLedger, answer_contents
 
-LEDGER = "step int, epoch int, rows long, content string"
-STATE = "step int, epoch int, fold string, a array<double>, b array<double>, transitions long, answers long"
+LEDGER = "step int, epoch int, rows long, content string, runs array<string>"
+STATE = "step int, epoch int, fold string, a array<double>, b array<double>, w array<double>, residual double, transitions long, answers long"
 
 
 @dataclass
@@ -28,6 +29,10 @@ class CumulativeHead:
 
     Batches are long tables (step, answer_id, question_id, position, x, reward).  ``interval``: statistics start anew
     every so many steps (T3).  ``order``: predict after the batch is added, or before (T6).
+
+    ``by_answer``: a ledger of all answers so far says which of a batch's answers are new.  Only those are added; answers
+    that come again with the same rows get their values and count as ``repeated``, one that has changed is an error and
+    leaves all as it was (T4).  The ledger starts anew with the statistics.
     """
 
     spark: SparkSession
@@ -38,8 +43,13 @@ class CumulativeHead:
     folds: DataFrame | None = None
     order: str = "fit_first"
     keep: int = 3
+    by_answer: bool = False
     state: dict[str, dict] = field(default_factory=dict)
 
+    @property
+    def answers(self) -> AnswerLedger:
+        return AnswerLedger(self.spark, f"{self.path}/answers")
+
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -63,9 +73,9 @@ class CumulativeHead:
         if step == 0:
             return {}
         out = {}
-        for r in self.spark.read.schema(STATE).parquet(f"{self.path}/state/step={step}").select("epoch", "fold", "a", "b", "transitions", "answers").collect():
+        for r in self.spark.read.schema(STATE).parquet(f"{self.path}/state/step={step}").drop("step").collect():
             k = len(r["b"])
-            out[r["fold"]] = {"a": np.array(r["a"]).reshape(k, k), "b": np.array(r["b"]), "n": r["transitions"], "answers": r["answers"], "epoch": r["epoch"]}
+            out[r["fold"]] = {"a": np.array(r["a"]).reshape(k, k), "b": np.array(r["b"]), "w": np.array(r["w"]), "n": r["transitions"], "answers": r["answers"], "epoch": r["epoch"]}
         return out
 
     def epoch(self, step: int) -> int:
@@ -75,12 +85,14 @@ class CumulativeHead:
         """x, y (the answer's outcome), position, answer and fold.  Answers are bounded, so their outcome is a join of
         their last rows."""
         outcome = batch.groupBy("answer_id").agg(F.max_by("reward", "position").alias("y"))
-        rows = batch.join(outcome, "answer_id").select("answer_id", F.col("question_id").alias("question"), "position", "x", F.col("y").cast("double").alias("y"))
+        kept = ["fresh"] if "fresh" in batch.columns else []
+        rows = batch.join(outcome, "answer_id").select("answer_id", F.col("question_id").alias("question"), "position", "x", F.col("y").cast("double").alias("y"), *kept)
         if self.folds is None:
             return rows.withColumn("fold", F.lit(0))
         return rows.join(self.folds.select(F.col("id").alias("question"), "fold"), "question")
 
     def _added(self, now: dict, rows: DataFrame) -> dict:
+        """The statistics with new rows, and the heads that they give."""
         key = None if self.folds is None else "fold"
         new = stats.collect_statistics(stats.lstd_partials(rows, self.decay, key, ["question", "answer_id"]))
         out = dict(now)
@@ -89,16 +101,34 @@ class CumulativeHead:
                 raise ValueError("the features' width changed without a new epoch")
             old = out.get(k, {"a": 0, "b": 0, "n": 0, "answers": 0})
             out[k] = {"a": old["a"] + s["a"], "b": old["b"] + s["b"], "n": old["n"] + s["n"], "answers": old["answers"] + s["answers"]}
+        for s in out.values():
+            s["w"] = heads.fit_system(s["a"], s["b"], self.epsilon)
+            s["residual"] = heads.relative_residual(s["a"] + self.epsilon * np.eye(len(s["b"])), s["w"], s["b"])
         return out
 
     def _values(self, rows: DataFrame, now: dict) -> DataFrame:
-        weights = {k: heads.fit_system(s["a"], s["b"], self.epsilon) for k, s in now.items()}
+        weights = {k: s["w"] for k, s in now.items()}
         if not weights:
             return rows.withColumn("value", F.lit(0.0))
         if self.folds is not None:
             return heads.out_of_fold(rows, weights)
         return predict_many(rows, weights[""]).withColumn("value", F.get("values", F.lit(0))).drop("values")
 
+    def _fresh(self, batch: DataFrame, runs: list[str]) -> tuple[DataFrame, DataFrame, int]:
+        """The batch with ``fresh`` (the answer is new), its answers as the ledger judges them, and how many are repeated."""
+        contents = answer_contents(batch).persist()
+        try:
+            judged = self.answers.judged(contents, runs, contents.count()).persist()
+            counts = {r["state"]: r["count"] for r in judged.groupBy("state").count().collect()}
+        finally:
+            contents.unpersist()
+        if counts.get("changed"):
+            some = [r["key"] for r in judged.where("state = 'changed'").orderBy("key").limit(5).collect()]
+            judged.unpersist()
+            raise ValueError(f"{counts['changed']} answers have changed since they were added: {', '.join(some)}")
+        marked = batch.join(judged.select(F.col("key").alias("answer_id"), (F.col("state") == "new").alias("fresh")), "answer_id")
+        return marked, judged, counts.get("repeated", 0)
+
     def update(self, batch: DataFrame, step: int, feature_epoch: int | None = None) -> DataFrame | None:
         """Add one batch, a whole step, and give its values; None if the step was committed before with the same rows.
 
@@ -118,33 +148,41 @@ class CumulativeHead:
             raise ValueError(f"features of epoch {feature_epoch}, statistics of {epoch}")
         if not reward_problems(batch).isEmpty():
             raise ValueError("an answer's rewards or positions break the contract")
-        now = self.load(last)
+        now, runs = self.load(last), list(self._ledger().where(F.col("step") == last).select("runs").first()[0] or []) if last else []
         if any(s["epoch"] != epoch for s in now.values()):
-            now = {}
+            now, runs = {}, []
+        judged, repeated = None, 0
+        if self.by_answer:
+            batch, judged, repeated = self._fresh(batch, runs)
         rows = self._rows(batch).persist()
         try:
-            saved = self._commit(rows, now, step, epoch, content)
+            saved = self._commit(rows, now, step, epoch, content, judged, repeated, runs)
         finally:
             rows.unpersist()
+            if judged is not None:
+                judged.unpersist()
         self._forget(step - self.keep)
         return saved
 
-    def _commit(self, rows: DataFrame, now: dict, step: int, epoch: int, content: tuple[int, str]) -> DataFrame:
-        after = self._added(now, rows)
+    def _commit(self, rows: DataFrame, now: dict, step: int, epoch: int, content: tuple[int, str], judged: DataFrame | None, repeated: int, runs: list[str]) -> DataFrame:
+        after = self._added(now, rows if judged is None else rows.where("fresh"))
         values = self._values(rows, now if self.order == "predict_first" else after)
         schema = T._parse_datatype_string(STATE)
-        state = [(step, epoch, k, s["a"].ravel().tolist(), s["b"].tolist(), int(s["n"]), int(s["answers"])) for k, s in after.items()]
+        state = [(step, epoch, k, s["a"].ravel().tolist(), s["b"].tolist(), s["w"].tolist(), s["residual"], int(s["n"]), int(s["answers"])) for k, s in after.items()]
         self.spark.createDataFrame(state, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/step={step}")
+        kept, replaced = (runs, []) if judged is None else self.answers.add(judged.where("state = 'new'"), runs, step)
         values.withColumn("step", F.lit(step)).write.mode("overwrite").parquet(f"{self.path}/values/step={step}")
         saved = self.spark.read.parquet(f"{self.path}/values/step={step}")
         # T5: one row of metrics a step
+        transitions = sum(s["n"] for s in after.values())
         log = prediction_metrics(saved.where("value is not null")).withColumns(
-            {"step": F.lit(step), "epoch": F.lit(epoch), "transitions": F.lit(sum(s["n"] for s in after.values())), "answers": F.lit(sum(s["answers"] for s in after.values())),
-             "effective": F.lit(self.epsilon / max(1, sum(s["n"] for s in after.values())))}
+            {"step": F.lit(step), "epoch": F.lit(epoch), "transitions": F.lit(transitions), "answers": F.lit(sum(s["answers"] for s in after.values())),
+             "repeated": F.lit(repeated), "residual": F.lit(max((s["residual"] for s in after.values()), default=0.0)), "effective": F.lit(self.epsilon / max(1, transitions))}
         )
         log.write.mode("overwrite").parquet(f"{self.path}/metrics/step={step}")
         # a step is there once its ledger row is
-        self.spark.createDataFrame([(step, epoch, *content)], LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
+        self.spark.createDataFrame([(step, epoch, *content, kept)], LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
+        self.answers.drop(replaced)
         return saved
 
     def _forget(self, step: int) -> None:
