@@ -177,40 +177,88 @@ def test_networks_learn(spark):
     assert len(z.first()["x"]) == 5 and heads.ridge_fit(z, z)["score"] < 0.25
 
 
-@pytest.mark.parametrize("kind", ["mlp", "compressor"])
-def test_networks_equal_training_in_one_place(spark, kind):
-    """The same steps by numpy on all rows at once: parameters, scores of each epoch and the chosen epoch."""
+def bucket_of(spark, df, steps):
+    """The step of each row of an epoch, by position ``i``."""
+    rows = df.select("i", F.pmod(F.xxhash64(F.col("x").cast("array<double>")), F.lit(steps)).alias("b")).orderBy("i").collect()
+    return np.array([r["b"] for r in rows])
+
+
+def in_one_place(p, gradients, value, x, y, q, bucket, epochs, steps, rate, decay, clip=None):
+    """The same steps by numpy on all rows at once: scores of each epoch, and the parameters of the first best one."""
+    p = {k: np.array(v, float) for k, v in p.items()}
+    m, v, scores, best, t = dict.fromkeys(p, 0), dict.fromkeys(p, 0), [], None, 0
+    for _ in range(epochs):
+        for b in range(steps):
+            own = bucket == b
+            if not own.any():
+                continue
+            g = {k: a / own.sum() for k, a in gradients(p, x[own], y[own]).items()}
+            size = np.sqrt(sum((g[k] ** 2).sum() for k in rate))
+            t += 1
+            for k in rate:
+                h = g[k] * min(1, clip / size) if clip else g[k]
+                m[k], v[k] = 0.9 * m[k] + 0.1 * h, 0.999 * v[k] + 0.001 * h**2
+                p[k] = p[k] * (1 - rate[k] * decay) - rate[k] * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        e = (value(p) - y) ** 2
+        scores.append(np.mean([e[q == k].mean() for k in sorted(set(q))]))
+        if len(scores) == 1 or scores[-1] < min(scores[:-1]):
+            best = {k: a.copy() for k, a in p.items()}
+    return scores, best
+
+
+@pytest.mark.parametrize("kind,epochs,steps", [("mlp", 30, 3), ("compressor", 6, 1), ("affine", 6, 2), ("joint", 8, 2), ("frozen", 4, 1)])
+def test_networks_equal_training_in_one_place(spark, kind, epochs, steps):
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=(90, 5)), rng.integers(0, 2, 90).astype(float)
-    q = [str(i % 7) for i in range(90)]
-    df = spark.createDataFrame([(q[i], x[i].tolist(), float(y[i])) for i in range(90)], "question string, x array<double>, y double").repartition(5)
-    mean = x.mean(0)
+    q = np.array([str(i % 7) for i in range(90)])
+    df = spark.createDataFrame([(i, str(q[i]), x[i].tolist(), float(y[i])) for i in range(90)], "i int, question string, x array<double>, y double").repartition(5).cache()
+    bucket, mean = bucket_of(spark, df, steps), x.mean(0)
     scale = np.sqrt(((x - mean) ** 2).mean())
+    z, start = (x - mean) / scale, np.random.default_rng(0)
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
-    start = np.random.default_rng(0)
+    unit = lambda w: w / np.linalg.norm(w, axis=1, keepdims=True)
+    top = lambda p, z: sigmoid(np.maximum(z @ p["w1"].T + p["b1"], 0) @ p["w2"] + p["b2"])
+    squeezed = lambda p: np.maximum(z @ unit(p["w"]).T + p["b"], 0)
+    clip, decay, data = None, 0.0, z
     if kind == "mlp":
-        fit = neural.fit_mlp(df, df, hidden=4, epochs=6, steps=1, patience=None)
+        fit = neural.fit_mlp(df, df, hidden=4, epochs=epochs, steps=steps, patience=None)
         p = {"w1": start.normal(size=(4, 5)) / np.sqrt(5), "b1": np.zeros(4), "w2": start.normal(size=4) / 2, "b2": np.array(0.0)}
-        value = lambda p: sigmoid(np.maximum(x @ p["w1"].T + p["b1"], 0) @ p["w2"] + p["b2"])
-        gradients, decay = lambda p: neural.value_gradients(p, x, y, 1e-4)[1], 0.0
-    else:
-        fit = neural.fit_compressor(df, df, 3, epochs=6, steps=1)
-        z = (x - mean) / scale
+        value, gradients, data = lambda p: top(p, x), lambda p, x, y: neural.value_gradients(p, x, y, 1e-4)[1], x
+        rate = dict.fromkeys(p, 0.02)
+    elif kind in ("compressor", "affine"):
+        fit = neural.fit_compressor(df, df, 3, epochs=epochs, steps=steps, affine=kind == "affine")
         p = {"w": start.normal(size=(3, 5)), "b": np.zeros(3), "v": start.normal(size=3) * 0.1, "c": np.array(0.0)}
-        unit = lambda w: w / np.linalg.norm(w, axis=1, keepdims=True)
-        value = lambda p: sigmoid(np.maximum(z @ unit(p["w"]).T + p["b"], 0) @ p["v"] + p["c"])
-        gradients, decay = lambda p: neural.compressor_gradients(p, z, y, 0.01)[1], 0.01
-    m, v, scores, best = {k: 0 for k in p}, {k: 0 for k in p}, [], None
-    for t in range(1, 7):
-        g = {k: a / 90 for k, a in gradients(p).items()}
-        for k in p:
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] * (1 - 0.02 * decay) - 0.02 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-        e = (value(p) - y) ** 2
-        scores.append(np.mean([e[[i for i in range(90) if q[i] == k]].mean() for k in set(q)]))
-        best = {k: a.copy() for k, a in p.items()} if scores[-1] == min(scores) else best
+        if kind == "affine":
+            p["w"] = p["w"] / np.sqrt(5)
+            value, gradients = lambda p: sigmoid((z @ p["w"].T + p["b"]) @ p["v"] + p["c"]), lambda p, x, y: neural.affine_gradients(p, x, y)[1]
+        else:
+            value, gradients = lambda p: sigmoid(squeezed(p) @ p["v"] + p["c"]), lambda p, x, y: neural.compressor_gradients(p, x, y, 0.01)[1]
+        rate, decay = dict.fromkeys(p, 0.02), 0.01
+    else:
+        below = {"params": {"w": rng.normal(size=(3, 5)), "b": rng.normal(size=3)}, "mean": mean, "scale": scale}
+        slow = 0.005 if kind == "joint" else 0.0
+        fit = neural.fit_joint(df, df, below, hidden=4, epochs=epochs, steps=steps, compressor_rate=slow, clip=0.05, patience=None)
+        p = {**below["params"], "w1": start.normal(size=(4, 3)) / np.sqrt(3), "b1": np.zeros(4), "w2": start.normal(size=4) / 2, "b2": np.array(0.0)}
+        value, gradients = lambda p: top(p, squeezed(p)), lambda p, x, y: neural.joint_gradients(p, x, y, 0.01)[1]
+        rate, decay, clip = dict.fromkeys(("w1", "b1", "w2", "b2"), 0.02) | ({"w": slow, "b": slow} if slow else {}), 0.001, 0.05
+        assert np.array_equal(fit["params"]["w"], below["params"]["w"]) == (kind == "frozen")
+    scores, best = in_one_place(p, gradients, value, data, y, q, bucket, epochs, steps, rate, decay, clip)
     assert np.allclose([h[2] for h in fit["history"]], scores, atol=1e-9) and fit["epoch"] == int(np.argmin(scores)) + 1
     assert all(np.allclose(fit["params"][k], best[k], atol=1e-8) for k in p)
+    df.unpersist()
+
+
+def test_joint_training_from_a_warm_start(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(str(i % 9), x[i].tolist(), float(x[i, 0] > 0)) for i in range(120)], "question string, x array<double>, y double").cache()
+    below = neural.fit_compressor(df, df, 3, epochs=2, steps=1)
+    fit = neural.fit_joint(df, df, below, hidden=6, epochs=6, steps=2, head_rate=0.1, compressor_rate=0.05, patience=None)
+    assert fit["score"] < 0.2 and fit["history"][-1][1] < fit["history"][0][1]
+    again = neural.fit_joint(df, df, below, hidden=6, epochs=1, steps=1, head_rate=9.0, warm=fit["params"])
+    assert again["epoch"] == 0 and abs(again["score"] - fit["score"]) < 1e-12
+    with pytest.raises(ValueError, match="finite"):
+        neural.clipped({"a": np.array([np.nan])}, 1.0)
 
 
 def test_subjects_shards_and_corpora(spark, tmp_path):
@@ -241,11 +289,22 @@ def test_arms_of_transfer(spark):
     rows = [(f"q{i % 16}", x[i].tolist(), float(x[i, 0] + 0.3 * rng.normal() > 0)) for i in range(160)]
     df = spark.createDataFrame(rows, "question string, x array<double>, y double")
     half = lambda k: df.where(F.substring("question", 2, 2).cast("int") % 4 == k)
-    arms = neural.transfer_arms({"train": half(0), "val": half(1)}, {"train": half(2), "val": half(3)}, 3, 4, epochs=1)
-    assert set(arms) == {"feature_transfer", "target", "pooled", "combined", "raw"}
-    assert {k: len(a["head"]["weights"]) - 1 for k, a in arms.items()} == {"feature_transfer": 3, "target": 3, "pooled": 3, "combined": 6, "raw": 4}
+    fit = lambda s, t: neural.transfer_arms({"train": s(0), "val": s(1)}, {"train": t(2), "val": t(3)}, 3, 4, epochs=1, steps=1)
+    arms = fit(half, half)
+    assert tuple(arms) == neural.ARMS
+    assert {k: a["width"] for k, a in arms.items()} == {"full_transfer": 3, "feature_transfer": 3, "target": 3, "pooled": 3, "combined": 3, "wide": 6, "raw": 4}
     direct = heads.ridge_fit(half(2), half(3))
     assert np.allclose(arms["raw"]["head"]["weights"], direct["weights"]) and all(a["head"]["score"] < 0.3 for a in arms.values())
+    # what an arm does not train on does not change it
+    flipped = lambda k: half(k).withColumn("y", 1 - F.col("y"))
+    other_source, other_target = fit(flipped, half), fit(half, flipped)
+    same = lambda a, b, k: np.allclose(a[k]["head"]["weights"], b[k]["head"]["weights"])
+    assert {k for k in arms if same(arms, other_source, k)} == {"target", "raw"}
+    assert {k for k in arms if same(arms, other_target, k)} == {"full_transfer"}
+    assert np.allclose(arms["feature_transfer"]["represent"](x), other_target["feature_transfer"]["represent"](x))
+    test = {r["arm"]: r for r in neural.evaluate_arms(df, arms).collect()}
+    w = direct["weights"]
+    assert abs(test["raw"]["brier"] - ((x @ w[:-1] + w[-1] - np.array([r[2] for r in rows])) ** 2).mean()) < 1e-12 and set(test) == set(arms)
 
 
 def test_gradients():
@@ -253,6 +312,9 @@ def test_gradients():
     x, y = rng.normal(size=(9, 4)), rng.integers(0, 2, 9).astype(float)
     for f, p in (
         (lambda p: neural.compressor_gradients(p, x, y, 0.01), {"w": rng.normal(size=(3, 4)), "b": rng.normal(size=3), "v": rng.normal(size=3), "c": np.array(0.1)}),
+        (lambda p: neural.affine_gradients(p, x, y), {"w": rng.normal(size=(3, 4)), "b": rng.normal(size=3), "v": rng.normal(size=3), "c": np.array(0.1)}),
+        (lambda p: neural.joint_gradients(p, x, y, 0.3),
+         {"w": rng.normal(size=(3, 4)), "b": rng.normal(size=3), "w1": rng.normal(size=(5, 3)), "b1": rng.normal(size=5), "w2": rng.normal(size=5), "b2": np.array(0.1)}),
         (lambda p: neural.value_gradients(p, x, y, 0.0), {"w1": rng.normal(size=(3, 4)), "b1": rng.normal(size=3), "w2": rng.normal(size=3), "b2": np.array(0.1)}),
     ):
         g = f(p)[1]

@@ -38,9 +38,9 @@ def trajectory_statistics(states: np.ndarray, outcome: float, decay: float) -> t
     return z.T @ (phi - after), z[-1] * outcome
 
 
-def add_partials(partials: DataFrame, fan: int = 16) -> DataFrame:
-    """Sum of ``v`` by key, ``fan`` partials at a time."""
-    lots = (partials.agg(F.max("lot")).first()[0] or 0) + 1
+def add_partials(partials: DataFrame, fan: int = 16, lots: int | None = None) -> DataFrame:
+    """Sum of ``v`` by key, ``fan`` partials at a time; ``lots``, if it is known, is a bound above all lots."""
+    lots = lots or (partials.agg(F.max("lot")).first()[0] or 0) + 1
 
     def add(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
         pdf = batches

@@ -169,6 +169,28 @@ def mlp_fit(spark, sf_dir):
     return out.select("position", "split", F.lit(fit["epoch"]).alias("epoch"), r6(F.lit(fit["score"])).alias("score"), F.round(F.get("v", F.lit(0)), 4).alias("value"))
 
 
+def joint_mlp_fit(spark, sf_dir):
+    """Values of a network trained together with its compressor, with the epoch and score that chose it; trained, so without
+    SQL."""
+    p = prefixes(spark, sf_dir)
+    train, val = p.where("split = 'train'"), p.where("split = 'val'")
+    fit = neural.fit_joint(train, val, neural.fit_compressor(train, val, 8), steps=4)
+    out = v.batch_map(p, {"v": lambda x: neural.joint_values(fit)(x)[:, None]})
+    return out.select("position", "split", F.lit(fit["epoch"]).alias("epoch"), r6(F.lit(fit["score"])).alias("score"), F.round(F.get("v", F.lit(0)), 4).alias("value"))
+
+
+def transfer_study(spark, sf_dir):
+    """Seven arms of transfer from one domain to the other: penalty and score on validation, metrics on test; trained, so
+    without SQL."""
+    p = prefixes(spark, sf_dir)
+    part = lambda d: {s: p.where((F.col("domain") == d) & (F.col("split") == s)) for s in ("train", "val")}
+    arms = neural.transfer_arms(part("0"), part("1"), 8, 20, raw=lambda x: v.np_rms(x[:, 16:]))
+    out = neural.evaluate_arms(p.where("domain = '1' and split = 'test'"), arms)
+    info = F.array(*(F.struct(F.lit(k).alias("arm"), F.lit(a["width"]).alias("width"), F.lit(float(a["head"]["epsilon"])).alias("epsilon"), F.lit(a["head"]["score"]).alias("val_brier")) for k, a in arms.items()))
+    known = spark.range(1).select(F.inline(info))
+    return out.join(known, "arm").select("arm", "width", "epsilon", "prefixes", "questions", *(F.round(c, 4).alias(c) for c in ("val_brier", "question_brier", "question_clipped_brier", "accuracy", "ece")))
+
+
 SQL = solving.SQL | {
     "rms_normalize": f"""WITH {SQL_PREFIXES}, s AS (SELECT position, x, sqrt(list_inner_product(x, x) / 64 + 1e-6) AS s FROM p)
 SELECT position, i::INTEGER AS i, round(x[i + 1] / s, 6) AS c FROM s, generate_series(0, 63) g(i)""",
@@ -210,5 +232,5 @@ SELECT count(*) AS prefixes, count(DISTINCT question) AS questions, round(avg((v
 QUERIES = {f.__name__: f for f in (
     ridge_value_by_split, rms_normalize, layernorm, isotropic_stats, gram_entries, gram_partials, lstd_entries, out_of_fold_predict, ridge_grid_select, spectral_vs_direct,
     budget_curves, system_conditioning, head_audit, question_brier, prefix_metrics, ece_10, constant_baseline, majority_accuracy, calibrated_metrics, feature_pairing,
-    combined_features, feature_guard, compressor_fit, mlp_fit,
+    combined_features, feature_guard, compressor_fit, mlp_fit, joint_mlp_fit, transfer_study,
 )}
