@@ -62,15 +62,34 @@ def test_every_row_has_a_result(tables, name):
 def test_pipeline_stages_take_any_columns(spark, tables, tmp_path):
     stages = importlib.import_module("corpus_pipeline").STAGES
     docs, labels, items = tables
+    docs = docs.withColumn("n_dropped", F.lit(5))
     for name, frame in (("labels", labels), ("benchmark", items)):
         frame.write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, stage in stages:
         out = stage(spark, docs, str(tmp_path))
         assert name == stages[-1][0] or out.columns == docs.columns
+        if name == "line_dedup":
+            assert {tuple(r) for r in out.select("n_lines", "n_dropped").collect()} == {("own n_lines", 5)}
         assert out.count() <= docs.count()
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_rows_with_nulls_are_not_mixed_up(spark):
+    """A null and a value are other rows than the value and a null."""
+    rows = [("menu", None)] * 2 + [(None, "menu")] * 3 + [("a", "menu")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, min_docs=3).collect())
+    assert got == [("None", "", 1, 1)] * 3 + [("a", "", 1, 1)] + [("menu", "", 1, 0)] * 2
+
+
+def test_long_labelled_texts_are_learnt_from_in_parts(spark):
+    long = "good words and more of them. " * 40
+    docs = spark.createDataFrame([(i, long if i % 2 else "x9 x9 " * 200) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = quality.score_quality(docs, labels, longest=100).collect()  # no text is as short as that
+    assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in found)
+
+
 def test_many_lengths_of_rule_paths(spark):
     rules = [("a.com", "/" + "x" * k, "block" if k % 2 else "allow") for k in range(500)]
     frame = spark.createDataFrame(rules, "host string, path string, verdict string")

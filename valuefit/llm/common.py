@@ -21,6 +21,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def row_hashes(*columns: str) -> list[Column]:
+    """128 bits of a row's values, as two longs.  A hash passes over nulls, so whether a value is null is hashed too."""
+    flagged = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*flagged), F.xxhash64(F.lit(7), *reversed(flagged))]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local session gets a temporary
     folder, and any other an error, since executors could not read what others write."""

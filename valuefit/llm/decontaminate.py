@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table, spare
+from .common import Scratch, read_table, row_hashes, spare
 from .kernels import ALNUM, Words, chunks
 
 K = 5
@@ -176,7 +176,7 @@ def find_contamination(
     small = n_windows <= broadcast_windows and n_bytes <= broadcast_bytes
     short = sorted(r[0] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # < window
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2"), "text"
+        F.col("doc_id").cast("long"), *(h.alias(n) for h, n in zip(row_hashes("doc_id", "text"), ("r1", "r2"))), "text"
     )
     schema = "doc_id long, r1 long, r2 long, n_words long, windows array<struct<start:int,size:int,win:string>>"
     if n_prints <= broadcast_prints:
@@ -218,7 +218,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
     hit = Scratch(docs.sparkSession, "contaminated").keep(hit, "rows")
     meet = F.broadcast(hit) if hit.count() <= broadcast_rows else hit
     r1, r2 = spare(docs, "r1", "r2")
-    marked = docs.select("*", F.xxhash64("doc_id", "text").alias(r1), F.xxhash64(F.lit(7), "text", "doc_id").alias(r2))
+    marked = docs.select("*", *(h.alias(n) for h, n in zip(row_hashes("doc_id", "text"), (r1, r2))))
     return marked.join(meet.select(F.col("r1").alias(r1), F.col("r2").alias(r2)), [r1, r2], "left_anti").select(*docs.columns)
 
 

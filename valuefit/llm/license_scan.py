@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, read_table
+from .common import Scratch, ascii_lower, read_table, row_hashes
 
 #: Fixed phrases with a label of their own.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -160,7 +160,7 @@ def scan_licenses(
         x["word"].alias("word"), x["i"].alias("i"), F.greatest(x["i"] - (wide - 1), F.lit(0)).alias("low"),
         F.slice("words", F.greatest(x["i"] - (wide - 1), F.lit(0)) + 1, F.lit(2 * wide - 1)).alias("near")))
     rows = docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2"), words_of(F.col("text")).alias("words")
+        "doc_id", *(h.alias(n) for h, n in zip(row_hashes("doc_id", "text"), ("r1", "r2"))), words_of(F.col("text")).alias("words")
     ).select(
         "doc_id", "r1", "r2", F.size("words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(labels)).alias("base"),
         F.concat(*base).alias("starts"), looked.alias("looked"), F.when(F.arrays_overlap("words", _literal(rarest)), of(elsewhere)).alias("open"),

@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, read_table, spare
+from .common import Scratch, ascii_lower, read_table, row_hashes, spare
 
 SPACE = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
@@ -103,7 +103,8 @@ def dedup_lines(
     ``min_key`` code points found in at least ``min_docs`` rows lose all their lines in every row; the others stay,
     joined by a newline.  Each row is a document of its own, also where rows or ids repeat or an id is null.  A null
     or empty text is one empty line, which stays: it comes back as an empty text.  If all lines go, the text is
-    empty.  Columns of ``docs`` named ``n_lines`` or ``n_dropped`` are replaced.
+    empty.  Very long texts are split like any other, an empty table gives an empty result.  Columns of ``docs`` named
+    ``n_lines`` or ``n_dropped`` are replaced.
 
     Frequent lines are broadcast if a count shows that they fit ``broadcast_rows``, else merge-joined by hash, where
     Spark splits the partitions of hot lines.  Texts are shuffled once at most, by (doc_id, text), never by line.
@@ -119,7 +120,7 @@ def dedup_lines(
     mine = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*mine)
     r1, r2, gone_at = spare(docs, "r1", "r2", "gone")
-    row = [F.xxhash64("doc_id", "text").alias(r1), F.xxhash64(F.lit(7), "text", "doc_id").alias(r2)]
+    row = [h.alias(n) for h, n in zip(row_hashes("doc_id", "text"), (r1, r2))]
     lines = docs.select(*row, F.posexplode(line_keys(F.col("text"))).alias("at", "key")).select(
         r1, r2, "at", F.length("key").alias("size"), *hashes(F.col("key"))
     )

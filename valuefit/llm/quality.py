@@ -170,9 +170,10 @@ def _score(p: dict[str, np.ndarray]):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int = 1 << 16, broadcast_rows: int = 2_000_000) -> dict[str, np.ndarray]:
-    """The network, trained on at most about ``sample`` labelled rows of at most ``longest`` characters, drawn by hash.
+    """The network, trained on at most ``sample`` labelled texts, drawn by hash.
 
-    Rows with a null id or text, unlabelled rows and rows of fold 2 are not learnt from; a doc_id labelled twice counts
+    A text of more than ``longest`` characters is learnt from in parts of that length, each with its label, which count as
+    texts of the sample.  Rows with a null id or text, unlabelled rows and rows of fold 2 are not learnt from; a doc_id labelled twice counts
     as good only if all its labels say so.  Without labels of both classes the network gives their share.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -181,7 +182,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest:
     share = min(1.0, sample / max(1, n))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     drawn = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(marks, min(n, sample), broadcast_rows), "doc_id")
-    drawn = drawn.where(F.length("text") <= longest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "quality_label").toArrow()
+    count = F.greatest(F.floor((F.length("text") - 1) / longest), F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count), lambda i: F.substr("text", i * longest + 1, F.lit(longest)))
+    drawn = drawn.where("text is not null").select("doc_id", "quality_label", F.posexplode(parts).alias("part", "text"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "part", F.xxhash64("text")).limit(sample).select("text", "quality_label").toArrow()
     texts = [t.encode() for t in drawn.column("text").to_pylist()]
     return train(texts, drawn.column("quality_label").to_numpy().astype(float))
 
