@@ -131,12 +131,14 @@ def np_layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + eps)
 
 
+def representations(final: int) -> dict[str, Callable[[np.ndarray], np.ndarray]]:
+    """F8: the rest of a vector by RMS, its first ``final`` coordinates by row normalisation, and these unchanged."""
+    return {"rms_rest": lambda x: np_rms(x[:, final:]), "first_layernorm": lambda x: np_layer_norm(x[:, :final]), "first": lambda x: x[:, :final]}
+
+
 def representation_arms(df: DataFrame, final: int, column: str = "x") -> DataFrame:
-    """F8: three representations in one pass: the rest of the vector by RMS, the first ``final`` coordinates by row
-    normalisation, and unchanged."""
-    return batch_map(
-        df, {"rms_rest": lambda x: np_rms(x[:, final:]), "first_layernorm": lambda x: np_layer_norm(x[:, :final]), "first": lambda x: x[:, :final]}, column
-    )
+    """F8: the three representations as columns, in one pass."""
+    return batch_map(df, representations(final), column)
 
 
 def mlp_forward(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: float):

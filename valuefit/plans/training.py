@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from valuefit.functions import vectors as v
-from valuefit.operators import calibrate, heads, metrics, neural, paired, stats
+from valuefit.operators import calibrate, heads, locks, metrics, neural, paired, stats, study
 from valuefit.plans import flagship, solving
 from valuefit.plans.concepts import SQL_PREFIXES, prefixes, r6
 from valuefit.plans.solving import SQL_LINEAR
+from valuefit.sources.scratch import shared_folder
 
 
 def ridge_value_by_split(spark, sf_dir):
@@ -84,7 +85,8 @@ def system_conditioning(spark, sf_dir):
     p = prefixes(spark, sf_dir)
     s = stats.add_partials(stats.ridge_partials(p, "split"))
     systems = s.select(F.col("key").alias("run"), F.lit(0).alias("fold"), F.slice("v", 1, 65 * 65).alias("a"), F.slice("v", 65 * 65 + 1, 65).alias("b"))
-    return heads.conditioning(systems).select("run", "epsilon", "rank", r6(F.log("condition")).alias("log_condition"))
+    out = heads.conditioning(systems)
+    return out.select("run", "epsilon", "rank", *(r6(F.log(c)).alias(f"log_{c}") for c in ("largest", "smallest", "condition", "norm")), r6("residual").alias("residual"))
 
 
 def head_audit(spark, sf_dir):
@@ -191,7 +193,96 @@ def transfer_study(spark, sf_dir):
     return out.join(known, "arm").select("arm", "width", "epsilon", "prefixes", "questions", *(F.round(c, 4).alias(c) for c in ("val_brier", "question_brier", "question_clipped_brier", "accuracy", "ece")))
 
 
+def representation_arms(spark, sf_dir):
+    """Sums of the three representations of every vector, and of the last one centred and scaled by training statistics."""
+    p = prefixes(spark, sf_dir)
+    mean, scale = stats.isotropic_normalization(v.representation_arms(p.where("split = 'train'"), 16), "first")
+    out = v.representation_arms(p, 16)
+    centred = v.center_scale(F.col("first"), F.array(*(F.lit(float(m)) for m in mean)), F.lit(scale))
+    squares = lambda c: r6(v.vector_sum(F.transform(c, lambda a: a * a * a)))
+    return out.select(
+        "position", *(F.size(k).alias(f"{k}_width") for k in v.representations(16)), *(squares(F.col(k)).alias(f"{k}_cubes") for k in v.representations(16)), squares(centred).alias("centred_cubes")
+    )
+
+
+STUDY = {"budgets": [4, 8, 14], "seeds": [42, 43]}
+
+
+def learning_study(spark, sf_dir):
+    """Penalty, validation score and test metrics of heads for budgets x arms x domains x seeds."""
+    p, arms = prefixes(spark, sf_dir), v.representations(16)
+    found = study.arm_study(p.where("split = 'train'"), p.where("split = 'val'"), arms, **STUDY)
+    out = study.evaluate_study(p.where("split = 'test'"), found, arms)
+    return out.select("domain", "seed", "arm", "budget", "train_rows", "epsilon", r6("val_brier").alias("val_brier"), "prefixes", "questions", *(r6(c).alias(c) for c in ("question_brier", "question_clipped_brier", "accuracy")))
+
+
+def locked_study(spark, sf_dir):
+    """Selections and heads of all seeds are committed and checked before test rows are read; then they are evaluated."""
+    p, arms, path = prefixes(spark, sf_dir), v.representations(16), shared_folder(spark, "locked")
+    found = study.arm_study(p.where("split = 'train'"), p.where("split = 'val'"), arms, **STUDY)
+    locks.lock(path, **study.study_tables(spark, found))
+    tables, test = locks.after_lock(spark, path, lambda: prefixes(spark, sf_dir).where("split = 'test'"))
+    out = study.evaluate_study(test, study.from_tables(tables), arms)
+    return out.groupBy("domain", "arm", "budget").agg(
+        F.count(F.lit(1)).alias("seeds"), r6(F.avg("val_brier")).alias("val_brier"), r6(F.avg("question_brier")).alias("question_brier"), r6(F.avg(F.log10("epsilon"))).alias("log_epsilon")
+    )
+
+
+SQL_ARMS = """ar AS (SELECT question, split, domain, y, 'rms_rest' AS arm, list_transform(x[17:64], lambda c: c / sqrt(list_inner_product(x[17:64], x[17:64]) / 48 + 1e-6::DOUBLE)) AS x, position FROM p
+  UNION ALL SELECT question, split, domain, y, 'first_layernorm', list_transform(x[1:16], lambda c: (c - m) / sqrt(list_sum(list_transform(x[1:16], lambda d: (d - m) * (d - m))) / 16 + 1e-5::DOUBLE)), position
+    FROM (SELECT *, list_sum(x[1:16]) / 16 AS m FROM p)
+  UNION ALL SELECT question, split, domain, y, 'first', x[1:16], position FROM p)"""
+SQL_EPSILONS = ", ".join(f"(1e{i}::DOUBLE)" for i in range(-2, 7))
 SQL = solving.SQL | {
+    "representation_arms": f"""WITH {SQL_PREFIXES}, {SQL_ARMS}, tr AS (SELECT x FROM ar WHERE arm = 'first' AND split = 'train'),
+mo AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, avg(x[i]) AS m FROM tr, generate_series(1, 16) g(i) GROUP BY i)),
+sc AS (SELECT any_value(mean) AS mean, sqrt(avg((x[i] - mean[i]) ** 2)) AS scale FROM tr, mo, generate_series(1, 16) g(i)),
+cu AS (SELECT position, arm, len(x) AS width, round(list_sum(list_transform(x, lambda c: c ** 3)), 6) AS cubes FROM ar)
+SELECT p.position, r.width::INTEGER AS rms_rest_width, l.width::INTEGER AS first_layernorm_width, f.width::INTEGER AS first_width, r.cubes AS rms_rest_cubes, l.cubes AS first_layernorm_cubes, f.cubes AS first_cubes,
+  round(list_sum(list_transform(p.x[1:16], lambda c, i: ((c - mean[i]) / scale) ** 3)), 6) AS centred_cubes
+FROM p JOIN cu r ON r.position = p.position AND r.arm = 'rms_rest' JOIN cu l ON l.position = p.position AND l.arm = 'first_layernorm' JOIN cu f ON f.position = p.position AND f.arm = 'first', sc""",
+    # singular values of symmetric systems: the projection onto the largest comes from squaring the matrix 17 times, that onto
+    # the smallest from squaring the inverse, which Gauss-Jordan elimination gives
+    "system_conditioning": f"""WITH RECURSIVE {SQL_PREFIXES}, f AS (SELECT split || '/' || e AS key, x, y, e AS epsilon FROM p, (VALUES (0.0::DOUBLE), (0.01), (1.0)) t(e)), {solving.sql_systems("f")},
+gj AS (SELECT key, 1 AS k, a AS m FROM sys UNION ALL
+  SELECT key, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k AND j = k THEN 1 / m[k][k] WHEN i = k THEN v / m[k][k]
+    WHEN j = k THEN -v / m[k][k] ELSE v - r[k] * m[k][j] / m[k][k] END)) FROM gj WHERE k <= 65),
+iv AS (SELECT key, m AS inv FROM gj WHERE k = 66),
+po AS (SELECT key || '>' AS key, a AS m, a AS b, 0 AS n FROM sys UNION ALL SELECT key || '<', inv, inv, 0 FROM iv),
+sq AS (SELECT key, n, m, b FROM po UNION ALL SELECT key, n + 1, m, list_transform(c, lambda r: list_transform(r, lambda v: v / tr)) FROM (
+  SELECT *, list_sum(list_transform(c, lambda r, i: r[i])) AS tr FROM (
+    SELECT key, n, m, list_transform(b, lambda r: list_transform(b, lambda q: list_inner_product(r, q))) AS c FROM sq WHERE n < 17))),
+ev AS (SELECT key, list_sum(list_transform(m, lambda r, i: list_inner_product(r, b[i]))) / list_sum(list_transform(b, lambda r, i: r[i])) AS v FROM sq WHERE n = 17),
+la AS (SELECT key, max(v) FILTER (suffix(key, '>')) AS up, max(1 / v) FILTER (suffix(key, '<')) AS low FROM ev GROUP BY key),
+bo AS (SELECT rtrim(key, '<>') AS key, max(up) AS largest, max(low) AS smallest FROM la GROUP BY rtrim(key, '<>')),
+so AS (SELECT key, list_transform(inv, lambda r: list_inner_product(r, b)) AS w FROM iv JOIN sys USING (key))
+SELECT split_part(key, '/', 1) AS run, split_part(key, '/', 2)::DOUBLE AS epsilon, CASE WHEN smallest > largest * 65 * 2.220446049250313e-16::DOUBLE THEN 65 END AS rank, round(ln(largest), 6) AS log_largest,
+  round(ln(smallest), 6) AS log_smallest, round(ln(largest / smallest), 6) AS log_condition, round(ln(sqrt(list_inner_product(w, w))), 6) AS log_norm, 0.0::DOUBLE AS residual FROM bo JOIN so USING (key)""",
+    "learning_study": f"""WITH RECURSIVE {SQL_PREFIXES}, {SQL_ARMS},
+qs AS (SELECT *, row_number() OVER (PARTITION BY domain, seed ORDER BY sha256(seed || ':' || question), question) AS r
+  FROM (SELECT DISTINCT domain, question FROM p WHERE split = 'train'), (VALUES {", ".join(f"({s})" for s in STUDY["seeds"])}) t(seed)),
+f AS (SELECT domain || '/' || seed || '/' || arm || '/' || budget AS key, x, y FROM ar JOIN qs USING (domain, question) JOIN (VALUES {", ".join(f"({b})" for b in STUDY["budgets"])}) b(budget) ON r <= budget WHERE split = 'train'),
+mo AS (SELECT key, i, avg(x[i]) AS m FROM (SELECT key, x, unnest(range(1, len(x) + 1)) AS i FROM f) GROUP BY key, i), ms AS (SELECT key, list(m ORDER BY i) AS mean FROM mo GROUP BY key),
+ce AS (SELECT key, any_value(mean) AS mean, sqrt(avg((x[i] - mean[i]) ** 2)) AS scale, count(*) / any_value(len(x)) AS train_rows FROM (SELECT f.key, x, mean, unnest(range(1, len(x) + 1)) AS i FROM f JOIN ms USING (key)) GROUP BY key),
+z AS (SELECT key, list_append(list_transform(x, lambda v, i: (v - mean[i]) / scale), 1.0) AS x, y FROM f JOIN ce USING (key)),
+e0 AS (SELECT key, i, j, sum(x[i] * x[j]) AS v FROM (SELECT key, x, i, unnest(range(1, len(x) + 1)) AS j FROM (SELECT key, x, unnest(range(1, len(x) + 1)) AS i FROM z)) GROUP BY key, i, j),
+e1 AS (SELECT key, i, list(v ORDER BY j) AS v FROM e0 GROUP BY key, i), e2 AS (SELECT key, list(v ORDER BY i) AS a FROM e1 GROUP BY key),
+r1 AS (SELECT key, i, sum(x[i] * y) AS v FROM (SELECT key, x, y, unnest(range(1, len(x) + 1)) AS i FROM z) GROUP BY key, i), r2 AS (SELECT key, list(v ORDER BY i) AS b FROM r1 GROUP BY key),
+sys AS (SELECT key || '/' || e AS key, list_transform(a, lambda row, i: list_transform(row, lambda v, j: v + CASE WHEN i = j THEN e ELSE 0 END)) AS a, b
+  FROM e2 JOIN r2 USING (key), (VALUES {SQL_EPSILONS}) t(e)), {solving.SQL_SOLVE},
+he AS (SELECT string_split(key, '/') AS k, w FROM sol),
+hd AS (SELECT k[1] AS domain, k[2]::INTEGER AS seed, k[3] AS arm, k[4]::INTEGER AS budget, k[5]::DOUBLE AS epsilon, w, mean, scale, train_rows FROM he JOIN ce ON ce.key = array_to_string(k[1:4], '/')),
+hp AS (SELECT domain, seed, arm, budget, epsilon, train_rows, split, question, y, list_inner_product(list_append(list_transform(x, lambda v, i: (v - mean[i]) / scale), 1.0), w) AS value FROM ar JOIN hd USING (domain, arm) WHERE split <> 'train'),
+sb AS (SELECT domain, seed, arm, budget, epsilon, avg(e) AS score FROM (SELECT domain, seed, arm, budget, epsilon, question, avg((value - y) ** 2) AS e FROM hp WHERE split = 'val' GROUP BY ALL) GROUP BY ALL),
+-- penalties beyond 1000 count only while all lower powers of ten were best in their turn
+ok AS (SELECT *, min(score) OVER (PARTITION BY domain, seed, arm, budget ORDER BY epsilon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sb),
+st AS (SELECT *, max(CASE WHEN epsilon >= 1000 AND score >= before THEN epsilon ELSE 0 END) OVER (PARTITION BY domain, seed, arm, budget ORDER BY epsilon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM ok),
+sc AS (SELECT *, row_number() OVER (PARTITION BY domain, seed, arm, budget ORDER BY score, epsilon) AS r FROM st WHERE coalesce(stopped, 0) = 0),
+l AS (SELECT domain || '/' || seed || '/' || arm || '/' || budget AS key, hp.* EXCLUDE (split), score FROM hp JOIN sc USING (domain, seed, arm, budget, epsilon) WHERE r = 1 AND split = 'test'),
+me AS (SELECT key, any_value(domain) AS domain, any_value(seed) AS seed, any_value(arm) AS arm, any_value(budget) AS budget, any_value(epsilon) AS epsilon, any_value(train_rows) AS train_rows, any_value(score) AS score FROM l GROUP BY key),
+{solving.sql_metrics("key", 'domain, seed, arm, budget, train_rows::BIGINT AS train_rows, epsilon, round(score, 6) AS val_brier, prefixes, questions, round(question_brier, 6) AS question_brier, round(question_clipped_brier, 6) AS question_clipped_brier, round(accuracy, 6) AS accuracy')} JOIN me USING (key)""",
+}
+SQL |= {
     "rms_normalize": f"""WITH {SQL_PREFIXES}, s AS (SELECT position, x, sqrt(list_inner_product(x, x) / 64 + 1e-6) AS s FROM p)
 SELECT position, i::INTEGER AS i, round(x[i + 1] / s, 6) AS c FROM s, generate_series(0, 63) g(i)""",
     "layernorm": f"""WITH {SQL_PREFIXES}, m AS (SELECT position, x, list_sum(x) / 64 AS m FROM p),
@@ -229,8 +320,12 @@ SELECT count(*) AS prefixes, count(DISTINCT question) AS questions, round(avg((v
     "combined_features": f"WITH {SQL_PREFIXES} SELECT position, 8 AS width, round(list_sum(x[1:4]) + list_sum(x[61:64]), 6) AS total FROM p",
     "feature_guard": f"WITH {SQL_PREFIXES} SELECT split, position % 10 > 1 AS ok, count(*) AS n_rows FROM p GROUP BY 1, 2",
 }
+SQL["locked_study"] = f"""WITH st AS ({SQL["learning_study"]})
+SELECT domain, arm, budget, count(*) AS seeds, round(avg(val_brier), 6) AS val_brier, round(avg(question_brier), 6) AS question_brier, round(avg(log10(epsilon)), 6) AS log_epsilon FROM st GROUP BY ALL""".replace(
+    " round(score, 6) AS val_brier", " score AS val_brier").replace("round(question_brier, 6) AS question_brier, round(question_clipped_brier", "question_brier, round(question_clipped_brier")
 QUERIES = {f.__name__: f for f in (
     ridge_value_by_split, rms_normalize, layernorm, isotropic_stats, gram_entries, gram_partials, lstd_entries, out_of_fold_predict, ridge_grid_select, spectral_vs_direct,
     budget_curves, system_conditioning, head_audit, question_brier, prefix_metrics, ece_10, constant_baseline, majority_accuracy, calibrated_metrics, feature_pairing,
     combined_features, feature_guard, compressor_fit, mlp_fit, joint_mlp_fit, transfer_study,
+    representation_arms, learning_study, locked_study,
 )}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from valuefit.functions.vectors import finite
 from valuefit.sources import schemas
@@ -124,12 +125,24 @@ def write_predictions(df: DataFrame, path: str, by=("domain", "budget", "arm", "
     df.select(*by, "question", "position", "y", "value").write.partitionBy(*by).mode("errorifexists").parquet(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, value): the lines of text files that are not blank, numbered from 0 by file name and place in the file.
+
+    Tasks count the lines of their parts of files; how many lines come before a part is a running sum over the parts (a row
+    each), and a line's place in its part is its distance from the part's first line.  The lines themselves are not moved.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", *place).withColumn("id", F.monotonically_increasing_id())
+    parts = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(parts, ["file", "start"]).select((F.col("before") + F.col("id") - F.col("first")).alias("ordinal"), "value")
+
+
 def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """IO13: states to score, numbered in the order of the file's lines."""
-    text = spark.read.text(path).where(F.trim("value") != "")
-    numbered = text.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, ordinal long")
+    """IO13: states to score, numbered in the order of the files' lines."""
     schema = "question string, prefix string, prefix_token_ids array<int>"
-    return numbered.select("ordinal", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("ordinal", "s.*")
+    return numbered_lines(spark, path).select("ordinal", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("ordinal", "s.*")
 
 
 def state_violation() -> Column:
