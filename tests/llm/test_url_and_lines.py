@@ -1,7 +1,9 @@
 import collections
+import random
 
 import pytest
 from helpers import LOWER
+from pyspark.sql import functions as F
 
 from valuefit.llm.common import Scratch
 from valuefit.llm.line_dedup import LineRuns, dedup_lines, new_lines
@@ -66,6 +68,31 @@ def test_lines(spark, most):
     assert dedup_lines(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batches,fanout", [(1, 4), (4, 4), (4, 2), (16, 3)])
+def test_lines_do_not_depend_on_batches(spark, batches, fanout):
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["x", "Y", " y", "z %d" % rng.randrange(9), "once %d" % i]) for _ in range(rng.randrange(1, 9))) for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dedup_lines(frame, min_docs=4, batches=batches, fanout=fanout)
+    want = collections.Counter((i, *w) for i, w in enumerate(dropped(texts, 4)))
+    assert collections.Counter(tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_dropped").collect()) == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lines_")]
+
+
+def test_a_batch_meets_the_runs_without_a_shuffle(spark):
+    runs = LineRuns(spark, Scratch(spark, "test"), buckets=4)
+    frames = [spark.createDataFrame([(b, f"common\nline {b}\nline {b // 2}")], "doc_id long, text string") for b in range(3)]
+    for f in frames[:2]:
+        runs.add(f)
+    counts = runs._save(runs.counts(frames[2], F.lit(0), 1), "next", "batch").where("batch = 0")
+    for run in runs.levels[0]:
+        counts = counts.join(runs._read(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+    assert counts.count() == 1  # "line 2" alone: the batch before has "line 1"
+    runs.close()
+
+
 def test_runs_are_compacted_and_new_lines_found(spark):
     runs = LineRuns(spark, Scratch(spark, "test"), fanout=2)
     seen, names = set(), []

@@ -1,8 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (hash, number of documents), sorted by hash.  A batch of documents adds a run to level 0; once a
-level holds ``fanout`` runs they are merged into one run of the next level.  A batch is cleaned by an anti-join of its
-lines with the runs.
+A run holds line hashes and in how many documents of their batch they are, in hash buckets, sorted.  A batch is counted and
+merge-anti-joined with the runs: hashes that no run has become its own run at level 0, counts of those that one has are
+set aside.  So runs are disjoint, and once a level holds ``fanout`` of them they become one run of the next level, bucket
+by bucket.  A line is frequent if the count of its run and the counts set aside add up.
 """
 
 from __future__ import annotations
@@ -29,61 +30,114 @@ def hashes(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """The levelled runs.  ``add`` takes batches, ``frequent`` reads what at least ``min_docs`` documents hold."""
+    """The levelled runs.  ``add`` takes batches, ``frequent`` reads what at least ``min_docs`` documents hold.
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 4, min_key: int = 1):
+    All tables are bucketed by hash alike, so batches meet runs, and runs are merged, without a shuffle: the only one is
+    that of a batch's own counts.
+    """
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 4, min_key: int = 1, buckets: int | None = None):
         self.spark, self.scratch, self.fanout, self.min_key = spark, scratch, fanout, min_key
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.again: list[str] = []
         self.made = 0
+        self.prefix = f"lines_{scratch.root.rpartition('-')[2]}"
 
-    def _run(self, rows: DataFrame, level: int) -> None:
-        name = f"run-{level}-{self.made}"
-        self.made += 1
-        rows.sortWithinPartitions(*HASH).write.parquet(self.scratch.path(name))
+    def _save(self, rows: DataFrame, name: str, *by: str) -> DataFrame:
+        """A bucketed table in the shared folder; only its name is the catalogue's."""
+        out = rows.write.format("parquet").mode("overwrite").option("path", self.scratch.path(name)).bucketBy(self.buckets, *HASH).sortBy(*HASH)
+        (out.partitionBy(*by) if by else out).saveAsTable(f"{self.prefix}_{name}")
+        return self._read(name)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.prefix}_{name}")
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {self.prefix}_{name}")
+        self.scratch.drop(name)
+
+    def close(self) -> None:
+        for name in [*(n for level in self.levels for n in level), *self.again]:
+            self._drop(name)
+        self.levels, self.again = [], []
+
+    def _place(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             self.compact(level)
 
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*(self.scratch.path(n) for n in names))
-
     def compact(self, level: int) -> None:
-        """Merge all runs of a level into one of the next."""
+        """Put all runs of a level together as one of the next; they have no hash in common."""
         names, self.levels[level] = self.levels[level], []
-        self._run(self._read(names).groupBy(*HASH).agg(F.sum("n").alias("n")), level + 1)
+        merged = f"run_{level + 1}_{self.made}"
+        self._save(functools.reduce(DataFrame.unionByName, map(self._read, names)), merged)
         for name in names:
-            self.scratch.drop(name)
+            self._drop(name)
+        self._place(merged, level + 1)
 
-    def counts(self, docs: DataFrame, *by: str) -> DataFrame:
-        """Documents by line hash: a line counts once for each row of ``docs``, partial sums come before the shuffle."""
+    def counts(self, docs: DataFrame, batch: Column, batches: int) -> DataFrame:
+        """(batch, h1, h2, n): documents by line hash; a line counts once for each row of ``docs``.  Batches are counted side
+        by side, in one pass; partial sums come before the shuffle."""
         keys = F.filter(F.array_distinct(line_keys(F.col("text"))), lambda k: F.length(k) >= self.min_key)
-        return docs.select(*by, F.explode(keys).alias("key")).select(*by, *hashes(F.col("key"))).groupBy(*by, *HASH).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+        lines = docs.select(batch.alias("batch"), F.explode(keys).alias("key")).select("batch", *hashes(F.col("key")))
+        own = [F.sum((F.col("batch") == b).cast("long")).alias(f"n{b}") for b in range(batches)]
+        side = F.array(*(F.struct(F.lit(b).alias("batch"), F.col(f"n{b}").alias("n")) for b in range(batches)))
+        return lines.groupBy(*HASH).agg(*own).select(*HASH, F.inline(side)).where("n > 0")
 
     def add(self, docs: DataFrame) -> None:
-        self._run(self.counts(docs), 0)
+        self.add_batches(docs, F.lit(0), 1)
 
     def add_batches(self, docs: DataFrame, batch: Column, batches: int) -> None:
-        """Add ``batches`` batches (numbers from 0) in one pass over the documents, each as a run of its own."""
-        name = f"batches-{self.made}"
-        rows = self.counts(docs.select(batch.alias("batch"), "text"), "batch")
-        rows.sortWithinPartitions("batch", *HASH).write.partitionBy("batch").parquet(self.scratch.path(name))
-        self.levels = self.levels or [[]]
-        written = self.spark.read.schema("h1 long, h2 long, n long, batch int").parquet(self.scratch.path(name))
-        for b in sorted(r[0] for r in written.select("batch").distinct().collect()):  # at most ``batches`` numbers
-            self.levels[0].append(f"{name}/batch={b}")
-            if len(self.levels[0]) >= self.fanout:
-                self.compact(0)
+        """Count ``batches`` batches (numbers from 0) in one pass over the documents, then take them one after the other."""
+        name = f"counts_{self.made}"
+        self.made += 1
+        counts = self._save(self.counts(docs, batch, batches), name, "batch")
+        for b in range(batches):
+            self._take(counts.where(F.col("batch") == b).select(*HASH, "n"))
+        self._drop(name)
+
+    def _take(self, batch: DataFrame) -> None:
+        """Anti-join a batch with all runs; the rest is its run, and counts of what is in a run are set aside."""
+        fresh = batch
+        for run in [n for level in self.levels for n in level]:
+            fresh = fresh.join(self._read(run).select(*HASH).hint("merge"), HASH, "left_anti")
+        known = len(self.again) + sum(map(len, self.levels)) > 0
+        name = f"run_0_{self.made}"
+        self.made += 1
+        fresh = self._save(fresh, name)
+        if known:
+            self.again.append(f"again_{self.made}")
+            self._save(batch.join(fresh.select(*HASH).hint("merge"), HASH, "left_anti"), self.again[-1])
+            if len(self.again) >= self.fanout:
+                self._join_again()
+        self._place(name, 0)
+
+    def _join_again(self) -> None:
+        """One table of counts set aside instead of many."""
+        names, merged = self.again, f"again_{self.made}_sum"
+        self._save(self._aside(), merged)
+        for name in names:
+            self._drop(name)
+        self.again = [merged]
+
+    def _aside(self) -> DataFrame | None:
+        if not self.again:
+            return None
+        return functools.reduce(DataFrame.unionByName, map(self._read, self.again)).groupBy(*HASH).agg(F.sum("n").alias("n"))
 
     def all(self) -> DataFrame:
-        names = [n for level in self.levels for n in level]
+        """(h1, h2, n): every line hash so far, with the number of documents that hold it."""
+        names, aside = [n for level in self.levels for n in level], self._aside()
         if not names:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long")
-        found = self._read(names)
-        return found if len(names) == 1 else found.groupBy(*HASH).agg(F.sum("n").alias("n"))
+        runs = [self._read(n) for n in names]
+        if aside is not None:
+            aside = aside.withColumnRenamed("n", "more")
+            runs = [r.join(aside, HASH, "left").select(*HASH, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")) for r in runs]
+        return functools.reduce(DataFrame.unionByName, runs)
 
     def frequent(self, min_docs: int) -> DataFrame:
         return self.all().where(F.col("n") >= min_docs).select(*HASH)
@@ -113,9 +167,9 @@ def dedup_lines(
     scratch = Scratch(spark, "lines")
     runs = LineRuns(spark, scratch, fanout, min_key)
     runs.add_batches(docs, F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"), batches)
+    # what is frequent is known after the last batch only, and then goes from all of them
     frequent = scratch.keep(runs.frequent(min_docs), "frequent")
-    for name in [n for level in runs.levels for n in level]:
-        scratch.drop(name)
+    runs.close()
     n_frequent = frequent.count()
     mine = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*mine)
