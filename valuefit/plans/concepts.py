@@ -42,18 +42,18 @@ def sql_split(key: str) -> str:
 
 
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefix features: embeddings as vectors, y = label >= 5, 50 questions a thousand vectors or fewer, 5 answers each."""
+    """Prefix features: embeddings as vectors, y = label >= 5, ten vectors a question, in five answers."""
     e = table(spark, sf_dir, "embeddings")
-    q = F.col("vec_id") % 50
+    q = F.floor(F.col("vec_id") / 10)
     return e.select(
-        q.cast("string").alias("question"), (F.floor(F.col("vec_id") / 50) % 5).cast("int").alias("response"), F.col("vec_id").alias("position"),
+        q.cast("string").alias("question"), (F.col("vec_id") % 5).cast("int").alias("response"), F.col("vec_id").alias("position"),
         F.col("embedding").cast("array<double>").alias("x"), (F.col("label") >= 5).cast("double").alias("y"), split_of(q).alias("split"),
         (F.col("label") % 2).cast("string").alias("domain"),
     )
 
 
-SQL_PREFIXES = f"""p AS (SELECT (vec_id % 50)::VARCHAR AS question, ((vec_id // 50) % 5)::INTEGER AS response, vec_id AS position,
-  embedding::DOUBLE[] AS x, (label >= 5)::INTEGER::DOUBLE AS y, {sql_split("vec_id % 50")} AS split, (label % 2)::VARCHAR AS domain FROM embeddings)"""
+SQL_PREFIXES = f"""p AS (SELECT (vec_id // 10)::VARCHAR AS question, (vec_id % 5)::INTEGER AS response, vec_id AS position,
+  embedding::DOUBLE[] AS x, (label >= 5)::INTEGER::DOUBLE AS y, {sql_split("vec_id // 10")} AS split, (label % 2)::VARCHAR AS domain FROM embeddings)"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,26 +96,27 @@ SQL_EPISODES = """e AS (SELECT user_id AS question, user_id || '-' || event_type
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored answers of runs: method by priority, seed by customer, id by order, checkpoint by line number."""
+    """Scored answers of runs: method by priority, seed by customer, id by part, checkpoint by line number."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.substring("o_orderpriority", 1, 1).alias("method"), (F.col("o_custkey") % 3).cast("int").alias("seed"), (F.col("o_orderkey") % 200).alias("id"),
+        F.substring("o_orderpriority", 1, 1).alias("method"), (F.col("o_custkey") % 3).cast("int").alias("seed"), F.col("l_partkey").alias("id"),
         (F.col("l_quantity") > 25).cast("double").alias("score"), F.col("l_linenumber").cast("int").alias("step"), F.col("l_partkey").alias("response_tokens"),
         (F.col("l_tax") > 0.05).alias("capped"), F.col("l_discount").alias("fit_seconds"),
     )
 
 
-SQL_SCORES = """s AS (SELECT substr(o_orderpriority, 1, 1) AS method, (o_custkey % 3)::INTEGER AS seed, o_orderkey % 200 AS id,
+SQL_SCORES = """s AS (SELECT substr(o_orderpriority, 1, 1) AS method, (o_custkey % 3)::INTEGER AS seed, l_partkey AS id,
   (l_quantity > 25)::INTEGER::DOUBLE AS score, l_linenumber::INTEGER AS step, l_partkey AS response_tokens, l_tax > 0.05 AS capped,
   l_discount AS fit_seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 METHODS = ["1", "2", "3", "4", "5"]
 
 
 def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scheduler's export made of orders: tasks of array jobs, steps, and cancelled ranges."""
-    o = table(spark, sf_dir, "orders")
+    """A scheduler's export made of orders: tasks of array jobs of fifteen orders, steps, and cancelled ranges; every tenth
+    job never ran."""
+    o = table(spark, sf_dir, "orders").where("floor(o_orderkey / 15) % 10 <> 9")
     k = F.col("o_orderkey")
-    job = F.concat((k % 97).cast("string"), F.when(k % 5 == 0, ".batch").when(k % 11 == 0, "_[0-4]").otherwise(F.concat(F.lit("_"), k.cast("string"))))
+    job = F.concat(F.floor(k / 15).cast("string"), F.when(k % 5 == 0, ".batch").when(k % 11 == 0, "_[0-4]").otherwise(F.concat(F.lit("_"), k.cast("string"))))
     tres = F.when(k % 4 == 0, "cpu=8,gres/gpu=2,gres/gpu:a=1").when(k % 4 == 1, "cpu=4,gres/gpu:a=1,gres/gpu:b=2").when(k % 4 == 2, "cpu=4")
     return o.select(
         k.cast("string").alias("job_id_raw"), job.alias("job_id"), F.when(k % 11 == 0, "CANCELLED by 1").otherwise("COMPLETED").alias("state"),
@@ -125,20 +126,20 @@ def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_ACCOUNTING = """acc AS (SELECT o_orderkey::VARCHAR AS job_id_raw,
-  (o_orderkey % 97)::VARCHAR || CASE WHEN o_orderkey % 5 = 0 THEN '.batch' WHEN o_orderkey % 11 = 0 THEN '_[0-4]' ELSE '_' || o_orderkey END AS job_id,
+  (o_orderkey // 15)::VARCHAR || CASE WHEN o_orderkey % 5 = 0 THEN '.batch' WHEN o_orderkey % 11 = 0 THEN '_[0-4]' ELSE '_' || o_orderkey END AS job_id,
   CASE WHEN o_orderkey % 11 = 0 THEN 'CANCELLED by 1' ELSE 'COMPLETED' END AS state,
   CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE floor(o_totalprice) END::DOUBLE AS elapsed,
-  CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 8 END AS cpus, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS gpus FROM orders),
+  CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 8 END AS cpus, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS gpus FROM orders WHERE (o_orderkey // 15) % 10 <> 9),
 al AS (SELECT *, string_split(job_id, '_')[1] AS job, elapsed * gpus / 3600 AS gpu_hours, elapsed * cpus / 3600 AS cpu_hours FROM acc
   WHERE regexp_full_match(job_id, '[0-9]+(_[0-9]+)?') OR (regexp_full_match(job_id, '[0-9]+_\\[[0-9,%-]+\\]') AND starts_with(state, 'CANCELLED') AND elapsed = 0))"""
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs 0 to 109 of two studies; jobs from 97 on never ran."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 110).alias("j")).distinct()
+    """The jobs of two studies, one for fifteen orders."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 15).alias("j")).distinct()
     stage = F.when(F.col("j") % 3 == 0, "generate").when(F.col("j") % 3 == 1, "fit").otherwise("evaluate")
     return o.select(F.concat(F.lit("s"), F.col("j") % 2).alias("study"), stage.alias("stage"), F.col("j").cast("string").alias("job"))
 
 
 SQL_LEDGER = """led AS (SELECT DISTINCT 's' || (j % 2) AS study, CASE j % 3 WHEN 0 THEN 'generate' WHEN 1 THEN 'fit' ELSE 'evaluate' END AS stage, j::VARCHAR AS job
-  FROM (SELECT o_orderkey % 110 AS j FROM orders))"""
+  FROM (SELECT o_orderkey // 15 AS j FROM orders))"""
