@@ -355,3 +355,12 @@ def test_ill_conditioned_systems(spark):
     assert {(r["run"], r["fold"]): r["ok"] for r in heads.audit_heads(frame).collect()} == {
         ("two", 0): True, ("two", 1): True, ("one", 0): True, ("same", 0): False, ("same", 1): False, ("none", 0): False, ("off", 0): False, ("short", 0): False,
     }
+
+
+def test_reasons_alone_equal_reasons_in_rows(spark):
+    rows = [(i, f"f{i % 7}" if i % 11 else None, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_index long, family string, n int")
+    early, late = {"zero": F.col("n") == 0, "null": F.when(F.col("n") == 9, F.lit(True))}, {"four": F.col("n") == 4}
+    whole = {r["source_index"]: r["reason"] for r in curate.select_eligible(df, early, late).collect()}
+    assert {r["source_index"]: r["reason"] for r in curate.eligible_reasons(df, early, late).collect()} == whole
+    assert {"zero", "duplicate_family", None} <= set(whole.values())

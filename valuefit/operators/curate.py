@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from valuefit.functions import text as t
+from valuefit.sources.scratch import shared_folder
 
 
 def no(c: Column) -> Column:
@@ -108,6 +109,20 @@ def select_eligible(df: DataFrame, early: dict[str, Column], late: dict[str, Col
     return marked.withColumn("reason", reason).drop("duplicate", "first_index")
 
 
+def eligible_reasons(df: DataFrame, early: dict[str, Column], late: dict[str, Column], label: str = "duplicate_family", index: str = "source_index") -> DataFrame:
+    """P8 and D1 for callers who need only (index, reason): each text is read and judged once.
+
+    Index, hash of the family and the two reasons are written to the shared folder; families then meet in that narrow
+    table, so no text is shuffled and no check is made twice.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "reasons")
+    judged = df.select(F.col(index).alias("_index"), F.sha2("family", 256).alias("family"), first_reason(*early.items()).alias("_early"), first_reason(*late.items()).alias("_late"))
+    judged.write.parquet(path)
+    marked = mark_duplicates(spark.read.parquet(path), F.col("_early").isNull() & F.col("_late").isNull(), "_index")
+    return marked.select(F.col("_index").alias(index), F.coalesce("_early", F.when(F.col("duplicate"), F.lit(label)), "_late").alias("reason"))
+
+
 def prepare_questions(df: DataFrame, max_prompt: int, max_new: int, max_context: int, solution: str | None = None) -> DataFrame:
     """The general path: rows (source_index, question, answer, n_tokens[, solution]) with ``family``, ``number``, ``reason``."""
     df = df.withColumn("family", t.family_key("question")).withColumn("number", t.parse_number(F.col("answer")))

@@ -170,8 +170,11 @@ def isotropic_normalization(df: DataFrame, x: str = "x") -> tuple[np.ndarray, fl
 
 
 def gram_entries(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """A5 for short vectors, in SQL terms: (i, j, a) with j = -1 for b."""
-    phi = F.concat(F.col(x).cast("array<double>"), F.array(F.lit(1.0)))
-    rows = df.select(phi.alias("p"), F.concat(phi, F.array(F.col(y).cast("double"))).alias("q"))
-    pairs = rows.select("q", F.posexplode("p").alias("i", "pi")).select("i", "pi", F.posexplode("q").alias("j", "qj"))
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("pi") * F.col("qj")).alias("a"))
+    """A5 as entries (i, j, a) of A, and of b with j behind A's last column: the partials' sum, opened once it is one row."""
+    w, k = F.col("w"), F.col("k")
+    total = add_partials(ridge_partials(df, x=x, y=y)).select(((F.sqrt(1 + 4 * F.size("v")) - 1) / 2).cast("int").alias("w"), "v")
+    entries = total.select("w", F.posexplode("v").alias("k", "a"))
+    inside = k < w * w
+    return entries.select(
+        F.when(inside, F.floor(k / w)).otherwise(k - w * w).cast("int").alias("i"), F.when(inside, k % w).otherwise(w).cast("int").alias("j"), "a"
+    )

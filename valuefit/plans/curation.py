@@ -15,11 +15,6 @@ EARLY = {"empty_question": lambda: curate.blank(F.col("question")), "diagram": l
 LATE = {"prompt_length": lambda: curate.prompt_too_long(F.col("n_tokens"), 400), "native_context": lambda: curate.context_too_long(F.col("n_tokens"), 300, 640)}
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions(spark, sf_dir)
-    return curate.select_eligible(q, {k: c() for k, c in EARLY.items()}, {k: c() for k, c in LATE.items()})
-
-
 SQL_EARLY = r"""CASE WHEN NOT regexp_matches(question, '\S') THEN 'empty_question'
   WHEN regexp_matches(question, '(?i)!\[|https?://|\[asy\]|\\includegraphics|<img|\bdiagram\b|\bfigure\b') THEN 'diagram'
   WHEN regexp_matches(question, '(?i)(?:find|enter|give|list|determine)\s+all\s+(?:the\s+)?(?:possible\s+)?(?:values|solutions|roots)|separated\s+by\s+commas') THEN 'multiple_answers' END"""
@@ -31,7 +26,9 @@ m AS (SELECT e.*, CASE WHEN early IS NOT NULL THEN early WHEN source_index > fir
 
 
 def first_reason_counts(spark, sf_dir):
-    return _marked(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+    q = questions(spark, sf_dir)
+    marked = curate.eligible_reasons(q, {k: c() for k, c in EARLY.items()}, {k: c() for k, c in LATE.items()})
+    return marked.groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def family_dedup(spark, sf_dir):
