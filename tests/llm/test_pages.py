@@ -34,6 +34,8 @@ def bodies():
     yield f"<article><p><b>un<br>closed &amp; <i title='a > b'>sp&eacute;cial</i>&nbsp;&#x41;&lt;\n\t tag&gt;<p>{LONG}<span class=ad>Buy <span>me</span> now</span>.</article>", ["un closed & spécial A< tag>", LONG + "."]
     yield f"<div class='ad'>open<article>{p}</article></div>", [LONG]
     yield f"{LONG}<br>{LONG}", [f"{LONG} {LONG}"]
+    yield f'<div class="layout-with-sidebar"><div class="sidebarLayout"><main class="comment-free">{p}</main><div class="sidebar">{p}</div></div></div>', [LONG]
+    yield f'<nav><main>{p}{p}</main></nav><div class="x">{p}</div>', [LONG]
 
 
 @pytest.mark.parametrize("body,want", list(bodies()))

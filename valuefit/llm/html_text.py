@@ -66,21 +66,20 @@ SHARES = (1.0, 1 / 2, 1 / 6)
 LEAST = 4.0
 
 
-def hints(attributes: str) -> tuple[bool, bool, bool]:
-    """(out, out even as an article or around one, named like an article)."""
-    out = lasting = good = False
+def hints(attributes: str) -> tuple[int, bool]:
+    """(how far an element is left out, as in ``Page.state``; whether it is named like an article)."""
+    state, good = 0, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and INVISIBLE.search(value):
-            out = lasting = True
+            state = 3
         elif name in ("class", "id", "role"):
             for label in value.split():
                 found = [x.lower() for x in HINT.findall(label)]
-                if found and found[0] not in NOT_THIS:
-                    kept = LASTING.intersection(found)
-                    out, lasting = out or bool(kept) or not PASSING.isdisjoint(found), lasting or bool(kept)
+                if NOT_THIS.isdisjoint(found):
+                    state = max(state, 2 if not LASTING.isdisjoint(found) else 1 if not PASSING.isdisjoint(found) else 0)
                     good = good or not GOOD.isdisjoint(found)
-    return out, lasting, good
+    return state, good
 
 
 class Page:
@@ -89,7 +88,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.last, self.good, self.links = ["html"], [-1], [0], [False], [0]
-        self.state = [0]  # of a node: 0 is text, 1 is left out but for an article inside, 2 is left out
+        self.state = [0]  # of a node: 0 is text; left out: 1 but for an article or main inside, 2 but for a main, 3 whatever is inside
         self.runs: list[tuple[int, str, int]] = []
         self.stack, self.at, self.fences = [0], {}, [0]
         self.pieces: list[str] = []
@@ -186,15 +185,13 @@ class Page:
         if tag in VOID:
             return
         state, good = self.state[top], False
-        if state < 2 and tag in GONE:
-            state = 2
-        elif attributes and state < 2 and not self.in_pre:
-            out, lasting, good = hints(attributes)
-            if tag in ("html", "body", "main"):
-                out = lasting = False
-            state = 2 if lasting else max(state, 1) if out and tag != "article" else state
-        if state == 1 and tag in ("article", "main") and not self.open("article"):
+        if tag in GONE:
+            state = 3
+        elif tag == "main" and state < 3 or tag == "article" and state < 2 and not self.open("article"):
             state = 0
+        if attributes and state < 3 and not self.in_pre and tag not in ("html", "body", "main"):
+            own, good = hints(attributes)
+            state = max(state, own if own != 1 or tag != "article" else 0)
         # an inline element is a node only where it is left out, and then so are those of its name inside it
         if tag in BLOCKS or state > self.state[top] or self.tag[top] == tag:
             self.push(tag, state, good)
