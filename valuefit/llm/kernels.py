@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return next(iter(_cache.values()))
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on between tasks, and an executor's memory is one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows of about ``most`` bytes; a null text has no bytes."""
     if isinstance(texts, pa.ChunkedArray):
@@ -74,6 +83,8 @@ def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
         last = min(max(last, first + 1), len(texts))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    del texts, offsets, data
+    release()
 
 
 #: bytes whose words are hashed at a time, so that a very long text needs no more memory for it than a short one

@@ -24,7 +24,7 @@ from .kernels import NOT_SPACE, U, Words, chunks, mix
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
 #: shingles whose ranks are held at a time
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 _RANK = U(64 - SLOTS.bit_length() + 1)  # bits of r below those of j
 
 
