@@ -42,7 +42,7 @@ START = U(0x2545F4914F6CDD1D)
 WINDOW, TOP = 8, (2, 3)
 FEATURES = 2 + len(TOP)
 #: rows of the memory-bounded tables of partial counts, bytes of text of a lot, bytes of a row of ratios
-WORD_ROWS, PAIR_ROWS, LOT, RATIO_BYTES, SALTS = 1 << 19, 1 << 17, 1 << 24, 16, 8
+WORD_ROWS, PAIR_ROWS, LOT, RATIO_BYTES = 1 << 19, 1 << 17, 1 << 24, 16
 
 
 def keys_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,8 @@ def ratios(
     known = scratch.keep(shared.where(F.col("n") >= 2 * both).select(F.col("a").alias("v"), F.lit(True).alias("known")), "known")
     train = docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id").select("text", "toxic")
     pairs = train.mapInArrow(_count_pairs, "v long, w long, n0 long, n1 long")
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition("w", "salt").groupBy("w", "salt", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    salts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a hot second word may fill all tasks, however many
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts))).repartition("w", "salt").groupBy("w", "salt", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     pairs = pairs.join(maybe_broadcast(known, known.count(), 2_000_000), "v", "left")
     row = lambda kind, a, b, *x: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), *(v.cast("long").alias(n) for v, n in zip(x, ("x0", "x1", "d0", "d1"))))
     none, n = F.lit(0).cast("long"), [F.col("n0"), F.col("n1")]
