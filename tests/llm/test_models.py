@@ -509,3 +509,30 @@ def test_long_texts_in_parts():
         data = rng.choice(np.frombuffer(b"abc \xc3\xa9", np.uint8), n)
         whole = quality.forward(quality.Steps(data, np.array([0, n])), p)[4][0]
         assert all(quality.forward_long(data, p, k) == pytest.approx(whole, abs=1e-4) for k in (1, 3, 1000))
+
+
+def plain_forward(text, p):
+    """The quality network by loops over bytes, steps and chunks."""
+    b, n = list(text), max(-(-len(text) // 8), 1)
+    at = lambda j: b[j] if 0 <= j < len(b) else 0
+
+    def step(s):
+        own = range(8 * s, 8 * s + 8)
+        letters = np.concatenate([p["e"][at(j)] for j in own])
+        repeats = [sum(at(j) != 0 and at(j) == at(j - lag) for j in own) / 8 for lag in range(2, 26)]
+        return np.concatenate([letters, repeats])
+
+    x = [step(s) for s in range(n + 3)]
+    z = [np.maximum(sum(x[s + t] @ p["w"][t].astype(float) for t in range(4)) + p["b"], 0) for s in range(n)]
+    tops = [np.max(z[c : c + 64], axis=0) for c in range(0, n, 64)]
+    logit = np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0)]) @ p["v"] + p["c"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_network_by_plain_loops():
+    rng = random.Random(7)
+    p = quality.start(3)
+    texts = [b"", b"a", b"abababab" * 9, "é日本 text, ".encode() * 70, bytes(rng.randrange(1, 256) for _ in range(1300)), b"x" * 511, b"\x00y\x00" * 20]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [plain_forward(t, p) for t in texts]
+    assert np.allclose(quality.predict(data, offsets, p), want, atol=1e-5) and len({round(w, 4) for w in want}) == len(want)
