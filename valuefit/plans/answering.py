@@ -35,6 +35,11 @@ def prompt_struct(spark, sf_dir):
     return rows.select(F.col("extra_info.prompt_id").alias("id"), F.size("prompt").alias("messages"), F.get("prompt", F.lit(1))["content"].alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"), good.alias("ok"))
 
 
+def completion_prompts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", t.completion_prompt(F.col("text"), "Think, then answer.").alias("prompt"))
+
+
 def after_marker(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     text = F.concat("role", F.when(F.col("turn") % 3 == 0, " #### 4").when(F.col("turn") % 3 == 1, " #### 5 #### 6").otherwise(" none"), F.col("turn").cast("string"))
@@ -131,6 +136,7 @@ SQL = {
   WHEN 3 THEN NULL WHEN 4 THEN '0' ELSE '0.' || regexp_replace(o_orderkey::VARCHAR, '0+$', '') END AS number FROM orders""",
     "tres_gpu_count": "SELECT o_orderkey, (CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 7 WHEN 1 THEN o_orderkey % 4 + o_orderkey % 5 ELSE 0 END)::INTEGER AS gpus FROM orders",
     "prompt_struct": "SELECT item_id::VARCHAR AS id, 2 AS messages, text AS content, '7' AS ground_truth, true AS ok FROM benchmark",
+    "completion_prompts": """SELECT item_id, 'Think, then answer.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM benchmark""",
     "after_marker": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '4' || turn END AS answer FROM conversations",
     "capped_flag": """WITH t AS (SELECT event_id, list_transform(generate_series(1, event_id % 6 + 1), lambda i: (event_id * i) % 5) AS k FROM events)
 SELECT event_id, len(k) = 6 AND k[-1] <> 0 AS capped, (CASE WHEN list_contains(k, 0) THEN list_position(k, 0) ELSE len(k) END)::INTEGER AS cut FROM t""",
@@ -160,6 +166,6 @@ SELECT domain, split, budget, count(*) AS questions, {SUMS} FROM r JOIN (VALUES
     "json_fields": "SELECT event_type, count(json_extract_string(props, '$.k')) AS with_k, count(*) AS n_rows, round(avg(length(props)), 6) AS mean_length FROM events GROUP BY 1",
 }
 QUERIES = {f.__name__: f for f in (
-    parse_number_canonical, tres_gpu_count, prompt_struct, after_marker, capped_flag, status_score_policy, grade_numbers, boxed_references, retained_answers, prefix_explode,
+    parse_number_canonical, tres_gpu_count, prompt_struct, completion_prompts, after_marker, capped_flag, status_score_policy, grade_numbers, boxed_references, retained_answers, prefix_explode,
     prefix_sample_hash, question_usage, token_usage, status_counts, completeness_check, subset_usage, prompt_limits, json_fields,
 )}

@@ -208,6 +208,14 @@ def representation_arms(spark, sf_dir):
 STUDY = {"budgets": [4, 8, 14], "seeds": [42, 43]}
 
 
+def layer_concat(spark, sf_dir):
+    """The layers at distances 1, 2 and 4 from the end of eight, the last one first, as one vector."""
+    p, chosen = prefixes(spark, sf_dir), v.select_layers(8, 2, 3)
+    layers = p.select("position", *(v.layer_slice(F.col("x"), 8 * i, 8).alias(f"layer{i}") for i in range(8)))
+    out = v.concat_layers(layers, [f"layer{i}" for i in chosen])
+    return out.select("position", F.posexplode("x").alias("i", "c")).select("position", "i", r6("c").alias("c"))
+
+
 def learning_study(spark, sf_dir):
     """Penalty, validation score and test metrics of heads for budgets x arms x domains x seeds."""
     p, arms = prefixes(spark, sf_dir), v.representations(16)
@@ -320,6 +328,8 @@ SELECT count(*) AS prefixes, count(DISTINCT question) AS questions, round(avg((v
     "combined_features": f"WITH {SQL_PREFIXES} SELECT position, 8 AS width, round(list_sum(x[1:4]) + list_sum(x[61:64]), 6) AS total FROM p",
     "feature_guard": f"WITH {SQL_PREFIXES} SELECT split, position % 10 > 1 AS ok, count(*) AS n_rows FROM p GROUP BY 1, 2",
 }
+SQL["layer_concat"] = f"""WITH {SQL_PREFIXES}, c AS (SELECT position, list_concat(list_concat(x[57:64], x[49:56]), x[33:40]) AS x FROM p)
+SELECT position, i::INTEGER AS i, round(x[i + 1], 6) AS c FROM c, generate_series(0, 23) g(i)"""
 SQL["locked_study"] = f"""WITH st AS ({SQL["learning_study"]})
 SELECT domain, arm, budget, count(*) AS seeds, round(avg(val_brier), 6) AS val_brier, round(avg(question_brier), 6) AS question_brier, round(avg(log10(epsilon)), 6) AS log_epsilon FROM st GROUP BY ALL""".replace(
     " round(score, 6) AS val_brier", " score AS val_brier").replace("round(question_brier, 6) AS question_brier, round(question_clipped_brier", "question_brier, round(question_clipped_brier")
@@ -327,5 +337,5 @@ QUERIES = {f.__name__: f for f in (
     ridge_value_by_split, rms_normalize, layernorm, isotropic_stats, gram_entries, gram_partials, lstd_entries, out_of_fold_predict, ridge_grid_select, spectral_vs_direct,
     budget_curves, system_conditioning, head_audit, question_brier, prefix_metrics, ece_10, constant_baseline, majority_accuracy, calibrated_metrics, feature_pairing,
     combined_features, feature_guard, compressor_fit, mlp_fit, joint_mlp_fit, transfer_study,
-    representation_arms, learning_study, locked_study,
+    representation_arms, learning_study, locked_study, layer_concat,
 )}
