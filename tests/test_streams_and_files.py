@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from valuefit.operators import heads, ledger, neural, stats
 from valuefit.sources import schemas, tables
 from valuefit.sources.scratch import shared_folder
-from valuefit.streaming.cumulative import CumulativeHead, replay, write_step
+from valuefit.streaming.cumulative import CumulativeHead, replay, write_step, write_steps
 
 
 def updates(spark, step, n=8, width=2, seed=0):
@@ -97,6 +97,41 @@ def test_an_epoch_starts_its_ledger_anew(spark, tmp_path):
     assert log == {1: (8, 0), 2: (8, 8), 3: (8, 0)}
 
 
+def test_waiting_steps_are_added_together(spark, tmp_path, monkeypatch):
+    """Answers come again in the next step; statistics start anew after two steps; the fourth step is in the second group."""
+    every = updates(spark, 1)
+    for s in (2, 3, 4):
+        every = every.unionByName(updates(spark, s, n=4)).unionByName(updates(spark, s - 1, n=4).withColumn("step", F.lit(s)))
+    folds = spark.createDataFrame([(str(i), i % 2) for i in range(4)], "id string, fold int")
+    make = lambda name: CumulativeHead(spark, str(tmp_path / name), decay=0.9, interval=2, folds=folds, order="predict_first", by_answer=True, group=3)
+    one, many = make("one"), make("many")
+    for s in (1, 2, 3, 4):
+        one.update(every.where(F.col("step") == s), s)
+    write_steps(every, str(tmp_path / "in"))
+    groups, whole = [], CumulativeHead.update_many
+    monkeypatch.setattr(CumulativeHead, "update_many", lambda self, batch, steps, *a: groups.append(steps) or whole(self, batch, steps, *a))
+    log = replay(every, many, str(tmp_path / "in"), str(tmp_path / "checkpoint"))
+    assert groups == [[1, 2, 3], [4]]
+    columns = ["step", "epoch", "transitions", "answers", "repeated", "prefixes", "questions", "brier"]
+    rows = lambda df, *c: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*c).collect())
+    assert rows(log, *columns) == rows(spark.read.parquet(f"{one.path}/metrics"), *columns) and {r["repeated"] for r in log.collect()} == {0, 4}
+    values = ["step", "answer_id", "position", "fold", "value"]
+    assert rows(spark.read.parquet(f"{many.path}/values"), *values) == rows(spark.read.parquet(f"{one.path}/values"), *values)
+    for k, s in one.load(4).items():
+        assert np.allclose(s["a"], many.load(4)[k]["a"]) and np.allclose(s["w"], many.load(4)[k]["w"]) and s["n"] == many.load(4)[k]["n"]
+
+
+def test_steps_before_a_wrong_one_are_added(spark, tmp_path):
+    head = CumulativeHead(spark, str(tmp_path / "h"), by_answer=True)
+    changed = updates(spark, 1, n=2).withColumns({"step": F.lit(2), "x": F.transform("x", lambda v: v + 1)})
+    with pytest.raises(ValueError, match="2 answers have changed .*1-0"):
+        head.update_many(updates(spark, 1).unionByName(changed), [1, 2])
+    assert head.last_step() == 1
+    with pytest.raises(ValueError, match="consecutive: 4 after 2"):
+        head.update_many(updates(spark, 2).unionByName(updates(spark, 4)), [2, 4])
+    assert head.last_step() == 2 and head.load(2)[""]["answers"] == 16
+
+
 def test_scratch_needs_a_shared_folder(spark):
     class Context:
         master = "yarn"

@@ -8,7 +8,7 @@ from valuefit.plans import concepts as c
 from valuefit.plans import solving
 from valuefit.plans.concepts import SQL_EPISODES, r6
 from valuefit.sources.scratch import shared_folder
-from valuefit.streaming.cumulative import CumulativeHead, replay, write_step
+from valuefit.streaming.cumulative import CumulativeHead, replay, write_steps
 
 #: questions of an update, so that the number of updates grows with the table
 PER_STEP = 50
@@ -29,10 +29,7 @@ def _replayed(spark, u, again=None, **settings):
     root = shared_folder(spark, "stream")
     u = u.persist()
     try:
-        steps = [r["step"] for r in u.select("step").distinct().orderBy("step").collect()]
-        for step in steps:
-            rows = u.where(F.col("step") == step)
-            write_step(rows if again is None else rows.unionByName(again.where(F.col("step") == step)), f"{root}/in", step)
+        write_steps(u if again is None else u.unionByName(again), f"{root}/in")
         folds = None
         if settings.pop("folds", False):
             folds = u.select(F.col("question_id").alias("id"), (F.col("question_id").cast("int") % 2).cast("int").alias("fold")).distinct()
@@ -43,7 +40,8 @@ def _replayed(spark, u, again=None, **settings):
 
 
 def _log(out, *more):
-    return out.select("step", "transitions", "answers", "prefixes", "questions", *more, *(r6(m).alias(m) for m in (*METRICS, "residual")), F.round("effective", 9).alias("effective"))
+    whole = lambda *names: (F.col(n).cast("int").alias(n) for n in names)
+    return out.select("step", *whole("transitions", "answers"), "prefixes", "questions", *whole(*more), *(r6(m).alias(m) for m in (*METRICS, "residual")), F.round("effective", 9).alias("effective"))
 
 
 def cumulative_stream_replay(spark, sf_dir):

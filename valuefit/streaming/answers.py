@@ -6,14 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 RUN = "key string, content string, bucket int"
 
 
-def answer_contents(batch: DataFrame) -> DataFrame:
-    """(key, content) of each answer of long rows: a hash of its rows that does not depend on their order."""
+def answer_contents(batch: DataFrame, *by: str) -> DataFrame:
+    """(by, key, content) of each answer of long rows: a hash of its rows that does not depend on their order."""
     row = F.xxhash64("answer_id", "question_id", "position", "x", F.col("reward").cast("double"))
-    return batch.groupBy(F.col("answer_id").cast("string").alias("key")).agg(
+    return batch.groupBy(*by, F.col("answer_id").cast("string").alias("key")).agg(
         F.concat_ws("/", F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(row, "x"))).alias("content")
     )
 
@@ -45,13 +46,19 @@ class AnswerLedger:
             out = out.unionByName(self.spark.read.schema(RUN).parquet(f"{self.path}/{run}"))
         return out
 
-    def judged(self, answers: DataFrame, runs: list[str], rows: int) -> DataFrame:
-        """``answers`` (key, content) with ``state``: new, repeated (same content) or changed."""
+    def judged(self, answers: DataFrame, runs: list[str], rows: int, epoch: int = 0) -> DataFrame:
+        """``answers`` (step, epoch, key, content) with ``state``: new, repeated (same content) or changed.
+
+        What a key is compared with is in the runs, which are of ``epoch``, or else the first of its epoch's steps here.
+        """
         mine = self._bucketed(answers)
         side = F.broadcast(mine) if rows <= self.broadcast_rows else mine
         known = self._read(runs).withColumnRenamed("content", "old").join(side.select("bucket", "key"), ["bucket", "key"], "left_semi")
-        state = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("content"), "repeated").otherwise("changed")
-        return mine.join(known, ["bucket", "key"], "left").select("key", "content", state.alias("state"))
+        first = F.first(F.struct("step", "content")).over(W.partitionBy("epoch", "key").orderBy("step"))  # a row a step
+        both = mine.join(known, ["bucket", "key"], "left").withColumns({"first": first, "old": F.when(F.col("epoch") == epoch, F.col("old"))})
+        new = F.col("old").isNull() & (F.col("step") == F.col("first.step"))
+        state = F.when(new, "new").when(F.coalesce("old", "first.content") == F.col("content"), "repeated").otherwise("changed")
+        return both.select("step", "epoch", "key", "content", state.alias("state"))
 
     def add(self, answers: DataFrame, runs: list[str], step: int) -> tuple[list[str], list[str]]:
         """Write ``answers`` as a run and merge levels that are full: the names of the runs that count from now on, and of

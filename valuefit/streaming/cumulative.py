@@ -1,19 +1,23 @@
 """A linear head that keeps only statistics over consecutive update batches.
 
-State is one small row a fold, written as a new version for each step; a ledger row commits the version, so a failed
-batch leaves nothing half-written and a replayed one changes nothing.
+State is one small row a fold, written as a new version; a ledger row a step commits it, so a failed batch leaves nothing
+half-written and a replayed one changes nothing.  Steps that wait are added together: their statistics are summed by step in
+one pass, running sums and heads follow from these on the driver, and all values come from a second pass, so that the number
+of jobs grows with the groups of ``group`` steps and not with the steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valuefit.functions.vectors import predict_many
+from valuefit.functions.vectors import predict
 from valuefit.operators import heads, stats
 from valuefit.operators.metrics import prediction_metrics
 from valuefit.operators.prefixes import reward_problems
@@ -33,6 +37,8 @@ class CumulativeHead:
     ``by_answer``: a ledger of all answers so far says which of a batch's answers are new.  Only those are added; answers
     that come again with the same rows get their values and count as ``repeated``, one that has changed is an error and
     leaves all as it was (T4).  The ledger starts anew with the statistics.
+
+    ``group``: at most so many steps are added together; the driver holds their heads, and one running sum.
     """
 
     spark: SparkSession
@@ -44,6 +50,7 @@ class CumulativeHead:
     order: str = "fit_first"
     keep: int = 3
     by_answer: bool = False
+    group: int = 512
     state: dict[str, dict] = field(default_factory=dict)
 
     @property
@@ -59,11 +66,11 @@ class CumulativeHead:
         return self.spark.read.schema(LEDGER).json(f"{self.path}/ledger") if self._exists(f"{self.path}/ledger") else self.spark.createDataFrame([], LEDGER)
 
     @staticmethod
-    def _content(batch: DataFrame) -> tuple[int, str]:
-        """A batch's rows and a hash of them that does not depend on their order or partitions."""
+    def _contents(batch: DataFrame) -> dict[int, tuple]:
+        """{step: rows, a hash of them that does not depend on their order or partitions, least and largest width}."""
         row = F.xxhash64("answer_id", "question_id", "position", "x", F.col("reward").cast("double"))
-        n, total = batch.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first()
-        return n, str(total or 0)
+        found = batch.groupBy("step").agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.min(F.size("x")), F.max(F.size("x"))).collect()
+        return {r[0]: (r[1], str(r[2] or 0), r[3], r[4]) for r in found}
 
     def last_step(self) -> int:
         return self._ledger().agg(F.max("step")).first()[0] or 0
@@ -82,108 +89,185 @@ class CumulativeHead:
         return (step - 1) // self.interval if self.interval else 0
 
     def _rows(self, batch: DataFrame) -> DataFrame:
-        """x, y (the answer's outcome), position, answer and fold.  Answers are bounded, so their outcome is a join of
+        """step, x, y (the answer's outcome), position, answer and fold.  Answers are bounded, so their outcome is a join of
         their last rows."""
-        outcome = batch.groupBy("answer_id").agg(F.max_by("reward", "position").alias("y"))
+        outcome = batch.groupBy("step", "answer_id").agg(F.max_by("reward", "position").alias("y"))
         kept = ["fresh"] if "fresh" in batch.columns else []
-        rows = batch.join(outcome, "answer_id").select("answer_id", F.col("question_id").alias("question"), "position", "x", F.col("y").cast("double").alias("y"), *kept)
+        rows = batch.join(outcome, ["step", "answer_id"]).select("step", "answer_id", F.col("question_id").alias("question"), "position", "x", F.col("y").cast("double").alias("y"), *kept)
         if self.folds is None:
             return rows.withColumn("fold", F.lit(0))
         return rows.join(self.folds.select(F.col("id").alias("question"), "fold"), "question")
 
-    def _added(self, now: dict, rows: DataFrame) -> dict:
-        """The statistics with new rows, and the heads that they give."""
-        key = None if self.folds is None else "fold"
-        new = stats.collect_statistics(stats.lstd_partials(rows, self.decay, key, ["question", "answer_id"]))
+    def _statistics(self, rows: DataFrame, n: int) -> Iterator[tuple[int, dict[str, dict]]]:
+        """Each step's own statistics by fold, in the order of the steps; steps without rows are left out."""
+        fold = F.lit("") if self.folds is None else F.col("fold").cast("string")
+        lots = max(8, min(256, n // 50_000))
+        keyed = rows.withColumn("_key", F.concat_ws(":", F.format_string("%012d", "step"), fold))
+        partials = stats.lstd_partials(keyed, self.decay, "_key", ["step", "question", "answer_id"], lots)
+        found = stats.add_partials(partials, lots=lots).orderBy("key")
+        for step, some in groupby(stats.each_statistics(found), lambda kv: int(kv[0].split(":")[0])):
+            yield step, {k.split(":")[1]: s for k, s in some}
+
+    def _added(self, now: dict, new: dict[str, dict]) -> dict:
+        """The statistics with those of new rows, and the heads that they give."""
         out = dict(now)
         for k, s in new.items():
             if k in out and len(out[k]["b"]) != len(s["b"]):
                 raise ValueError("the features' width changed without a new epoch")
             old = out.get(k, {"a": 0, "b": 0, "n": 0, "answers": 0})
             out[k] = {"a": old["a"] + s["a"], "b": old["b"] + s["b"], "n": old["n"] + s["n"], "answers": old["answers"] + s["answers"]}
-        for s in out.values():
-            s["w"] = heads.fit_system(s["a"], s["b"], self.epsilon)
-            s["residual"] = heads.relative_residual(s["a"] + self.epsilon * np.eye(len(s["b"])), s["w"], s["b"])
+        for k, s in out.items():
+            out[k] = {**s, "w": heads.fit_system(s["a"], s["b"], self.epsilon)}
+            out[k]["residual"] = heads.relative_residual(s["a"] + self.epsilon * np.eye(len(s["b"])), out[k]["w"], s["b"])
         return out
 
-    def _values(self, rows: DataFrame, now: dict) -> DataFrame:
-        weights = {k: s["w"] for k, s in now.items()}
-        if not weights:
-            return rows.withColumn("value", F.lit(0.0))
-        if self.folds is not None:
-            return heads.out_of_fold(rows, weights)
-        return predict_many(rows, weights[""]).withColumn("value", F.get("values", F.lit(0))).drop("values")
-
-    def _fresh(self, batch: DataFrame, runs: list[str]) -> tuple[DataFrame, DataFrame, int]:
-        """The batch with ``fresh`` (the answer is new), its answers as the ledger judges them, and how many are repeated."""
-        contents = answer_contents(batch).persist()
-        try:
-            judged = self.answers.judged(contents, runs, contents.count()).persist()
-            counts = {r["state"]: r["count"] for r in judged.groupBy("state").count().collect()}
-        finally:
-            contents.unpersist()
-        if counts.get("changed"):
-            some = [r["key"] for r in judged.where("state = 'changed'").orderBy("key").limit(5).collect()]
-            judged.unpersist()
-            raise ValueError(f"{counts['changed']} answers have changed since they were added: {', '.join(some)}")
-        marked = batch.join(judged.select(F.col("key").alias("answer_id"), (F.col("state") == "new").alias("fresh")), "answer_id")
-        return marked, judged, counts.get("repeated", 0)
+    def _values(self, rows: DataFrame, weights: dict[int, dict[str, list[float]]]) -> DataFrame:
+        """``value`` by the heads of each step: 0 where a step has none, null where only the fold's is not there."""
+        table = self.spark.createDataFrame(list(weights.items()), "step int, _heads map<string, array<double>>")
+        key = F.lit("") if self.folds is None else (1 - F.col("fold")).cast("string")
+        value = F.when(F.size("_heads") == 0, F.lit(0.0)).otherwise(predict(F.col("x"), F.col("_heads")[key]))
+        return rows.join(F.broadcast(table), "step").withColumn("value", value).drop("_heads")
 
     def update(self, batch: DataFrame, step: int, feature_epoch: int | None = None) -> DataFrame | None:
         """Add one batch, a whole step, and give its values; None if the step was committed before with the same rows.
 
         Other rows for a committed step are an error: part of a step never counts as the step.
         """
-        known = self._ledger().where(F.col("step") == step).first()
-        content = self._content(batch)
-        if known is not None:
-            if (known["rows"], known["content"]) != content:
-                raise ValueError(f"step {step} was committed with other rows")
-            return None
+        return self.update_many(batch.withColumn("step", F.lit(step)), [step], feature_epoch)
+
+    def update_many(self, batch: DataFrame, steps: list[int], feature_epoch: int | None = None) -> DataFrame | None:
+        """Add whole steps, as if one came after the other, and give the values of those that were not there before.
+
+        If a step is not as it should be, those before it are added and then it is an error.
+        """
+        ledger = self._ledger()
+        known = {r["step"]: (r["rows"], r["content"]) for r in ledger.where(F.col("step").between(min(steps), max(steps))).collect()}
+        contents, last, todo, problem, out = self._contents(batch), self.last_step(), [], None, None
+        for step in sorted(set(steps)):
+            rows, content, least, most = contents.get(step, (0, "0", None, None))
+            if step in known:
+                problem = None if known[step] == (rows, content) else f"step {step} was committed with other rows"
+            elif step != (before := todo[-1] if todo else last) + 1:
+                problem = f"steps have to be consecutive: {step} after {before}"
+            elif feature_epoch is not None and feature_epoch != self.epoch(step):
+                problem = f"features of epoch {feature_epoch}, statistics of {self.epoch(step)}"
+            elif least != most:
+                problem = f"step {step} has features of different widths"
+            else:
+                todo.append(step)
+            if problem:
+                break
+        if todo:
+            bad = reward_problems(batch.where(F.col("step").between(todo[0], todo[-1]))).agg(F.min("step")).first()[0]
+            if bad is not None:
+                todo, problem = [s for s in todo if s < bad], "an answer's rewards or positions break the contract"
+        # features of another width, which come with a new epoch, never meet in one pass
+        width = None
+        widths = [(s, width := contents[s][2] if s in contents else width) for s in todo]
+        for _, same in groupby(widths, lambda sw: sw[1]):
+            saved = self._add([s for s, _ in same], batch, contents)
+            out = saved if out is None else out.unionByName(saved)
+        if problem:
+            raise ValueError(problem)
+        return out
+
+    def _add(self, steps: list[int], batch: DataFrame, contents: dict[int, tuple]) -> DataFrame:
+        """Add steps whose features have one width; of steps that cannot be added the first is an error."""
         last = self.last_step()
-        if step != last + 1:
-            raise ValueError(f"steps have to be consecutive: {step} after {last}")
-        epoch = self.epoch(step)
-        if feature_epoch is not None and feature_epoch != epoch:
-            raise ValueError(f"features of epoch {feature_epoch}, statistics of {epoch}")
-        if not reward_problems(batch).isEmpty():
-            raise ValueError("an answer's rewards or positions break the contract")
         now, runs = self.load(last), list(self._ledger().where(F.col("step") == last).select("runs").first()[0] or []) if last else []
-        if any(s["epoch"] != epoch for s in now.values()):
+        if last and any(e != self.epoch(steps[0]) for e in [self.epoch(last), *(s["epoch"] for s in now.values())]):
             now, runs = {}, []
-        judged, repeated = None, 0
-        if self.by_answer:
-            batch, judged, repeated = self._fresh(batch, runs)
-        rows = self._rows(batch).persist()
+        batch, judged, repeated, error = batch.where(F.col("step").between(steps[0], steps[-1])), None, {}, None
         try:
-            saved = self._commit(rows, now, step, epoch, content, judged, repeated, runs)
+            if self.by_answer:
+                judged, repeated, bad = self._judged(batch, runs, self.epoch(steps[0]))
+                if bad is not None:
+                    some = [r["key"] for r in judged.where((F.col("state") == "changed") & (F.col("step") == bad)).orderBy("key").limit(5).collect()]
+                    error = ValueError(f"{repeated[bad, 'changed']} answers have changed since they were added: {', '.join(some)}")
+                    steps = [s for s in steps if s < bad]
+                    if not steps:
+                        raise error
+                    batch = batch.where(F.col("step") < bad)
+                batch = batch.join(judged.select("step", F.col("key").alias("answer_id"), (F.col("state") == "new").alias("fresh")), ["step", "answer_id"])
+            rows = self._rows(batch).persist()
+            try:
+                saved, failed = self._commit(rows, now, steps, contents, judged, repeated, runs)
+            finally:
+                rows.unpersist()
         finally:
-            rows.unpersist()
             if judged is not None:
                 judged.unpersist()
-        self._forget(step - self.keep)
+        if failed or error:
+            raise failed or error
         return saved
 
-    def _commit(self, rows: DataFrame, now: dict, step: int, epoch: int, content: tuple[int, str], judged: DataFrame | None, repeated: int, runs: list[str]) -> DataFrame:
-        after = self._added(now, rows if judged is None else rows.where("fresh"))
-        values = self._values(rows, now if self.order == "predict_first" else after)
-        schema = T._parse_datatype_string(STATE)
-        state = [(step, epoch, k, s["a"].ravel().tolist(), s["b"].tolist(), s["w"].tolist(), s["residual"], int(s["n"]), int(s["answers"])) for k, s in after.items()]
-        self.spark.createDataFrame(state, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/step={step}")
-        kept, replaced = (runs, []) if judged is None else self.answers.add(judged.where("state = 'new'"), runs, step)
-        values.withColumn("step", F.lit(step)).write.mode("overwrite").parquet(f"{self.path}/values/step={step}")
-        saved = self.spark.read.parquet(f"{self.path}/values/step={step}")
+    def _judged(self, batch: DataFrame, runs: list[str], epoch: int) -> tuple[DataFrame, dict, int | None]:
+        """The batch's answers (step, key, content) as the ledger, of ``epoch``, and the steps before judge them, how many of a
+        state a step has, and the first step with changed ones."""
+        at = F.floor((F.col("step") - 1) / self.interval) if self.interval else F.lit(0)
+        contents = answer_contents(batch, "step").withColumn("epoch", at.cast("int")).persist()
+        try:
+            judged = self.answers.judged(contents, runs, contents.count(), epoch).persist()
+            counts = {(r["step"], r["state"]): r["count"] for r in judged.groupBy("step", "state").count().collect()}
+        finally:
+            contents.unpersist()
+        return judged, counts, min((s for s, state in counts if state == "changed"), default=None)
+
+    def _commit(self, rows: DataFrame, now: dict, steps: list[int], contents: dict, judged: DataFrame | None, repeated: dict, runs: list[str]) -> tuple[DataFrame, ValueError | None]:
+        """Values, states, metrics and ledger rows of the steps up to the first that cannot be solved, and its error."""
+        own = self._statistics(rows if judged is None else rows.where("fresh"), sum(contents[s][0] for s in steps if s in contents))
+        nothing: tuple = (None, {})
+        ahead = next(own, nothing)
+        log, weights, states, failed, done = [], {}, {}, None, []
+        for step in steps:
+            epoch = self.epoch(step)
+            if step > steps[0] and epoch != self.epoch(step - 1):
+                now, runs = {}, []
+            new = {}
+            if ahead[0] == step:
+                new, ahead = ahead[1], next(own, nothing)
+            try:
+                after = self._added(now, new)
+            except ValueError as e:
+                failed = e
+                break
+            weights[step] = {k: s["w"].tolist() for k, s in (now if self.order == "predict_first" else after).items()}
+            transitions = int(sum(s["n"] for s in after.values()))
+            log.append((step, epoch, transitions, int(sum(s["answers"] for s in after.values())), repeated.get((step, "repeated"), 0),
+                        float(max((s["residual"] for s in after.values()), default=0.0)), self.epsilon / max(1, transitions)))
+            states[step], now = after, after
+            states.pop(step - self.keep, None)
+            done.append(step)
+        if not done:
+            raise failed
+        last = done[-1]
+        rows = rows.where(F.col("step") <= last)
+        state = [(step, self.epoch(step), k, s["a"].ravel().tolist(), s["b"].tolist(), s["w"].tolist(), s["residual"], int(s["n"]), int(s["answers"]))
+                 for step, after in states.items() for k, s in after.items()]
+        self._overwrite(self.spark.createDataFrame(state, T._parse_datatype_string(STATE)).coalesce(1), "state")
+        kept, replaced = runs, []
+        if judged is not None:
+            mine = judged.where((F.col("state") == "new") & (F.col("step") <= last) & (F.col("epoch") == self.epoch(last)))
+            kept, replaced = self.answers.add(mine, runs, last)
+        values = self._values(rows, weights)
+        self._overwrite(values.hint("rebalance", "step"), "values")
+        full = [f"{self.path}/values/step={s}" for s in done if s in contents]
+        saved = self.spark.read.schema(values.schema).option("basePath", f"{self.path}/values").parquet(*full) if full else self.spark.createDataFrame([], values.schema)
         # T5: one row of metrics a step
-        transitions = sum(s["n"] for s in after.values())
-        log = prediction_metrics(saved.where("value is not null")).withColumns(
-            {"step": F.lit(step), "epoch": F.lit(epoch), "transitions": F.lit(transitions), "answers": F.lit(sum(s["answers"] for s in after.values())),
-             "repeated": F.lit(repeated), "residual": F.lit(max((s["residual"] for s in after.values()), default=0.0)), "effective": F.lit(self.epsilon / max(1, transitions))}
-        )
-        log.write.mode("overwrite").parquet(f"{self.path}/metrics/step={step}")
-        # a step is there once its ledger row is
-        self.spark.createDataFrame([(step, epoch, *content, kept)], LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
+        about = self.spark.createDataFrame(log, "step int, epoch int, transitions long, answers long, repeated long, residual double, effective double")
+        found = about.join(prediction_metrics(saved.where("value is not null"), ["step"]), "step", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
+        self._overwrite(found.repartition(min(8, len(done)), "step"), "metrics")
+        # steps are there once their ledger rows are
+        rows_of = [(s, self.epoch(s), *contents.get(s, (0, "0"))[:2], kept if s == last else []) for s in done]
+        self.spark.createDataFrame(rows_of, LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
         self.answers.drop(replaced)
-        return saved
+        for step in range(max(1, done[0] - self.keep), last - self.keep + 1):
+            self._forget(step)
+        return saved, failed
+
+    def _overwrite(self, df: DataFrame, name: str) -> None:
+        """The steps of ``df``, each a folder; others stay as they are."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(f"{self.path}/{name}")
 
     def _forget(self, step: int) -> None:
         if step > 0:
@@ -192,10 +276,20 @@ class CumulativeHead:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def foreach_step(self, steps: DataFrame, source: str, schema: T.StructType) -> None:
-        """For ``writeStream.foreachBatch`` over the marks of complete steps: each step's rows are read whole."""
-        for row in steps.select("step").distinct().orderBy("step").collect():  # as many as steps have come
-            rows = self.spark.read.schema(schema).parquet(f"{source}/steps/step={row['step']}")
-            self.update(rows.withColumn("step", F.lit(row["step"])), row["step"])
+        """For ``writeStream.foreachBatch`` over the marks of complete steps: the rows of up to ``group`` steps are read and added
+        together, each step whole."""
+        some: list[int] = []
+        for row in steps.select("step").distinct().orderBy("step").toLocalIterator():
+            some.append(row["step"])
+            if len(some) == self.group:
+                self._foreach(some, source, schema)
+                some = []
+        if some:
+            self._foreach(some, source, schema)
+
+    def _foreach(self, steps: list[int], source: str, schema: T.StructType) -> None:
+        paths = [f"{source}/steps/step={s}" for s in steps]
+        self.update_many(self.spark.read.schema(T.StructType([*schema.fields, T.StructField("step", T.IntegerType())])).option("basePath", f"{source}/steps").parquet(*paths), steps)
 
 
 def write_step(batch: DataFrame, source: str, step: int) -> None:
@@ -204,10 +298,16 @@ def write_step(batch: DataFrame, source: str, step: int) -> None:
     batch.sparkSession.createDataFrame([(step,)], "step int").coalesce(1).write.mode("append").json(f"{source}/marks")
 
 
+def write_steps(batches: DataFrame, source: str) -> None:
+    """Many steps' rows in one pass, each step by as many tasks as its size asks for, and then their marks."""
+    batches.hint("rebalance", "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(f"{source}/steps")
+    batches.select("step").distinct().coalesce(1).write.mode("append").json(f"{source}/marks")
+
+
 def replay(updates: DataFrame, head: CumulativeHead, source: str, checkpoint: str) -> DataFrame:
-    """Run steps that ``write_step`` has written through a stream of their marks, and give all steps' metrics."""
+    """Run steps that ``write_step`` or ``write_steps`` has written through a stream of their marks, and give all steps' metrics."""
     schema = updates.drop("step").schema
-    stream = head.spark.readStream.schema("step int").option("maxFilesPerTrigger", 1).json(f"{source}/marks")
+    stream = head.spark.readStream.schema("step int").json(f"{source}/marks")
     query = stream.writeStream.foreachBatch(lambda marks, _: head.foreach_step(marks, source, schema))
     query = query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
