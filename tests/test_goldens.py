@@ -364,3 +364,16 @@ def test_reasons_alone_equal_reasons_in_rows(spark):
     whole = {r["source_index"]: r["reason"] for r in curate.select_eligible(df, early, late).collect()}
     assert {r["source_index"]: r["reason"] for r in curate.eligible_reasons(df, early, late).collect()} == whole
     assert {"zero", "duplicate_family", None} <= set(whole.values())
+
+
+def test_row_norms_take_each_coordinate_a_few_times(spark):
+    """Mean and variance are computed once a row, not once a coordinate of a coordinate: 2,000^3 steps take minutes."""
+    import time
+
+    x = np.random.default_rng(3).normal(size=2000)
+    df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    began = time.monotonic()
+    r = df.select(v.layer_norm(F.col("x")).alias("l"), v.rms_coordinates(F.col("x")).alias("r")).first()
+    assert time.monotonic() - began < 60
+    assert np.allclose(r["l"], v.np_layer_norm(x[None])[0]) and np.allclose(r["r"], v.np_rms(x[None])[0])
+    assert df.select(v.layer_norm(F.lit(None).cast("array<double>")).alias("l")).first()["l"] is None
