@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
-from math import exp, factorial
+from math import ceil, exp, factorial
 from operator import add
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +63,80 @@ def draw_hash(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in named))), 1, 13), 16, 10).cast("long")
 
 
-def bootstrap_draws(delta: DataFrame, draws: int, seed: int, partitions: int = 16) -> DataFrame:
+#: places of a block, and slots that a task counts before it hands their counts on
+BLOCK, SLOTS = 1 << 14, 1 << 22
+
+
+def _counted(slots: DataFrame) -> DataFrame:
+    """(block, draw, counts) of rows (draw, place): how often each place of a block is taken, a byte a place.
+
+    Slots of a draw lie together, so a task counts ``SLOTS`` of a draw at a time; a place taken more than 255 times has its
+    rest in further rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw, held, n = None, [], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            places = np.concatenate(held)
+            places.sort()
+            blocks = places // BLOCK
+            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+            made: list[tuple[int, bytes]] = []
+            for i, j in zip(cuts, np.append(cuts[1:], len(places))):
+                counts = np.bincount(places[i:j] % BLOCK, minlength=BLOCK)
+                while counts.any():
+                    made.append((int(blocks[i]), zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)))
+                    counts = np.maximum(counts - 255, 0)
+            for i in range(0, len(made), 256):
+                some = made[i : i + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in some], pa.int64()), pa.array([draw] * len(some), pa.int64()), pa.array([c for _, c in some], pa.binary())],
+                    ["block", "draw", "counts"],
+                )
+
+        for batch in batches:
+            draws, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, draws[1:] != draws[:-1])) if len(draws) else []
+            for i, j in zip(cuts, np.append(cuts[1:], len(draws))):
+                if n and (draws[i] != draw or n >= SLOTS):
+                    yield from emit()
+                    held, n = [], 0
+                draw = int(draws[i])
+                held.append(places[i:j])
+                n += j - i
+        if n:
+            yield from emit()
+
+    return slots.mapInArrow(run, "block long, draw long, counts binary")
+
+
+def bootstrap_draws(delta: DataFrame, draws: int, seed: int, partitions: int | None = None) -> DataFrame:
     """Means over resampled seeds and questions of (seed, id, delta), a row (draw, value) a draw.
 
-    A slot of a draw takes the question at a hashed place of their order; slots are dealt over tasks and only sums by
-    draw and seed leave one, so the result depends on no partitioning.  Work grows with draws times questions;
-    ``poisson_draws`` does without the join.  Each seed has to have each question, else it is an error.
+    A slot of a draw takes the question at a hashed place of their order, so the result depends on no partitioning and is
+    the same in SQL.  Slots are hashed and counted where they are made; only counts, by draw and block of places, move to
+    the block's deltas, and sums by draw and seed from there.  Work grows with draws times questions, what moves with under
+    a byte for each.  Each seed has to have each question, else it is an error.
     """
     by_seed = F.transform(F.array_sort(F.collect_list(F.struct("seed", "delta"))), lambda x: x["delta"])  # as long as there are runs
     per = ranked(delta.groupBy("id").agg(by_seed.alias("deltas")), "id", out="place")
     q, least, most = per.agg(F.count(F.lit(1)), F.min(F.size("deltas")), F.max(F.size("deltas"))).first()
     if not q or least != most or most != delta.agg(F.count_distinct("seed")).first()[0]:
         raise ValueError("runs are not paired")
+    partitions = partitions or int(max(16, min(2000, draws * q // SLOTS)))
     slots = delta.sparkSession.range(0, draws * q, 1, partitions).select(F.floor(F.col("id") / q).alias("draw"), F.pmod("id", F.lit(q)).alias("slot"))
-    taken = slots.select("draw", (draw_hash(seed, "q", F.col("draw"), F.col("slot")) % q).alias("place")).join(per, "place")
-    sums = taken.groupBy("draw").agg(F.array(*(F.sum(F.get("deltas", F.lit(k))) for k in range(most))).alias("sums"))
+    taken = _counted(slots.select("draw", (draw_hash(seed, "q", F.col("draw"), F.col("slot")) % q).alias("place")))
+
+    def block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        d = np.zeros((BLOCK, most))
+        d[right["place"].to_numpy() % BLOCK] = np.stack(right["deltas"].to_numpy()) if len(right) else 0
+        sums = [np.frombuffer(zlib.decompress(c), np.uint8).astype(float) @ d for c in left["counts"]]
+        return pd.DataFrame({"draw": left["draw"], "s": sums})
+
+    blocks = per.select(F.floor(F.col("place") / BLOCK).alias("block"), "place", "deltas")
+    parts = taken.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(block_sums, "draw long, s array<double>")
+    sums = parts.groupBy("draw").agg(F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(most))).alias("sums"))
     seeds = (F.get("sums", (draw_hash(seed, "s", F.col("draw"), k) % most).cast("int")) for k in range(most))
     return sums.select("draw", (reduce(add, seeds) / F.lit(float(most * q))).alias("value"))
 
