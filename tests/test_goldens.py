@@ -5,6 +5,7 @@ import json
 import math
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -377,3 +378,15 @@ def test_row_norms_take_each_coordinate_a_few_times(spark):
     assert time.monotonic() - began < 60
     assert np.allclose(r["l"], v.np_layer_norm(x[None])[0]) and np.allclose(r["r"], v.np_rms(x[None])[0])
     assert df.select(v.layer_norm(F.lit(None).cast("array<double>")).alias("l")).first()["l"] is None
+
+
+def test_draws_count_places_and_deal_questions(spark):
+    """Slots do not move, their counts by block do; a place may be taken more than 255 times; few rows still meet many tasks."""
+    slots = spark.createDataFrame([(0, 3)] * 300 + [(0, paired.BLOCK + 1)] * 2 + [(1, 3)], "draw long, place long").coalesce(1)
+    got = [(r["draw"], r["block"], np.frombuffer(zlib.decompress(r["counts"]), np.uint8)) for r in paired._counted(slots).collect()]
+    assert sorted((d, b, int(c.sum())) for d, b, c in got) == [(0, 0, 45), (0, 0, 255), (0, 1, 2), (1, 0, 1)] and all(len(c) == paired.BLOCK for *_, c in got)
+    df = spark.createDataFrame([(s, i, float(i % 7 - s)) for s in range(2) for i in range(40)], "seed int, id int, delta double")
+    plan = paired.bootstrap_draws(df, 500, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "counts" in plan and "Join" not in plan.split("MapInArrow")[0]
+    draws = paired.poisson_draws(df.where("seed = 0").coalesce(1), 5, 3)
+    assert "RepartitionByExpression" in draws._jdf.queryExecution().optimizedPlan().toString()

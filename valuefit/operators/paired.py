@@ -149,13 +149,16 @@ def poisson_levels() -> list[float]:
 def poisson_draws(df: DataFrame, draws: int, seed: int, value: str = "delta", ident: str = "id") -> DataFrame:
     """A22 for any number of questions: each draw weights a question by a Poisson number that depends on seed, draw and id.
 
-    Null values weigh nothing; a draw that weights no question has a null value.
+    Null values weigh nothing; a draw that weights no question has a null value.  Questions are few bytes but ``draws`` hashes
+    each, so they are dealt to all cores before that.
     """
-    rows = df.where(F.col(value).isNotNull()).select(
-        F.col(ident).cast("string").alias("i"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    )
-    u = draw_hash(seed, F.col("i"), F.col("draw")) / F.lit(float(2**52))
-    rows = rows.select("draw", "v", u.alias("u")).select("draw", "v", reduce(add, ((F.col("u") >= c).cast("int") for c in poisson_levels())).alias("w"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    dealt = df.where(F.col(value).isNotNull()).select(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")).alias("i"), F.col(value).cast("double").alias("v"))
+    rows = dealt.repartition(max(16, 4 * cores), "i").select("i", "v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    # hex digits compare like the 52 bits of draw_hash that they name; a level that rounds to 1 is never reached
+    levels = [f"{n:013x}" for c in poisson_levels() if (n := ceil(c * 2**52)) < 2**52]
+    weight = reduce(lambda w, kc: w.when(F.col("h") < kc[1], kc[0]), enumerate(levels[1:], 1), F.when(F.col("h") < levels[0], 0)).otherwise(len(levels))
+    rows = rows.select("draw", "v", F.md5(F.concat_ws(":", "i", F.col("draw").cast("string"))).alias("h")).select("draw", "v", weight.alias("w"))
     return rows.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("value"))
 
 
