@@ -390,3 +390,13 @@ def test_draws_count_places_and_deal_questions(spark):
     assert "counts" in plan and "Join" not in plan.split("MapInArrow")[0]
     draws = paired.poisson_draws(df.where("seed = 0").coalesce(1), 5, 3)
     assert "RepartitionByExpression" in draws._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_are_judged_once(spark):
+    """With ``keep`` reasons are those of the wide path, and no text is in the plan that compares families."""
+    texts = ["What is 1 + 1?", "what is 2 + 2", "", "See the diagram", "Find all values", "One more"]
+    df = spark.createDataFrame([(i, x, "\\boxed{5}", "5", 3) for i, x in enumerate(texts)], "source_index long, question string, solution string, answer string, n_tokens int")
+    wide = curate.prepare_questions(df, 10, 10, 20, "solution").select("source_index", "number", "reason")
+    narrow = curate.prepare_questions(df, 10, 10, 20, "solution", keep=("number",))
+    assert sorted(map(tuple, narrow.collect()), key=str) == sorted(map(tuple, wide.collect()), key=str) and narrow.columns == wide.columns
+    assert "question" not in narrow._jdf.queryExecution().optimizedPlan().toString()

@@ -39,7 +39,7 @@ def tagged_questions(spark, sf_dir):
 
 def general_questions(spark, sf_dir):
     q = _tagged(spark, sf_dir).withColumnRenamed("problem", "question")
-    return curate.prepare_questions(q, 300, 300, 560, "solution").select("source_index", "number", "reason")
+    return curate.prepare_questions(q, 300, 300, 560, "solution", keep=("number",)).select("source_index", "number", "reason")
 
 
 def usable_references(spark, sf_dir):
