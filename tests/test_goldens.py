@@ -71,6 +71,27 @@ def test_lstd_statistics(spark, decay, partitions):
         assert np.allclose(r["a"], s["a"]) and np.allclose(r["b"], s["b"])
 
 
+def test_lstd_statistics_of_answers_in_many_batches(spark):
+    """Answers of 1 to 9 rows and two keys, cut by Arrow batches of 4 rows."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for i in range(12):
+        x, y, k = rng.normal(size=(i % 9 + 1, 2)), float(i % 3), "ab"[i // 6]
+        rows += [(k, f"{i:02d}", p, v.tolist(), y) for p, v in enumerate(x)]
+        a, b = stats.trajectory_statistics(x, y, 0.9)
+        now = want.setdefault(k, [0, 0, 0, 0])
+        want[k] = [now[0] + a, now[1] + b, now[2] + len(x), now[3] + 1]
+    df = spark.createDataFrame(rows, "k string, answer string, position int, x array<double>, y double").repartition(1, "answer")
+    known = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = stats.collect_statistics(stats.lstd_partials(df, 0.9, "k", ["answer"], dealt=True))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", known)
+    assert set(found) == {"a", "b"}
+    for k, s in found.items():
+        assert np.allclose(s["a"], want[k][0]) and np.allclose(s["b"], want[k][1]) and [s["n"], s["answers"]] == want[k][2:]
+
+
 def test_solve():
     w = heads.fit_system(np.array(SYSTEMS[1.0][0], float), np.array(SYSTEMS[1.0][1], float), 0.01)
     assert np.allclose(w, [0.3385445160, 0.2254281687, 0.2094985551])

@@ -121,6 +121,22 @@ def test_waiting_steps_are_added_together(spark, tmp_path, monkeypatch):
         assert np.allclose(s["a"], many.load(4)[k]["a"]) and np.allclose(s["w"], many.load(4)[k]["w"]) and s["n"] == many.load(4)[k]["n"]
 
 
+def test_waiting_steps_are_read_and_dealt_once(spark, tmp_path):
+    every = updates(spark, 1)
+    for s in range(2, 7):
+        every = every.unionByName(updates(spark, s))
+    every.write.parquet(str(tmp_path / "rows"))
+    head, sc = CumulativeHead(spark, str(tmp_path / "h"), interval=2, order="predict_first"), spark.sparkContext
+    sc.setJobGroup("waiting", "a group of steps")
+    try:
+        out = head.update_many(spark.read.parquet(str(tmp_path / "rows")), [1, 2, 3, 4, 5, 6])
+        jobs = len(sc.statusTracker().getJobIdsForGroup("waiting"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 6 * 24 and head.load(6)[""]["answers"] == 16
+    assert jobs <= 25  # 31 when each check read the rows
+
+
 def test_steps_before_a_wrong_one_are_added(spark, tmp_path):
     head = CumulativeHead(spark, str(tmp_path / "h"), by_answer=True)
     changed = updates(spark, 1, n=2).withColumns({"step": F.lit(2), "x": F.transform("x", lambda v: v + 1)})

@@ -51,17 +51,22 @@ def reward_problems(df: DataFrame) -> DataFrame:
 
     One binary reward at the last position, zeros before it, positions 0, 1, ... without gaps.
     """
+    return judged_answers(df).select("step", "answer_id", "problem").where("problem is not null")
+
+
+def judged_answers(df: DataFrame, *more: Column) -> DataFrame:
+    """All answers of a long update table, with ``more`` about their rows and what breaks the contract, or null."""
     last = F.max("position")
     by = df.groupBy("step", "answer_id").agg(
         F.count(F.lit(1)).alias("n"), last.alias("last"), F.min("position").alias("first"), F.count_distinct("position").alias("distinct"),
-        F.max_by("reward", "position").alias("terminal"), F.sum(F.abs("reward")).alias("total"),
+        F.max_by("reward", "position").alias("terminal"), F.sum(F.abs("reward")).alias("total"), *more,
     )
     reason = (
         F.when((F.col("first") != 0) | (F.col("last") + 1 != F.col("n")) | (F.col("distinct") != F.col("n")), "positions")
         .when(~F.coalesce(F.col("terminal").isin(0.0, 1.0), F.lit(False)), "terminal_reward")
         .when(F.coalesce(F.col("total") != F.col("terminal"), F.lit(True)), "early_reward")
     )
-    return by.select("step", "answer_id", reason.alias("problem")).where("problem is not null")
+    return by.withColumn("problem", reason)
 
 
 def question_usage(answers: DataFrame, sampled: int = 8) -> DataFrame:

@@ -26,17 +26,19 @@ def _updates(spark, sf_dir):
 
 def _replayed(spark, u, again=None, **settings):
     """The head after a stream of all steps, each with the rows of ``again`` for it."""
-    root = shared_folder(spark, "stream")
-    u = u.persist()
+    root, once = shared_folder(spark, "stream"), again is None
+    if not once:  # else the rows are computed once, and the steps and folds need none of their windows
+        u.persist()
     try:
-        write_steps(u if again is None else u.unionByName(again), f"{root}/in")
+        write_steps(u if once else u.unionByName(again), f"{root}/in")
         folds = None
         if settings.pop("folds", False):
             folds = u.select(F.col("question_id").alias("id"), (F.col("question_id").cast("int") % 2).cast("int").alias("fold")).distinct()
         head = CumulativeHead(spark, f"{root}/head", folds=folds, **settings)
         return head, replay(u, head, f"{root}/in", f"{root}/checkpoint")
     finally:
-        u.unpersist()
+        if not once:
+            u.unpersist()
 
 
 def _log(out, *more):

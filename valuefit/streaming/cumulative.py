@@ -13,20 +13,30 @@ from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window as W
 
 from valuefit.functions.vectors import predict
 from valuefit.operators import heads, stats
 from valuefit.operators.metrics import prediction_metrics
-from valuefit.operators.prefixes import reward_problems
+from valuefit.operators.prefixes import judged_answers
 from valuefit.streaming.answers import AnswerLedger, answer_contents
 
 LEDGER = "step int, epoch int, rows long, content string, runs array<string>"
 STATE = "step int, epoch int, fold string, a array<double>, b array<double>, w array<double>, residual double, transitions long, answers long"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table that needs no job of its own."""
+    kind = T._parse_datatype_string(schema)
+    columns = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], c.type) for i, c in enumerate(columns)], schema=columns), kind)
+
+
 @dataclass
 class CumulativeHead:
     """T1 to T6.  ``decay`` 1 is ridge, less is LSTD; ``folds`` (question, fold) asks for out-of-fold values.
@@ -63,14 +73,29 @@ class CumulativeHead:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _ledger(self) -> DataFrame:
-        return self.spark.read.schema(LEDGER).json(f"{self.path}/ledger") if self._exists(f"{self.path}/ledger") else self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).json(f"{self.path}/ledger") if self._exists(f"{self.path}/ledger") else small_table(self.spark, [], LEDGER)
+
+    def _committed(self, steps: list[int]) -> tuple[int, list[str], dict[int, tuple]]:
+        """The last step of the ledger, its runs, and (rows, content) of those of ``steps`` that are there."""
+        if not self._exists(f"{self.path}/ledger"):
+            return 0, [], {}
+        asked = F.when(F.col("step").between(min(steps), max(steps)), F.struct("step", "rows", "content"))  # a group of steps
+        last, runs, known = self._ledger().agg(F.max("step"), F.max_by("runs", "step"), F.collect_list(asked)).first()
+        return last or 0, list(runs or []), {r["step"]: (r["rows"], r["content"]) for r in known}
+
+    @staticmethod
+    def _dealt(batch: DataFrame) -> DataFrame:
+        """The rows with their answer's outcome ``y``, which is the reward of its last row; an answer is in one partition."""
+        return batch.withColumn("y", F.max_by("reward", "position").over(W.partitionBy("step", "answer_id")).cast("double"))
 
     @staticmethod
-    def _contents(batch: DataFrame) -> dict[int, tuple]:
-        """{step: rows, a hash of them that does not depend on their order or partitions, least and largest width}."""
-        row = F.xxhash64("answer_id", "question_id", "position", "x", F.col("reward").cast("double"))
-        found = batch.groupBy("step").agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.min(F.size("x")), F.max(F.size("x"))).collect()
-        return {r[0]: (r[1], str(r[2] or 0), r[3], r[4]) for r in found}
+    def _contents(dealt: DataFrame) -> dict[int, tuple]:
+        """{step: rows, a hash of them that does not depend on their order or partitions, least and largest width, answers that
+        break the contract}."""
+        row, size = F.xxhash64("answer_id", "question_id", "position", "x", F.col("reward").cast("double")), F.size("x")
+        each = judged_answers(dealt, F.sum(row.cast("decimal(38,0)")).alias("hash"), F.min(size).alias("least"), F.max(size).alias("most"))
+        found = each.groupBy("step").agg(F.sum("n"), F.sum("hash"), F.min("least"), F.max("most"), F.count("problem")).collect()
+        return {r[0]: (r[1], str(r[2] or 0), r[3], r[4], r[5]) for r in found}
 
     def last_step(self) -> int:
         return self._ledger().agg(F.max("step")).first()[0] or 0
@@ -88,12 +113,10 @@ class CumulativeHead:
     def epoch(self, step: int) -> int:
         return (step - 1) // self.interval if self.interval else 0
 
-    def _rows(self, batch: DataFrame) -> DataFrame:
-        """step, x, y (the answer's outcome), position, answer and fold.  Answers are bounded, so their outcome is a join of
-        their last rows."""
-        outcome = batch.groupBy("step", "answer_id").agg(F.max_by("reward", "position").alias("y"))
-        kept = ["fresh"] if "fresh" in batch.columns else []
-        rows = batch.join(outcome, ["step", "answer_id"]).select("step", "answer_id", F.col("question_id").alias("question"), "position", "x", F.col("y").cast("double").alias("y"), *kept)
+    def _rows(self, dealt: DataFrame) -> DataFrame:
+        """step, x, y (the answer's outcome), position, answer and fold."""
+        kept = ["fresh"] if "fresh" in dealt.columns else []
+        rows = dealt.where("answer_id is not null").select("step", "answer_id", F.col("question_id").alias("question"), "position", "x", "y", *kept)
         if self.folds is None:
             return rows.withColumn("fold", F.lit(0))
         return rows.join(self.folds.select(F.col("id").alias("question"), "fold"), "question")
@@ -103,8 +126,9 @@ class CumulativeHead:
         fold = F.lit("") if self.folds is None else F.col("fold").cast("string")
         lots = max(8, min(256, n // 50_000))
         keyed = rows.withColumn("_key", F.concat_ws(":", F.format_string("%012d", "step"), fold))
-        partials = stats.lstd_partials(keyed, self.decay, "_key", ["step", "question", "answer_id"], lots)
-        found = stats.add_partials(partials, lots=lots).orderBy("key")
+        dealt = self.folds is None and not self.by_answer  # what is joined may be dealt in another way
+        partials = stats.lstd_partials(keyed, self.decay, "_key", ["step", "question", "answer_id"], lots, dealt)
+        found = stats.add_partials(partials, lots=keyed.rdd.getNumPartitions() if dealt else lots).orderBy("key")
         for step, some in groupby(stats.each_statistics(found), lambda kv: int(kv[0].split(":")[0])):
             yield step, {k.split(":")[1]: s for k, s in some}
 
@@ -123,7 +147,7 @@ class CumulativeHead:
 
     def _values(self, rows: DataFrame, weights: dict[int, dict[str, list[float]]]) -> DataFrame:
         """``value`` by the heads of each step: 0 where a step has none, null where only the fold's is not there."""
-        table = self.spark.createDataFrame(list(weights.items()), "step int, _heads map<string, array<double>>")
+        table = small_table(self.spark, list(weights.items()), "step int, _heads map<string, array<double>>")
         key = F.lit("") if self.folds is None else (1 - F.col("fold")).cast("string")
         value = F.when(F.size("_heads") == 0, F.lit(0.0)).otherwise(predict(F.col("x"), F.col("_heads")[key]))
         return rows.join(F.broadcast(table), "step").withColumn("value", value).drop("_heads")
@@ -135,49 +159,55 @@ class CumulativeHead:
         """
         return self.update_many(batch.withColumn("step", F.lit(step)), [step], feature_epoch)
 
-    def update_many(self, batch: DataFrame, steps: list[int], feature_epoch: int | None = None) -> DataFrame | None:
+    def update_many(self, batch: DataFrame, steps: list[int], feature_epoch: int | None = None, values: bool = True) -> DataFrame | None:
         """Add whole steps, as if one came after the other, and give the values of those that were not there before.
 
-        If a step is not as it should be, those before it are added and then it is an error.
+        If a step is not as it should be, those before it are added and then it is an error.  The rows are read and dealt by
+        answer once.  Without ``values`` nothing is given.
         """
-        ledger = self._ledger()
-        known = {r["step"]: (r["rows"], r["content"]) for r in ledger.where(F.col("step").between(min(steps), max(steps))).collect()}
-        contents, last, todo, problem, out = self._contents(batch), self.last_step(), [], None, None
-        for step in sorted(set(steps)):
-            rows, content, least, most = contents.get(step, (0, "0", None, None))
-            if step in known:
-                problem = None if known[step] == (rows, content) else f"step {step} was committed with other rows"
-            elif step != (before := todo[-1] if todo else last) + 1:
-                problem = f"steps have to be consecutive: {step} after {before}"
-            elif feature_epoch is not None and feature_epoch != self.epoch(step):
-                problem = f"features of epoch {feature_epoch}, statistics of {self.epoch(step)}"
-            elif least != most:
-                problem = f"step {step} has features of different widths"
-            else:
-                todo.append(step)
-            if problem:
-                break
-        if todo:
-            bad = reward_problems(batch.where(F.col("step").between(todo[0], todo[-1]))).agg(F.min("step")).first()[0]
-            if bad is not None:
-                todo, problem = [s for s in todo if s < bad], "an answer's rewards or positions break the contract"
-        # features of another width, which come with a new epoch, never meet in one pass
-        width = None
-        widths = [(s, width := contents[s][2] if s in contents else width) for s in todo]
-        for _, same in groupby(widths, lambda sw: sw[1]):
-            saved = self._add([s for s, _ in same], batch, contents)
-            out = saved if out is None else out.unionByName(saved)
+        last, runs, known = self._committed(steps)
+        dealt = self._dealt(batch.where(F.col("step").between(min(steps), max(steps)))).persist()
+        try:
+            contents, todo, problem, saved, schema = self._contents(dealt), [], None, [], None
+            for step in sorted(set(steps)):
+                rows, content, least, most, broken = contents.get(step, (0, "0", None, None, 0))
+                if step in known:
+                    problem = None if known[step] == (rows, content) else f"step {step} was committed with other rows"
+                elif step != (before := todo[-1] if todo else last) + 1:
+                    problem = f"steps have to be consecutive: {step} after {before}"
+                elif feature_epoch is not None and feature_epoch != self.epoch(step):
+                    problem = f"features of epoch {feature_epoch}, statistics of {self.epoch(step)}"
+                elif least != most:
+                    problem = f"step {step} has features of different widths"
+                elif broken:
+                    problem = "an answer's rewards or positions break the contract"
+                else:
+                    todo.append(step)
+                if problem:
+                    break
+            # features of another width, which come with a new epoch, never meet in one pass
+            width = None
+            widths = [(s, width := contents[s][2] if s in contents else width) for s in todo]
+            for _, same in groupby(widths, lambda sw: sw[1]):
+                done, runs, schema = self._add([s for s, _ in same], dealt, contents, last, runs)
+                last, saved = done[-1], saved + [s for s in done if s in contents]
+        finally:
+            dealt.unpersist()
         if problem:
             raise ValueError(problem)
-        return out
-
-    def _add(self, steps: list[int], batch: DataFrame, contents: dict[int, tuple]) -> DataFrame:
-        """Add steps whose features have one width; of steps that cannot be added the first is an error."""
-        last = self.last_step()
-        now, runs = self.load(last), list(self._ledger().where(F.col("step") == last).select("runs").first()[0] or []) if last else []
+        if not todo or not values:
+            return None
+        if not saved:
+            return small_table(self.spark, [], schema.simpleString())
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/values").parquet(*(f"{self.path}/values/step={s}" for s in saved))
+
+    def _add(self, steps: list[int], dealt: DataFrame, contents: dict[int, tuple], last: int, runs: list[str]) -> tuple[list[int], list[str], T.StructType]:
+        """Add steps whose features have one width, after the ``last`` one, and give them, the runs that count now, and the
+        schema of their values; of steps that cannot be added the first is an error."""
+        now = self.load(last)
         if last and any(e != self.epoch(steps[0]) for e in [self.epoch(last), *(s["epoch"] for s in now.values())]):
             now, runs = {}, []
-        batch, judged, repeated, error = batch.where(F.col("step").between(steps[0], steps[-1])), None, {}, None
+        batch, judged, repeated, error = dealt.where(F.col("step").between(steps[0], steps[-1])), None, {}, None
         try:
             if self.by_answer:
                 judged, repeated, bad = self._judged(batch, runs, self.epoch(steps[0]))
@@ -189,17 +219,20 @@ class CumulativeHead:
                         raise error
                     batch = batch.where(F.col("step") < bad)
                 batch = batch.join(judged.select("step", F.col("key").alias("answer_id"), (F.col("state") == "new").alias("fresh")), ["step", "answer_id"])
-            rows = self._rows(batch).persist()
+            rows = self._rows(batch)
+            if self.by_answer or self.folds is not None:
+                rows.persist()
             try:
-                saved, failed = self._commit(rows, now, steps, contents, judged, repeated, runs)
+                done, runs, schema, failed = self._commit(rows, now, steps, contents, judged, repeated, runs)
             finally:
-                rows.unpersist()
+                if self.by_answer or self.folds is not None:
+                    rows.unpersist()
         finally:
             if judged is not None:
                 judged.unpersist()
         if failed or error:
             raise failed or error
-        return saved
+        return done, runs, schema
 
     def _judged(self, batch: DataFrame, runs: list[str], epoch: int) -> tuple[DataFrame, dict, int | None]:
         """The batch's answers (step, key, content) as the ledger, of ``epoch``, and the steps before judge them, how many of a
@@ -213,7 +246,7 @@ class CumulativeHead:
             contents.unpersist()
         return judged, counts, min((s for s, state in counts if state == "changed"), default=None)
 
-    def _commit(self, rows: DataFrame, now: dict, steps: list[int], contents: dict, judged: DataFrame | None, repeated: dict, runs: list[str]) -> tuple[DataFrame, ValueError | None]:
+    def _commit(self, rows: DataFrame, now: dict, steps: list[int], contents: dict, judged: DataFrame | None, repeated: dict, runs: list[str]) -> tuple[list[int], list[str], T.StructType, ValueError | None]:
         """Values, states, metrics and ledger rows of the steps up to the first that cannot be solved, and its error."""
         own = self._statistics(rows if judged is None else rows.where("fresh"), sum(contents[s][0] for s in steps if s in contents))
         nothing: tuple = (None, {})
@@ -244,26 +277,24 @@ class CumulativeHead:
         rows = rows.where(F.col("step") <= last)
         state = [(step, self.epoch(step), k, s["a"].ravel().tolist(), s["b"].tolist(), s["w"].tolist(), s["residual"], int(s["n"]), int(s["answers"]))
                  for step, after in states.items() for k, s in after.items()]
-        self._overwrite(self.spark.createDataFrame(state, T._parse_datatype_string(STATE)).coalesce(1), "state")
+        self._overwrite(small_table(self.spark, state, STATE).coalesce(1), "state")
         kept, replaced = runs, []
         if judged is not None:
             mine = judged.where((F.col("state") == "new") & (F.col("step") <= last) & (F.col("epoch") == self.epoch(last)))
             kept, replaced = self.answers.add(mine, runs, last)
         values = self._values(rows, weights)
         self._overwrite(values.hint("rebalance", "step"), "values")
-        full = [f"{self.path}/values/step={s}" for s in done if s in contents]
-        saved = self.spark.read.schema(values.schema).option("basePath", f"{self.path}/values").parquet(*full) if full else self.spark.createDataFrame([], values.schema)
         # T5: one row of metrics a step
-        about = self.spark.createDataFrame(log, "step int, epoch int, transitions long, answers long, repeated long, residual double, effective double")
-        found = about.join(prediction_metrics(saved.where("value is not null"), ["step"]), "step", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
+        about = small_table(self.spark, log, "step int, epoch int, transitions long, answers long, repeated long, residual double, effective double")
+        found = about.join(prediction_metrics(values.where("value is not null"), ["step"]), "step", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
         self._overwrite(found.repartition(min(8, len(done)), "step"), "metrics")
         # steps are there once their ledger rows are
         rows_of = [(s, self.epoch(s), *contents.get(s, (0, "0"))[:2], kept if s == last else []) for s in done]
-        self.spark.createDataFrame(rows_of, LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
+        small_table(self.spark, rows_of, LEDGER).coalesce(1).write.mode("append").json(f"{self.path}/ledger")
         self.answers.drop(replaced)
         for step in range(max(1, done[0] - self.keep), last - self.keep + 1):
             self._forget(step)
-        return saved, failed
+        return done, kept, values.schema, failed
 
     def _overwrite(self, df: DataFrame, name: str) -> None:
         """The steps of ``df``, each a folder; others stay as they are."""
@@ -289,7 +320,7 @@ class CumulativeHead:
 
     def _foreach(self, steps: list[int], source: str, schema: T.StructType) -> None:
         paths = [f"{source}/steps/step={s}" for s in steps]
-        self.update_many(self.spark.read.schema(T.StructType([*schema.fields, T.StructField("step", T.IntegerType())])).option("basePath", f"{source}/steps").parquet(*paths), steps)
+        self.update_many(self.spark.read.schema(T.StructType([*schema.fields, T.StructField("step", T.IntegerType())])).option("basePath", f"{source}/steps").parquet(*paths), steps, None, False)
 
 
 def write_step(batch: DataFrame, source: str, step: int) -> None:
