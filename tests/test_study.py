@@ -41,6 +41,20 @@ def test_study_equals_single_fits(spark, rows):
         assert r["epsilon"] == single["epsilon"] and all(abs(r[c] - m[c]) < 1e-8 for c in ("brier", "question_brier", "accuracy", "ece"))
 
 
+def test_heads_of_many_arms_from_one_pass(spark, rows, monkeypatch):
+    part = lambda s: rows.where(F.col("split") == s).drop("domain", "split")
+    passes, plain = [], study.arm_partials
+    monkeypatch.setattr(study, "arm_partials", lambda df, *a: passes.append(df) or plain(df, *a))
+    arms = v.representations(4)
+    found = study.whole_study(part("train"), part("val"), arms)
+    assert len(passes) == 1 and set(found) == set(arms)
+    for a, f in arms.items():
+        mine = lambda name: v.batch_map(part(name), {"z": f}).drop("x").withColumnRenamed("z", "x")
+        single = heads.ridge_fit(mine("train"), mine("val"))
+        assert set(single) == set(found[a]) and found[a]["epsilon"] == single["epsilon"] and abs(found[a]["score"] - single["score"]) < 1e-9
+        assert np.allclose(found[a]["weights"], single["weights"], atol=1e-7)
+
+
 def test_one_scan_of_the_training_rows(spark, rows, tmp_path):
     rows.write.parquet(str(tmp_path / "rows"))
     train = spark.read.parquet(str(tmp_path / "rows")).where("split = 'train'")
